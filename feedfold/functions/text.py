@@ -11,54 +11,70 @@ from pyspark.sql import functions as F
 # Words that mark a short text as English.
 ENGLISH_MARKERS = ("the", "and", "is", "it", "app", "this", "great", "love", "bad", "good")
 
-# Whitespace as str.strip()/str.split() see it: Unicode spaces plus the four separator controls.
-_SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)\A{_SPACE}+|{_SPACE}+\z"
+# Whitespace as str.strip(), str.split() and \s see it, as characters and as a class.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0         "
+          "       　")
+SPACE_CLASS = r"\x09-\x0d\x1c-\x20\x85\xa0  -     　"
+# A word character: letter, number or underscore.
+WORD_CLASS = r"\p{L}\p{N}_"
 
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def is_ascii(text: Column | str) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def strip(value: Column | str) -> Column:
-    return F.regexp_replace(_col(value), _EDGES, "")
+    return F.btrim(_col(value), F.lit(SPACES))
 
 
 def clean_text(value: Column | str, empty_as_none: bool = False) -> Column:
+    """Unix line ends, single spaces, at most one blank line, no outer whitespace.
+
+    The patterns match only where something changes, so ordinary text is scanned but not rebuilt.
+    """
     text = _col(value).cast("string")
     text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    text = F.regexp_replace(text, "[ \\t]+", " ")
+    text = F.regexp_replace(text, "[ \\t]{2,}|\\t", " ")
     text = strip(F.regexp_replace(text, "\\n{3,}", "\n\n"))
     return F.nullif(text, F.lit("")) if empty_as_none else F.coalesce(text, F.lit(""))
 
 
 def safe_int(value: Column | str) -> Column:
-    text = strip(_col(value).cast("string"))
-    digits = F.replace(text, F.lit("_"), F.lit(""))
-    return F.when(text.rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), digits.try_cast("bigint"))
+    """Integer text (sign, digits, single underscores, outer whitespace) to BIGINT, else NULL."""
+    digits = F.regexp_extract(strip(_col(value).cast("string")), r"\A[+-]?[0-9]+(?:_[0-9]+)*\z", 0)
+    return F.replace(digits, F.lit("_"), F.lit("")).try_cast("bigint")
 
 
-# ISO 8601 date (extended or compact), optionally one separator, a time and an offset.
+# ISO 8601 date (extended or compact), optionally one separator, a time and an offset; each piece
+# of the time may be left out from the right.
 _ISO_DATE = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
-_ISO_TIME = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,]\d+)?)?)?"
 _ISO_OFFSET = r"(Z|[+-]\d{2}(?::?\d{2})?)?"
-_ISO = rf"(?s)\A{_ISO_DATE}(?:.{_ISO_TIME}{_ISO_OFFSET})?\z"
+_ISO = {
+    rf"(?s)\A{_ISO_DATE}\z": "$1-$2$4-$3$5T00:00:00Z",
+    rf"(?s)\A{_ISO_DATE}.(\d{{2}}){_ISO_OFFSET}\z": "$1-$2$4-$3$5T$6:00:00$7",
+    rf"(?s)\A{_ISO_DATE}.(\d{{2}}):?(\d{{2}}){_ISO_OFFSET}\z": "$1-$2$4-$3$5T$6:$7:00$8",
+    rf"(?s)\A{_ISO_DATE}.(\d{{2}}):?(\d{{2}}):?(\d{{2}})(?:[.,]\d+)?{_ISO_OFFSET}\z": "$1-$2$4-$3$5T$6:$7:$8$9",
+}
+_CANONICAL = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)\z"
 
 
 def parse_timestamp(value: Column | str) -> Column:
-    """ISO text to TIMESTAMP; without an offset it is UTC, fractions are cut, bad input is NULL."""
-    text = strip(_col(value).cast("string"))
+    """ISO text to TIMESTAMP; without an offset it is UTC, fractions are cut, bad input is NULL.
 
-    def part(group: int, default: str = "") -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(text, _ISO, group), F.lit("")), F.lit(default))
-
-    offset = F.regexp_replace(part(9, "Z"), r"\A([+-]\d{2}):?(\d{2})?\z", "$1:$2")
-    offset = F.when(offset.endswith(":"), F.concat(offset, F.lit("00"))).otherwise(offset)
-    rendered = F.concat(
-        part(1), F.lit("-"), part(2), part(4), F.lit("-"), part(3), part(5), F.lit("T"),
-        part(6, "00"), F.lit(":"), part(7, "00"), F.lit(":"), part(8, "00"), offset,
-    )
-    return F.when(text.rlike(_ISO), rendered.try_cast("timestamp"))
+    Each accepted form is rewritten to one canonical text in a chain of replacements; whatever is not
+    canonical in the end was not ISO and casts to NULL.
+    """
+    text = strip(_col(value).cast("string"))
+    for pattern, canonical in _ISO.items():
+        text = F.regexp_replace(text, pattern, canonical)
+    text = F.regexp_replace(text, r"(T[\d:]{8})\z", "$1Z")
+    text = F.regexp_replace(text, r"(T[\d:]{8}[+-]\d\d)\z", "$1:00")
+    text = F.regexp_replace(text, r"(T[\d:]{8}[+-]\d\d)(\d\d)\z", "$1:$2")
+    return F.nullif(F.regexp_extract(text, _CANONICAL, 0), F.lit("")).try_cast("timestamp")
 
 
 def iso_utc(value: Column | str) -> Column:
@@ -66,21 +82,33 @@ def iso_utc(value: Column | str) -> Column:
 
 
 def detect_language(text: Column | str) -> Column:
+    """'en' when nine of ten letters are ASCII and the text is long enough or holds a marker word.
+
+    In an ASCII text every letter is ASCII, so a look at its first letters decides; letters are only
+    counted in other texts.
+    """
     text = _col(text)
-    letters = F.regexp_replace(text, "\\P{L}+", "")
-    total = F.length(letters)
-    ascii_letters = F.length(F.regexp_replace(letters, "[^A-Za-z]+", ""))
+    total = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    ascii_letters = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
     marked = F.concat(F.lit(" "), F.lower(text), F.lit(" ")).rlike(" (?:" + "|".join(ENGLISH_MARKERS) + ") ")
-    english = (F.try_divide(ascii_letters, total) >= 0.9) & ((total >= 12) | marked)
+    plain = text.rlike(r"\A(?:[^A-Za-z]*+[A-Za-z]){12}") | (text.rlike("[A-Za-z]") & marked)
+    mixed = (F.try_divide(ascii_letters, total) >= 0.9) & ((total >= 12) | marked)
+    english = F.when(is_ascii(text), plain).otherwise(mixed)
     return F.when(english, F.lit("en")).otherwise(F.lit("unknown"))
 
 
 def token_estimate(text: Column | str) -> Column:
-    return F.regexp_count(_col(text), F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+    """Whitespace-separated tokens, counted by the gaps left after collapsing whitespace."""
+    flat = F.regexp_replace(strip(text), f"[{SPACE_CLASS}]{{2,}}|[{SPACE_CLASS}&&[^ ]]", " ")
+    return F.when(F.length(flat) > 0, occurrences(flat, " ") + 1).otherwise(0)
 
 
 def word_count(text: Column | str) -> Column:
-    return F.regexp_count(_col(text), F.lit(r"(?U)\b[\w']+\b"))
+    """Runs of word characters and apostrophes that hold at least one word character."""
+    mark = "\x01"
+    marked = F.regexp_replace(F.replace(_col(text), F.lit(mark), F.lit(" ")),
+                              f"'*+[{WORD_CLASS}][{WORD_CLASS}']*+", mark)
+    return occurrences(marked, mark)
 
 
 def occurrences(text: Column | str, char: str) -> Column:
@@ -88,25 +116,35 @@ def occurrences(text: Column | str, char: str) -> Column:
 
 
 def redact_text(text: Column | str, limit: int = 180) -> Column:
-    value = F.regexp_replace(_col(text), r"(?U)https?://\S+|www\.\S+", "[URL]")
-    value = F.regexp_replace(value, r"(?U)\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b", "[EMAIL]")
-    value = strip(F.regexp_replace(value, rf"(?U){_SPACE}+", " "))
+    value = F.regexp_replace(_col(text), rf"https?://[^{SPACE_CLASS}]+|www\.[^{SPACE_CLASS}]+", "[URL]")
+    word = f"[{WORD_CLASS}]"
+    mail = rf"(?<!{word})(?={word})[{WORD_CLASS}.+-]+@[{WORD_CLASS}.-]+\.[A-Za-z]{{2,}}(?!{word})"
+    value = F.regexp_replace(value, mail, "[EMAIL]")
+    value = strip(F.regexp_replace(value, f"[{SPACE_CLASS}]+", " "))
     return F.when(F.length(value) > limit, F.concat(F.left(value, F.lit(limit)), F.lit("…"))).otherwise(value)
 
 
 def ascii_fold(text: Column | str) -> Column:
     """Trim spaces and lower-case A-Z only, the equality used by the duplicate-body test."""
-    return F.translate(F.trim(_col(text)), string.ascii_uppercase, string.ascii_lowercase)
+    trimmed = F.trim(_col(text))
+    return F.when(is_ascii(text), F.lower(trimmed)).otherwise(
+        F.translate(trimmed, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def term_pattern(terms: list[str] | tuple[str, ...]) -> str | None:
-    """One case-insensitive, word-bounded alternation for ``terms``; None when no term is left."""
-    escaped = []
+    """One case-insensitive, word-bounded alternation for ``terms``; None when no term is left.
+
+    A look at the first letter comes first: it rules out most positions at once.
+    """
+    escaped, starts = [], set()
     for term in terms:
         words = str(term).split()
         if words:
-            escaped.append(r"\s+".join(re.sub(r"([^\w\s])", r"\\\1", word) for word in words))
-    return rf"(?iU)(?<!\w)(?:{'|'.join(escaped)})(?!\w)" if escaped else None
+            escaped.append(f"[{SPACE_CLASS}]+".join(re.sub(r"([^\w\s])", r"\\\1", word) for word in words))
+            starts.add(re.sub(r"([^\w\s])", r"\\\1", words[0][0]))
+    if not escaped:
+        return None
+    return rf"(?iu)(?=[{''.join(sorted(starts))}])(?<![{WORD_CLASS}])(?:{'|'.join(escaped)})(?![{WORD_CLASS}])"
 
 
 def has_term(text: Column | str, terms: list[str] | tuple[str, ...]) -> Column:

@@ -57,8 +57,7 @@ def triggers() -> dict[str, Column]:
     matched = F.from_json("matched_issue_terms_json", "map<string,array<string>>")
     return {
         **{f"issue_{s}_relevance": F.col(f"issue_{s}").cast("string") == "1" for s in ISSUE_SIGNALS},
-        **{f"{t}_term_relevance": F.exists(F.map_values(matched), lambda terms, t=t: F.array_contains(terms, t))
-           for t in BROAD_TERMS},
+        **{f"{t}_term_relevance": F.array_contains(F.flatten(F.map_values(matched)), t) for t in BROAD_TERMS},
     }
 
 
@@ -206,7 +205,7 @@ def flagged_comparison(answers: DataFrame) -> DataFrame:
     gap = by_flag.agg(
         F.max(F.when((F.col("flag") == "1") & (F.col("total") > 0), F.col("estimate"))).alias("one"),
         F.max(F.when((F.col("flag") == "0") & (F.col("total") > 0), F.col("estimate"))).alias("zero"))
-    return by_flag.join(F.broadcast(gap.select((F.col("one") - F.col("zero")).alias("point_difference"))))  # one row
+    return by_flag.withColumn("point_difference", gap.select(F.col("one") - F.col("zero")).scalar())
 
 
 def _relevance_table(answers: DataFrame, name: str, fields: dict[str, tuple[Column, str]]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedfold.functions.text import SPACE_CLASS
 from feedfold.operators.fold import REVIEW_KEY
 from feedfold.sources.lexicon import NEGATIVE_TERMS, POSITIVE_TERMS
 
@@ -34,8 +35,8 @@ _EDGE = r"""[.,!?;:'"()\[\]{}]*"""
 def has_word(body: Column | str, words: tuple[str, ...]) -> Column:
     """True when a whitespace token of ``body``, stripped of edge punctuation, is one of ``words``."""
     text = F.lower(F.col(body) if isinstance(body, str) else body)
-    space = r"[\s\x1c-\x1f]"
-    return text.rlike(rf"(?U)(?:\A|{space}){_EDGE}(?:{'|'.join(words)}){_EDGE}(?:{space}|\z)")
+    space = f"[{SPACE_CLASS}]"
+    return text.rlike(rf"(?:\A|{space}){_EDGE}(?:{'|'.join(words)}){_EDGE}(?:{space}|\z)")
 
 
 def is_non_english() -> Column:

@@ -89,5 +89,4 @@ def reviews_by_app(apps: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def latest_run_outcomes(counters: DataFrame) -> DataFrame:
-    last = counters.agg(F.max("run_id").alias("run_id"))
-    return counters.join(F.broadcast(last), "run_id")  # one row
+    return counters.filter(F.col("run_id") == counters.agg(F.max("run_id")).scalar())

@@ -23,37 +23,37 @@ def payload_hash(canonical: Column | str = "raw_record") -> Column:
     return F.sha2(canonical, 256)
 
 
+# Optional text fields: parsed field, normalised field.
+_OPTIONAL = {"id_raw": "source_review_id", "title_raw": "title", "author_label_raw": "author_label",
+             "author_uri_raw": "author_uri", "app_version_raw": "app_version", "review_url_raw": "review_url"}
+
+
 def normalise(entries: DataFrame) -> DataFrame:
     """Typed columns for every parsed entry; lineage columns pass through unchanged.
 
-    ``raw_record`` must already be canonical JSON, as the entry parser yields it.
+    ``raw_record`` must already be canonical JSON, as the entry parser yields it. Cleaning comes
+    first and whatever is derived from cleaned text comes after, so no text is cleaned twice.
     """
-    raw = [c for c in entries.columns if c.endswith("_raw")]
-    body = tx.clean_text("body_raw")
-    title = tx.clean_text("title_raw", True)
-    typed = entries.select(
-        *[c for c in entries.columns if c not in raw],
-        tx.clean_text("id_raw", True).alias("source_review_id"),
+    lineage = [c for c in entries.columns if not c.endswith("_raw")]
+    cleaned = entries.select(
+        *lineage,
+        *[tx.clean_text(raw).alias(name) for raw, name in _OPTIONAL.items()],
+        tx.clean_text("body_raw").alias("body"),
         tx.safe_int("rating_raw").alias("rating"),
-        title.alias("title"),
-        body.alias("body"),
-        tx.clean_text("author_label_raw", True).alias("author_label"),
-        tx.clean_text("author_uri_raw", True).alias("author_uri"),
         tx.parse_timestamp("published_raw").alias("published_at"),
-        tx.clean_text("app_version_raw", True).alias("app_version"),
-        tx.clean_text("review_url_raw", True).alias("review_url"),
         tx.safe_int("vote_count_raw").alias("vote_count"),
         tx.safe_int("vote_sum_raw").alias("vote_sum"),
         payload_hash().alias("raw_payload_hash"),
     )
-    spoken = tx.strip(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("body")))
+    typed = cleaned.withColumns({name: F.nullif(name, F.lit("")) for name in _OPTIONAL.values()})
+    typed = typed.withColumn("spoken_text", tx.strip(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "body")))
     return typed.withColumns({
-        "detected_language": tx.detect_language(spoken),
+        "detected_language": tx.detect_language("spoken_text"),
         "body_char_count": F.length("body").cast("bigint"),
         "body_token_estimate": tx.token_estimate("body").cast("bigint"),
         "author_fingerprint": tx.author_fingerprint("source_platform", "author_uri", "author_label"),
         "raw_feed_page_id": raw_page_id(),
-    })
+    }).drop("spoken_text")
 
 
 def attach_cohort(observations: DataFrame, cohort: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def validation_reasons() -> Column:
         F.col("source_review_id").isNull() | (F.col("source_review_id") == ""),
         rating.isNull(),
         rating.isNotNull() & ~rating.between(1, 5),
-        tx.strip("body") == "",
+        F.col("body") == "",  # cleaned text has no outer whitespace
         F.col("published_at").isNull(),
         F.col("raw_record").isNull() | ~F.startswith(F.col("raw_record"), F.lit("{")),
     ]
@@ -76,7 +76,9 @@ def validation_reasons() -> Column:
 
 
 def validate(observations: DataFrame) -> DataFrame:
-    return observations.withColumn("reasons", validation_reasons())
+    """Add ``reasons``. The one-element explode keeps later filters on the result of the rules, where
+    pushing them further down would clean every text a second time."""
+    return observations.select("*", F.explode(F.array(validation_reasons())).alias("reasons"))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -53,14 +53,13 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 def value_shares(features: DataFrame) -> DataFrame:
     """Count and share of every rating, and of every label (labels without rows included)."""
     counts = features.groupBy("rating", "weak_label").agg(F.count("*").alias("n"))  # at most a few rows
-    total = counts.agg(F.sum("n").alias("total"))
+    total = counts.agg(F.sum("n")).scalar()
     ratings = counts.groupBy(F.col("rating").cast("string").alias("value")).agg(F.sum("n").alias("row_count")).select(
         F.lit("rating").alias("variable"), "value", "row_count")
     labels = counts.agg(*[F.coalesce(F.sum(F.when(F.col("weak_label") == l, F.col("n"))), F.lit(0)).alias(l)
                           for l in WEAK_LABELS]).unpivot([], list(WEAK_LABELS), "value", "row_count").select(
         F.lit("weak_label").alias("variable"), "value", "row_count")
-    return (ratings.unionByName(labels).join(F.broadcast(total))  # one row
-            .select("variable", "value", "row_count", share(F.col("row_count"), F.col("total")).alias("share")))
+    return ratings.unionByName(labels).withColumn("share", share(F.col("row_count"), total))
 
 
 def label_shares(features: DataFrame, key: str) -> DataFrame:
@@ -89,9 +88,8 @@ def length_describe(features: DataFrame) -> DataFrame:
 
 def clipped_box_stats(features: DataFrame, column: str = "body_char_count", clip_at: float = 0.99) -> DataFrame:
     """Quartiles and 1.5-IQR whiskers per label after clipping at a global percentile."""
-    limit = features.agg(F.percentile(column, clip_at).alias("clip"))
-    clipped = features.select("weak_label", F.col(column).cast("double").alias("x")).join(F.broadcast(limit)).select(
-        "weak_label", F.least("x", "clip").alias("x"))  # one row
+    limit = features.agg(F.percentile(column, clip_at)).scalar()
+    clipped = features.select("weak_label", F.least(F.col(column).cast("double"), limit).alias("x"))
     quartiles = clipped.groupBy("weak_label").agg(
         F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     quartiles = quartiles.select("weak_label", *[

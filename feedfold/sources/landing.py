@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedfold.sources.lexicon import BROAD_TERMS, ISSUE_SIGNALS
+
 PLATFORM = "app_store"
 RUNS = (1, 2, 3)
 PAGE_ENTRIES = 250
@@ -36,7 +38,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     app_no = F.substring("source", 4, 10).cast("bigint") % 10
-    lang_no = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), "lang"), F.lit(0))
+    lang_no = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")), F.lit(0))
     return docs.join(events, docs.doc_id == events.event_id).select(
         "doc_id", "text", "n_chars", F.col("lang").alias("storefront"),
         app_no.alias("app_no"), lang_no.cast("bigint").alias("lang_no"),
@@ -203,7 +205,7 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("App "), F.col("app_no")).alias("app_name"),
         F.concat(F.lit("v"), F.col("app_no") % 6).alias("vertical"),
         F.upper("lang").alias("storefront"), F.upper("lang").alias("expected_language"),
-        ~((F.col("app_no") == 9) & (F.col("lang") == "es")).alias("enabled"),
+        (~((F.col("app_no") == 9) & (F.col("lang") == "es"))).alias("enabled"),
         F.lit("from documents").alias("notes"))
 
 
@@ -227,3 +229,38 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(503).cast("bigint").alias("http_status"),
         F.concat(F.lit("HTTP 503 for "), F.col("source_app_id")).alias("error"))
     return answered.unionByName(failed)
+
+
+def annotations(spark: SparkSession, sf_dir: str, manifest: DataFrame, recheck: bool = False) -> DataFrame:
+    """Answers for every manifest row, spelled the many ways annotators do, taken from ``labels``.
+
+    Rows without a label stay blank. ``recheck`` gives the second look, which differs on some rows.
+    """
+    labels = read_table(spark, sf_dir, "labels")
+    rows = manifest.select("sample_id", "weak_label", "detected_language",
+                           F.substring("source_review_id", 3, 20).cast("bigint").alias("doc_id"))
+    rows = rows.join(labels, "doc_id", "left")
+    doc, quality, toxic = F.col("doc_id"), F.col("quality"), F.col("toxic")
+    changed = (doc % 10 == 3) if recheck else F.lit(False)
+
+    def answer(second_look: str, value: Column) -> Column:
+        return F.when(changed, F.lit(second_look)).otherwise(value)
+
+    def relevance(number: int) -> Column:
+        turn = (doc + number) % 4
+        return answer("not_relevant", F.when(quality == 1, F.when(turn == 0, "not_relevant").otherwise("1"))
+                      .when(quality == 0, F.when(turn < 2, "0").otherwise("Yes")).otherwise(""))
+
+    return rows.select(
+        "sample_id",
+        answer("Mixed", F.when(quality == 1, F.upper("weak_label"))
+               .when(quality == 0, F.when(doc % 3 == 0, "mixed").when(doc % 3 == 1, "neutral").otherwise(""))
+               .otherwise(F.when(doc % 4 == 0, " unclear ").otherwise(F.col("weak_label")))).alias("apparent_sentiment"),
+        answer("disagree", F.when(quality == 1, F.when(doc % 2 == 0, "1").otherwise("Yes")).when(quality == 0, "disagree")
+               .otherwise("")).alias("rating_label_agreement"),
+        answer("yes", F.when(toxic == 1, "1").when(toxic == 0, "no").otherwise("")).alias("mixed_sentiment"),
+        F.when(F.col("detected_language") == "en", "YES").otherwise("0").alias("appears_english"),
+        F.when(toxic == 1, "no").otherwise("1").alias("text_interpretable"),
+        *[relevance(i).alias(f"issue_{s}_relevance") for i, s in enumerate(ISSUE_SIGNALS)],
+        *[relevance(7 + i).alias(f"{t}_term_relevance") for i, t in enumerate(BROAD_TERMS)],
+        F.lit("").alias("annotation_notes"))

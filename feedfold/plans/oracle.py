@@ -245,12 +245,12 @@ CTES: dict[str, str] = {
         f"{terms('combined', ISSUE_TERMS[s])}::INTEGER AS issue_{s}" for s in ISSUE_SIGNALS) + ", "
         + ", ".join(f"{terms('combined', [t])}::INTEGER AS term_{t}" for t in BROAD_TERMS)
         + f", {terms('combined', POSITIVE_TERMS)} AS has_positive, {terms('combined', NEGATIVE_TERMS)} AS has_negative FROM featured",
-    "features": r"""SELECT *, length(title) AS title_char_count, length(body) AS body_char_count,
-        len(regexp_extract_all(body, '[\p{L}\p{N}_'']*[\p{L}\p{N}_][\p{L}\p{N}_'']*')) AS body_word_count,
-        length(combined) - length(replace(combined, '?', '')) AS question_mark_count,
-        length(combined) - length(replace(combined, '!', '')) AS exclamation_mark_count,
-        year(published_at) AS published_year, month(published_at) AS published_month,
-        dayname(published_at) AS published_day_of_week, hour(published_at) AS published_hour,
+    "features": r"""SELECT *, length(title)::INTEGER AS title_char_count, length(body)::INTEGER AS body_char_count,
+        len(regexp_extract_all(body, '[\p{L}\p{N}_'']*[\p{L}\p{N}_][\p{L}\p{N}_'']*'))::INTEGER AS body_word_count,
+        (length(combined) - length(replace(combined, '?', '')))::INTEGER AS question_mark_count,
+        (length(combined) - length(replace(combined, '!', '')))::INTEGER AS exclamation_mark_count,
+        year(published_at)::INTEGER AS published_year, month(published_at)::INTEGER AS published_month,
+        dayname(published_at) AS published_day_of_week, hour(published_at)::INTEGER AS published_hour,
         """ + "+".join(f"quality_flag_{t}" for t in FLAG_TYPES) + """ AS quality_flag_count,
         (quality_flag_count > 0)::INTEGER AS has_any_quality_flag,
         """ + "+".join(f"issue_{s}" for s in ISSUE_SIGNALS) + """ AS issue_signal_count,

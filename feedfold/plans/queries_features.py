@@ -154,7 +154,7 @@ register("mismatch_by_label", """SELECT weak_label, round(avg(1 - quality_flag_r
     round(avg(quality_flag_rating_text_mismatch), 9) AS mismatch_share FROM features GROUP BY weak_label""")(
     lambda f: profile.flag_share(f.features, "weak_label", "quality_flag_rating_text_mismatch", "mismatch"))
 
-register("noise_examples", r"""SELECT app_name, vertical_name, rating, weak_label, weak_label_noise_reasons, place,
+register("noise_examples", r"""SELECT app_name, vertical_name, rating, weak_label, weak_label_noise_reasons, place::INTEGER AS place,
     CASE WHEN length(t) > 180 THEN left(t, 180)||'…' ELSE t END AS body_excerpt FROM (SELECT *, trim(regexp_replace(
         regexp_replace(regexp_replace(body, 'https?://\S+|www\.\S+', '[URL]', 'g'),
         '(^|[^\p{L}\p{N}_])[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}', '\1[EMAIL]', 'g'), '\s+', ' ', 'g')) AS t

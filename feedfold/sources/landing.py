@@ -39,7 +39,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     app_no = F.substring("source", 4, 10).cast("bigint") % 10
     lang_no = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")), F.lit(0))
-    return docs.join(events, docs.doc_id == events.event_id).select(
+    # Events grow with the documents, so this is a sort-merge join at any size: it spills, and it
+    # spreads the text work even when the documents arrive as one file.
+    return docs.join(events.hint("merge"), docs.doc_id == events.event_id).select(
         "doc_id", "text", "n_chars", F.col("lang").alias("storefront"),
         app_no.alias("app_no"), lang_no.cast("bigint").alias("lang_no"),
         F.concat(F.lit("app-"), app_no).alias("source_app_id"),

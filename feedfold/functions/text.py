@@ -97,9 +97,16 @@ def detect_language(text: Column | str) -> Column:
     return F.when(english, F.lit("en")).otherwise(F.lit("unknown"))
 
 
-def token_estimate(text: Column | str) -> Column:
-    """Whitespace-separated tokens, counted by the gaps left after collapsing whitespace."""
-    flat = F.regexp_replace(strip(text), f"[{SPACE_CLASS}]{{2,}}|[{SPACE_CLASS}&&[^ ]]", " ")
+def flat_text(text: Column | str) -> Column:
+    """Every run of whitespace as one space; ASCII texts take a pattern of plain character tests."""
+    text = strip(text)
+    rare = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+    plain = F.regexp_replace(text, f"[ {rare}]{{2,}}|[{rare}]", " ")
+    return F.when(is_ascii(text), plain).otherwise(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
+
+
+def token_estimate(flat: Column | str) -> Column:
+    """Whitespace-separated tokens of a flattened text, by its gaps."""
     return F.when(F.length(flat) > 0, occurrences(flat, " ") + 1).otherwise(0)
 
 

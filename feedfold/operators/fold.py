@@ -127,27 +127,26 @@ def _stored_bodies(narrow: DataFrame, *extra: str) -> DataFrame:
         F.min("seq").alias("first_seq"), F.min_by("body_key", "seq").alias("body_key"))
 
 
-def with_body_key(valid: DataFrame) -> DataFrame:
-    """Replace the text by its digest; only keys, ``seq`` and the digest travel from here on."""
-    return valid.select("*", body_key().alias("body_key"), seq().alias("seq")).drop("body", "title", "raw_record")
+def narrow_log(observations: DataFrame) -> DataFrame:
+    """Observations without their texts: the body by its digest, plus ``seq``; all later steps that
+    need no text run on this."""
+    return observations.select("*", body_key().alias("body_key"), seq().alias("seq")).drop("body", "title", "raw_record")
 
 
-def duplicate_text(loaded: DataFrame) -> DataFrame:
+def duplicate_text(narrow: DataFrame) -> DataFrame:
     """Mark loaded observations whose body another, already loaded review of the same feed holds.
 
     The stored body is a review's first one, while the tested body is the observation's own.
     """
-    narrow = with_body_key(loaded)
     return _seen_before(narrow, _stored_bodies(narrow), [*FEED_KEY, "body_key"], "duplicate_text")
 
 
-def duplicate_text_undone(valid: DataFrame) -> DataFrame:
+def duplicate_text_undone(narrow: DataFrame) -> DataFrame:
     """The same mark for the entries a rolled-back page had processed before its failure.
 
     They see the loaded reviews and what their own page had inserted before them, and are never seen
     by entries of other pages.
     """
-    narrow = with_body_key(valid)
     stored = _stored_bodies(narrow.filter(F.col("failed_pos").isNull()))
     undone = narrow.filter(F.col("entry_pos") < F.col("failed_pos"))
     fresh = (_stored_bodies(undone, "raw_feed_page_id")

@@ -46,14 +46,16 @@ def normalise(entries: DataFrame) -> DataFrame:
         payload_hash().alias("raw_payload_hash"),
     )
     typed = cleaned.withColumns({name: F.nullif(name, F.lit("")) for name in _OPTIONAL.values()})
-    typed = typed.withColumn("spoken_text", tx.strip(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "body")))
+    typed = typed.withColumns({
+        "spoken_text": tx.strip(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "body")),
+        "flat_body": tx.flat_text("body")})
     return typed.withColumns({
         "detected_language": tx.detect_language("spoken_text"),
         "body_char_count": F.length("body").cast("bigint"),
-        "body_token_estimate": tx.token_estimate("body").cast("bigint"),
+        "body_token_estimate": tx.token_estimate("flat_body").cast("bigint"),
         "author_fingerprint": tx.author_fingerprint("source_platform", "author_uri", "author_label"),
         "raw_feed_page_id": raw_page_id(),
-    }).drop("spoken_text")
+    }).drop("spoken_text", "flat_body")
 
 
 def attach_cohort(observations: DataFrame, cohort: DataFrame) -> DataFrame:

@@ -69,29 +69,45 @@ class Feed:
 
     @cached_property
     def valid(self) -> DataFrame:
+        """Loaded observations with their texts."""
         return normalise.split_valid(normalise.committed(self.marked))[0]
 
+    @cached_property
+    def log(self) -> DataFrame:
+        """All observations without texts, written once: everything but the reviews reads this."""
+        return self.stored("log", fold.narrow_log(flags.with_mismatch(self.marked)))
+
+    @cached_property
+    def loaded(self) -> DataFrame:
+        return normalise.split_valid(normalise.committed(self.log))[0]
+
     @cached_property
     def rejects(self) -> DataFrame:
         return normalise.rejected_records(self.marked)
 
+    @cached_property
+    def rejected_log(self) -> DataFrame:
+        """Rejected observations without their payloads."""
+        return normalise.split_valid(normalise.committed(self.log))[1].withColumn(
+            "rejection_reason", F.get("reasons", F.lit(0)))
+
     @cached_property
     def pages(self) -> DataFrame:
         return normalise.page_status(landing.pages(self.spark, self.source),
-                                     normalise.rolled_back_pages(self.validated))
+                                     normalise.rolled_back_pages(self.log))
 
     # --- folds ------------------------------------------------------------------------------
     @cached_property
     def labels(self) -> DataFrame:
-        return fold.label_inserts(self.valid)
+        return fold.label_inserts(self.loaded)
 
     @cached_property
     def checked(self) -> DataFrame:
-        return fold.duplicate_text(flags.with_mismatch(self.valid))
+        return fold.duplicate_text(self.loaded)
 
     @cached_property
     def observed_flags(self) -> DataFrame:
-        undone = fold.duplicate_text_undone(flags.with_mismatch(normalise.split_valid(self.marked)[0]))
+        undone = fold.duplicate_text_undone(normalise.split_valid(self.log)[0])
         return flags.observed_flags(self.checked).unionByName(flags.observed_flags(undone))
 
     @cached_property
@@ -100,11 +116,11 @@ class Feed:
 
     @cached_property
     def reviewers(self) -> DataFrame:
-        return fold.reviewer_upsert(self.valid)
+        return fold.reviewer_upsert(self.loaded)
 
     def narrow_reviews(self, *columns: str) -> DataFrame:
         """Canonical reviews carrying only the named values."""
-        return fold.review_upsert(self.valid, list(columns))
+        return fold.review_upsert(self.loaded, list(columns))
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -117,7 +133,7 @@ class Feed:
     # --- counters ---------------------------------------------------------------------------
     @cached_property
     def feed_counters(self) -> DataFrame:
-        return accounting.feed_counters(self.requests, self.pages, self.validated, self.labels, self.rejects,
+        return accounting.feed_counters(self.requests, self.pages, self.log, self.labels, self.rejected_log,
                                         self.review_flags, self.fetch_log)
 
     @cached_property

@@ -30,7 +30,7 @@ register("first_last_seen", f"""SELECT r.review_id, first_raw_feed_page_id, firs
     {iso('first_seen_at')} AS first_fetched_at, last_raw_feed_page_id, last_seen_run_id AS last_run_id,
     {iso('last_seen_at')} AS last_fetched_at, (SELECT count(*) FROM good g WHERE g.source_app_id = r.source_app_id
         AND g.storefront = r.storefront AND g.source_review_id = r.source_review_id) AS observation_count FROM reviews r""")(
-    lambda f: fold.first_last_seen(f.valid))
+    lambda f: fold.first_last_seen(f.loaded))
 
 register("reviewer_upsert", f"""SELECT source_platform, author_fingerprint, author_uri, author_label,
     {iso('created')} AS created_at, {iso('fetched_at')} AS updated_at
@@ -91,17 +91,13 @@ register("quality_flags", f"SELECT {_KEY}, run_id, flag_type, flag_severity, fla
 
 
 # --- constraints ----------------------------------------------------------------------------------
-def _log(f):
-    """The observation log, on which constraints of the review table do break."""
-    return f.validated.withColumn("app_storefront_id", F.concat_ws("/", "source_app_id", "storefront"))
-
-
+# The observation log is where constraints of the review table do break.
 register("expect_unique", """
     SELECT 'observations' AS table_name, 'unique' AS rule, 'source_app_id,storefront,source_review_id' AS subject,
         concat_ws('|', source_app_id, storefront, source_review_id) AS violating_key, count(*) AS n
     FROM obs WHERE source_review_id IS NOT NULL GROUP BY source_app_id, storefront, source_review_id HAVING count(*) > 1""")(
     lambda f: expect(
-        unique_rule(f.validated, "observations", KEY),
+        unique_rule(f.log, "observations", KEY),
         unique_rule(f.reviews, "reviews", fold.REVIEW_KEY),
         unique_rule(f.review_flags, "review_quality_flags", ["review_id", "flag_type"]),
         unique_rule(f.reviewers, "reviewers", ["source_platform", "author_fingerprint"]),
@@ -122,15 +118,15 @@ register("expect_foreign_key", """
         AND r.storefront = o.storefront AND r.source_review_id = o.source_review_id)
     GROUP BY source_app_id, storefront, source_review_id""")(
     lambda f: expect(
-        foreign_key_rule(f.validated, "observations", ["author_fingerprint"], f.reviewers, ["author_fingerprint"]),
-        foreign_key_rule(f.validated, "observations", KEY, f.reviews, KEY),
+        foreign_key_rule(f.log, "observations", ["author_fingerprint"], f.reviewers, ["author_fingerprint"]),
+        foreign_key_rule(f.log, "observations", KEY, f.reviews, KEY),
         foreign_key_rule(f.dims["apps"], "apps", ["vertical_name"], f.dims["verticals"], ["vertical_name"]),
         foreign_key_rule(f.dims["storefronts"], "app_storefronts", ["source_app_id"], f.dims["apps"], ["source_app_id"]),
         foreign_key_rule(f.reviews, "reviews", ["source_app_id", "storefront"], f.dims["storefronts"],
                          ["source_app_id", "storefront"]),
         foreign_key_rule(f.reviews, "reviews", ["author_fingerprint"], f.reviewers, ["author_fingerprint"]),
         foreign_key_rule(f.review_flags, "review_quality_flags", ["review_id"], f.reviews, ["review_id"]),
-        foreign_key_rule(f.rejects, "rejected_review_records", ["source_app_id", "storefront"],
+        foreign_key_rule(f.rejected_log, "rejected_review_records", ["source_app_id", "storefront"],
                          f.dims["storefronts"], ["source_app_id", "storefront"])))
 
 register("expect_check", """

@@ -114,8 +114,8 @@ register("char_count", f"SELECT {_ID}, length(body) AS body_char_count FROM obs_
     lambda f: f.entries.select(*PAGE, "entry_pos", F.length(tx.clean_text("body_raw")).cast("bigint").alias("body_char_count")))
 
 register("token_estimate", f"SELECT {_ID}, body_token_estimate FROM obs")(
-    lambda f: f.entries.select(*PAGE, "entry_pos", tx.token_estimate(tx.clean_text("body_raw")).cast("bigint")
-                               .alias("body_token_estimate")))
+    lambda f: f.entries.withColumn("flat", tx.flat_text(tx.clean_text("body_raw"))).select(
+        *PAGE, "entry_pos", tx.token_estimate("flat").cast("bigint").alias("body_token_estimate")))
 
 _NORMAL = """source_platform, source_endpoint, storefront, source_app_id, source_review_id, review_url, author_label,
     author_uri, rating, title, body, app_version, vote_count, vote_sum, raw_payload_hash, detected_language,
@@ -152,7 +152,7 @@ register("rejected_records", """SELECT run_id, raw_feed_page_id, source_app_id,
 
 register("page_atomicity", f"""SELECT {_PAGE}, failed_pos IS NOT NULL AS rolled_back, count(*) AS entry_count
     FROM marked GROUP BY ALL""")(
-    lambda f: f.marked.groupBy(*PAGE).agg(F.bool_or(F.col("failed_pos").isNotNull()).alias("rolled_back"),
+    lambda f: f.log.groupBy(*PAGE).agg(F.bool_or(F.col("failed_pos").isNotNull()).alias("rolled_back"),
                                           F.count("*").alias("entry_count")))
 
 register("page_status", f"SELECT {_PAGE}, parse_status, parse_error FROM pages_done")(

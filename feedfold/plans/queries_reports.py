@@ -56,7 +56,7 @@ register("parse_status_counts", "SELECT parse_status, count(*) AS page_count FRO
 
 register("rejects_by_reason", """SELECT reasons[1] AS rejection_reason, count(*) AS rejected_count FROM marked
     WHERE NOT valid AND failed_pos IS NULL GROUP BY ALL""")(
-    lambda f: health.count_by(f.rejects, "rejection_reason", name="rejected_count"))
+    lambda f: health.count_by(f.rejected_log, "rejection_reason", name="rejected_count"))
 
 register("reviews_by_vertical_app", f"""SELECT vertical_name, app_name, storefront, count(*) AS review_count,
     {iso('min(published_at)')} AS earliest_review_at, {iso('max(published_at)')} AS latest_review_at FROM view GROUP BY ALL""")(
@@ -99,7 +99,7 @@ register("table_counts", """SELECT 'apps' AS table_name, count(DISTINCT source_a
     UNION ALL SELECT 'quality_flags', count(*) FROM flags""")(
     lambda f: health.table_counts({
         "apps": f.dims["apps"], "storefronts": f.dims["storefronts"], "ingestion_runs": f.runs, "raw_pages": f.pages,
-        "valid_reviews": f.reviews, "rejected_records": f.rejects, "quality_flags": f.review_flags}))
+        "valid_reviews": f.reviews, "rejected_records": f.rejected_log, "quality_flags": f.review_flags}))
 
 register("reviews_by_app_left", """SELECT a.source_app_id, a.app_name, a.vertical_name, count(r.review_id) AS review_count
     FROM (SELECT DISTINCT source_app_id, app_name, vertical_name FROM feeds) a LEFT JOIN reviews r

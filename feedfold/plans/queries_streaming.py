@@ -17,7 +17,7 @@ def _landed(f: Feed):
     """Write the raw pages to the shared folder, split by run, and open them as a stream."""
     path = fresh_path(f.spark, "landed")
     f.raw_pages.write.partitionBy("run_id").parquet(path)
-    return ingest.stream_page_table(f.spark, path, f.raw_pages.schema, files_per_batch=2)
+    return ingest.stream_page_table(f.spark, path, f.raw_pages.schema, files_per_batch=8)
 
 
 def _ingested(f: Feed):

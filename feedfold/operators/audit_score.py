@@ -230,12 +230,12 @@ def recheck_kappa(answers: DataFrame, recheck: DataFrame) -> DataFrame:
     """Agreement and Cohen's kappa per field between two annotations of the same rows."""
     fields = [*CORE_FIELDS, *RELEVANCE_FIELDS]
 
-    def long(df: DataFrame, name: str) -> DataFrame:
-        return df.select("sample_id", *[F.col(f).alias(f) for f in fields]).unpivot(
-            ["sample_id"], fields, "field", name)
-
-    pairs = long(answers, "left").join(long(recheck, "right"), ["sample_id", "field"]).groupBy(
-        "field", "left", "right").agg(F.count("*").alias("n"))  # at most fields x answers x answers rows
+    second = recheck.select("sample_id", *[F.col(f).alias(f"again_{f}") for f in fields])
+    both = answers.select("sample_id", *fields).join(second, "sample_id")
+    pair = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("left"), F.col(f"again_{f}").alias("right"))
+                               for f in fields])).alias("x")
+    pairs = both.select(pair).select("x.*").groupBy("field", "left", "right").agg(
+        F.count("*").alias("n"))  # at most fields x answers x answers rows
     observed = pairs.groupBy("field").agg(
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("left") == F.col("right"), F.col("n"))), F.lit(0)).alias("same"))
     left = pairs.groupBy("field", F.col("left").alias("answer")).agg(F.sum("n").alias("left_n"))

@@ -80,10 +80,15 @@ def first_seen(valid: DataFrame) -> DataFrame:
 
 
 def label_inserts(valid: DataFrame) -> DataFrame:
-    """Each observation as ``inserted`` (first of its key) or ``updated``."""
+    """Each observation as ``inserted`` (first of its key) or ``updated``.
+
+    The first ``seq`` per key is a combined minimum and is joined back, so a key with very many
+    observations is never sorted in one window; the skew join splits it.
+    """
     narrow = valid.select(*REVIEW_KEY, "run_id", "app_order", "page_number", "entry_pos")
-    order = W.partitionBy(*REVIEW_KEY).orderBy("run_id", "app_order", "page_number", "entry_pos")
-    return narrow.withColumn("action", F.when(F.row_number().over(order) == 1, "inserted").otherwise("updated"))
+    first = seq() == F.col("first_seq")
+    return narrow.join(first_seen(valid), REVIEW_KEY).withColumn(
+        "action", F.when(first, "inserted").otherwise("updated")).drop("first_seq")
 
 
 def reviewer_upsert(valid: DataFrame) -> DataFrame:

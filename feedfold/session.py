@@ -27,6 +27,9 @@ def build_session(app_name: str = "feedfold", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,9 +37,10 @@ def work_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    created = tempfile.mkdtemp(prefix="feedfold-")
-    spark.conf.set("spark.checkpoint.dir", created)
-    return created
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="feedfold-")
+    return _LOCAL_DIRS[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

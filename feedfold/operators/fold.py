@@ -31,14 +31,10 @@ def review_id() -> Column:
     return F.concat_ws("/", "source_app_id", "storefront", "source_review_id")
 
 
-def partial_reviews(valid: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """First and last observation per review; the output folds again with itself.
-
-    ``columns`` limits the carried values, so a count by rating does not shuffle review texts.
-    """
-    wanted = set(columns) if columns is not None else {*FIRST_WINS, *LAST_WINS}
-    first = F.struct(seq().alias("seq"), *[c for c in FIRST_WINS if c in wanted], *LINEAGE)
-    last = F.struct(seq().alias("seq"), *[c for c in LAST_WINS if c in wanted], *LINEAGE)
+def partial_reviews(valid: DataFrame) -> DataFrame:
+    """First and last observation per review; the output folds again with itself."""
+    first = F.struct(seq().alias("seq"), *FIRST_WINS, *LINEAGE)
+    last = F.struct(seq().alias("seq"), *LAST_WINS, *LINEAGE)
     return valid.groupBy(*REVIEW_KEY).agg(
         F.min_by(first, seq()).alias("first"), F.max_by(last, seq()).alias("last"))
 
@@ -51,16 +47,23 @@ def merge_partials(partials: DataFrame) -> DataFrame:
 def reviews_from_partials(partials: DataFrame) -> DataFrame:
     return partials.select(
         review_id().alias("review_id"), *REVIEW_KEY,
-        *[F.col(f"{end}.{c}").alias(c) for end, names in (("first", FIRST_WINS), ("last", LAST_WINS))
-          for c in names if c in partials.schema[end].dataType.names],
+        *[F.col(f"first.{c}").alias(c) for c in FIRST_WINS],
+        *[F.col(f"last.{c}").alias(c) for c in LAST_WINS],
         F.col("first.raw_feed_page_id").alias("first_raw_feed_page_id"),
         F.col("last.raw_feed_page_id").alias("last_raw_feed_page_id"),
         F.col("first.run_id").alias("first_seen_run_id"), F.col("last.run_id").alias("last_seen_run_id"),
         F.col("first.fetched_at").alias("first_seen_at"), F.col("last.fetched_at").alias("last_seen_at"))
 
 
-def review_upsert(valid: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return reviews_from_partials(partial_reviews(valid, columns))
+def review_upsert(valid: DataFrame) -> DataFrame:
+    return reviews_from_partials(partial_reviews(valid))
+
+
+def narrow_reviews(valid: DataFrame, *columns: str) -> DataFrame:
+    """Canonical reviews with only the named values, so a count by rating shuffles no texts."""
+    chosen = {c: (F.min_by if c in FIRST_WINS else F.max_by)(c, seq()).alias(c) for c in columns}
+    return valid.groupBy(*REVIEW_KEY).agg(*chosen.values()).select(
+        review_id().alias("review_id"), *REVIEW_KEY, *columns)
 
 
 def first_last_seen(valid: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ class Feed:
 
     def narrow_reviews(self, *columns: str) -> DataFrame:
         """Canonical reviews carrying only the named values."""
-        return fold.review_upsert(self.loaded, list(columns))
+        return fold.narrow_reviews(self.loaded, *columns)
 
     @cached_property
     def reviews(self) -> DataFrame:

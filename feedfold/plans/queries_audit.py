@@ -128,7 +128,8 @@ def _scored(f):
 
 
 def _answers(f, recheck: bool = False):
-    return sc.canonical_answers(_scored(f), landing.annotations(f.spark, f.source, _scored(f), recheck))
+    answers = sc.canonical_answers(_scored(f), landing.annotations(f.spark, f.source, _scored(f), recheck))
+    return f.stored("answers-again" if recheck else "answers", answers)
 
 
 _REL = [*(f"issue_{s}_relevance" for s in ISSUE_SIGNALS), *(f"{t}_term_relevance" for t in BROAD_TERMS)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedfold.llm.bpe import decode, encode
 from feedfold.llm.common import table
 from feedfold.llm.exact_dedup import exact_groups
+from feedfold.llm.substring_dedup import remove_repeated_windows
 from feedfold.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_byte_bpe"] = op10_byte_bpe
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed").alias("n_intervals"))
+
+
+QUERIES["op4_substring_dedup"] = op4_substring_dedup

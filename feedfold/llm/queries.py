@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedfold.llm.bpe import decode, encode
 from feedfold.llm.common import table
 from feedfold.llm.exact_dedup import exact_groups
+from feedfold.llm.packing import pack, tokenize
 from feedfold.llm.substring_dedup import remove_repeated_windows
 from feedfold.llm.url_filter import judge_urls
 
@@ -78,3 +79,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_substring_dedup"] = op4_substring_dedup
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces with the checksum of their ids."""
+    tokens = tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack(tokens).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                               "offset", "source")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_packing"] = op7_packing

@@ -14,6 +14,7 @@ from feedfold.llm.exact_dedup import exact_groups
 from feedfold.llm.packing import pack, tokenize
 from feedfold.llm.substring_dedup import remove_repeated_windows
 from feedfold.llm.url_filter import judge_urls
+from feedfold.llm.warc import read_archives, resolved, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +94,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_packing"] = op7_packing
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_archives(table(spark, sf_dir, "pages"))
+    return resolved(read_archives(spark, path)).drop("intact")
+
+
+QUERIES["op2_warc"] = op2_warc
+ORACLE["op2_warc"] = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+grouped AS (SELECT *, strlen(t) AS n, max(page_id) OVER (PARTITION BY t) AS largest FROM payloads)
+SELECT page_id, n AS payload_bytes, sha1(t) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < largest THEN largest END AS refers_to
+FROM grouped"""

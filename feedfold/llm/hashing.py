@@ -11,8 +11,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+# 0 separates, runs of equal non-zero classes are words
+BY_SPACE = np.ones(256, np.int8)
+BY_SPACE[[0x20, *range(0x09, 0x0E)]] = 0
+# letters, digits and bytes of other scripts are words, runs of other signs too
+BY_KIND = np.array([0 if b <= 0x20 or b == 0x7F else 1 if b >= 0x80 or chr(b).isalnum() else 2 for b in range(256)], np.int8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,20 +60,18 @@ class Hasher:
         self.bytes = rng.integers(low, high, 256, dtype=np.int64).astype(np.uint64)
         self.in_word, self.in_window = (Powers(2 * int(rng.integers(low, high)) + 1) for _ in range(2))
 
-    def words(self, texts: pa.Array, fold_case: bool = False) -> Words:
-        """Words are runs of bytes other than space and \\t to \\r; a null text has none."""
+    def words(self, texts: pa.Array, classes: np.ndarray = BY_SPACE, fold_case: bool = False) -> Words:
+        """Words are runs of one class of bytes (by default of all but space and \\t to \\r); a null text has none."""
         if pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.string())
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
         offsets = offsets - offsets[0]
-        inside = np.concatenate([[False], ~_SEPARATOR[data], [False]])
-        before, after = inside[:-2].copy(), inside[2:].copy()
-        edges = offsets[1:-1]
-        before[edges[edges < len(data)]] = False
-        after[edges[edges > 0] - 1] = False
-        inside = inside[1:-1]
-        start, end = np.nonzero(inside & ~before)[0], np.nonzero(inside & ~after)[0] + 1
+        kind = classes[data]
+        turn = np.ones(len(data) + 1, bool)
+        turn[1:-1] = kind[1:] != kind[:-1]
+        turn[offsets] = True
+        start, end = np.nonzero(turn[:-1] & (kind > 0))[0], np.nonzero(turn[1:] & (kind > 0))[0] + 1
         codes = self.bytes
         if fold_case:
             codes = codes.copy()

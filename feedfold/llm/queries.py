@@ -12,6 +12,7 @@ from feedfold.llm.bpe import decode, encode
 from feedfold.llm.common import table
 from feedfold.llm.exact_dedup import exact_groups
 from feedfold.llm.packing import pack, tokenize
+from feedfold.llm.quality import importance_sample
 from feedfold.llm.substring_dedup import remove_repeated_windows
 from feedfold.llm.url_filter import judge_urls
 from feedfold.llm.warc import read_archives, resolved, write_archives
@@ -109,3 +110,12 @@ SELECT page_id, n AS payload_bytes, sha1(t) AS payload_digest,
        CASE WHEN n >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id < largest THEN largest END AS refers_to
 FROM grouped"""
+
+
+def op6_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay."""
+    sample = importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return sample.select("doc_id", "log_weight", "sampling_key")
+
+
+QUERIES["op6_importance_sample"] = op6_importance_sample

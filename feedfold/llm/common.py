@@ -27,7 +27,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n, ids, distinct = docs.agg(F.count(F.lit(1)), F.count(id_col), F.countDistinct(id_col)).first()
     if n == ids == distinct:
         return docs.withColumn(key, F.col(id_col).cast("long"))
-    digest = F.xxhash64(F.col(text_col), F.octet_length(F.col(text_col)))
+    digest = F.xxhash64(F.col(text_col), F.hash(F.col(text_col)))
     pairs = docs.select(F.col(id_col).alias("_id"), digest.alias("_digest")).distinct()
     order = [F.col("_id").asc_nulls_first(), F.col("_digest")]
     names = written(pairs.repartitionByRange(*order).sortWithinPartitions(*order)

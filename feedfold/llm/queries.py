@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedfold.llm.bpe import decode, encode
 from feedfold.llm.common import table
 from feedfold.llm.exact_dedup import exact_groups
+from feedfold.llm.ngram_join import near_duplicates
 from feedfold.llm.packing import pack, tokenize
 from feedfold.llm.quality import importance_sample
 from feedfold.llm.substring_dedup import remove_repeated_windows
@@ -119,3 +120,10 @@ def op6_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_importance_sample"] = op6_importance_sample
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+QUERIES["op5_ngram_join"] = op5_ngram_join

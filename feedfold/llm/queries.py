@@ -16,6 +16,7 @@ from feedfold.llm.packing import pack, tokenize
 from feedfold.llm.quality import importance_sample
 from feedfold.llm.substring_dedup import remove_repeated_windows
 from feedfold.llm.url_filter import judge_urls
+from feedfold.llm.vector_dedup import near_vectors
 from feedfold.llm.warc import read_archives, resolved, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_ngram_join"] = op5_ngram_join
+
+
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op8_vector_dedup"] = op8_vector_dedup

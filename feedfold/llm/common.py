@@ -28,13 +28,19 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if n == ids == distinct:
         return docs.withColumn(key, F.col(id_col).cast("long"))
     digest = F.xxhash64(F.col(text_col), F.hash(F.col(text_col)))
-    pairs = docs.select(F.col(id_col).alias("_id"), digest.alias("_digest")).distinct()
-    order = [F.col("_id").asc_nulls_first(), F.col("_digest")]
+    pairs = docs.select(F.col(id_col).alias("_name"), digest.alias("_digest")).distinct()
+    order = [F.col("_name").asc_nulls_first(), F.col("_digest")]
     names = written(pairs.repartitionByRange(*order).sortWithinPartitions(*order)
                     .withColumn(key, F.monotonically_increasing_id()), "row-names")
     return (docs.withColumn("_d", digest)
-            .join(names, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")))
-            .drop("_d", "_id", "_digest"))
+            .join(names, F.col(id_col).eqNullSafe(F.col("_name")) & (F.col("_d") == F.col("_digest")))
+            .drop("_d", "_name", "_digest"))
+
+
+def carried(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows as one struct ``row`` beside their ``row_key``, so that no column of ``docs`` clashes with a helper's."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return identified(rows.withColumns({"_id": F.col("row")[id_col], "_text": F.col("row")[text_col]}), "_id", "_text").select("row_key", "row")
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedfold.llm.common import HOT_SHARE, fold_ascii, identified, spread_join
+from feedfold.llm.common import HOT_SHARE, carried, fold_ascii, identified, spread_join
 from feedfold.session import written
 
 BLOCK_BYTES = 1024
@@ -100,7 +100,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with all their columns; null texts are empty texts."""
     gone = (exact_groups(docs, id_col, text_col).groupBy("row_key")
             .agg(F.max("kept").alias("kept")).filter("not kept").select("row_key"))
-    keyed = identified(docs, id_col, text_col)
-    left = keyed.join(gone, "row_key", "left_anti")
+    left = carried(docs, id_col, text_col).join(gone, "row_key", "left_anti")
     repeated = left.groupBy("row_key").count().filter("count > 1")
-    return left.drop("row_key") if repeated.isEmpty() else left.dropDuplicates(["row_key"]).drop("row_key")
+    return (left if repeated.isEmpty() else left.dropDuplicates(["row_key"])).select("row.*")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedfold.llm.common import identified, slices, spread_join
+from feedfold.llm.common import carried, identified, slices, spread_join
 from feedfold.llm.graph import components, local_roots, pair_tasks
 from feedfold.llm.hashing import Hasher, mix
 from feedfold.session import written
@@ -251,10 +251,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that are kept, with all their columns."""
     judged = near_duplicates(docs, id_col, text_col).groupBy("row_key").agg(F.max("kept").alias("kept"), F.max("n_links").alias("n"))
     judged = written(judged, "near-copies")
-    left = identified(docs, id_col, text_col).join(judged.filter("not kept").select("row_key"), "row_key", "left_anti")
+    left = carried(docs, id_col, text_col).join(judged.filter("not kept").select("row_key"), "row_key", "left_anti")
     repeated = left.groupBy("row_key").count().filter("count > 1")
     if repeated.isEmpty():
-        return left.drop("row_key")
+        return left.select("row.*")
     single = written(judged.filter("n > 0").select("row_key"), "once")
     return (left.join(single, "row_key", "left_semi").dropDuplicates(["row_key"])
-            .unionByName(left.join(single, "row_key", "left_anti"))).drop("row_key")
+            .unionByName(left.join(single, "row_key", "left_anti"))).select("row.*")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedfold.llm.common import identified, slices
+from feedfold.llm.common import carried, identified, slices
 from feedfold.llm.hashing import BY_KIND, Hasher, mix
 from feedfold.session import written
 
@@ -224,9 +224,9 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``importance_sample`` keeps, with all their columns."""
     kept = importance_sample(docs, labels, id_col, text_col).groupBy("row_key").agg(F.count(F.lit(1)).alias("kept_rows"))
-    keyed = identified(docs, id_col, text_col)
+    keyed = carried(docs, id_col, text_col)
     repeated = keyed.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeated.isEmpty():
-        return keyed.join(kept, "row_key", "left_semi").drop("row_key")
+        return keyed.join(kept, "row_key", "left_semi").select("row.*")
     numbered = keyed.withColumn("place", F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1))))
-    return numbered.join(kept, "row_key").filter("place <= kept_rows").drop("row_key", "place", "kept_rows")
+    return numbered.join(kept, "row_key").filter("place <= kept_rows").select("row.*")

@@ -13,6 +13,7 @@ from feedfold.llm.common import table
 from feedfold.llm.exact_dedup import exact_groups
 from feedfold.llm.ngram_join import near_duplicates
 from feedfold.llm.packing import pack, tokenize
+from feedfold.llm.pii import replace_pii
 from feedfold.llm.quality import importance_sample
 from feedfold.llm.substring_dedup import remove_repeated_windows
 from feedfold.llm.url_filter import judge_urls
@@ -135,3 +136,14 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_vector_dedup"] = op8_vector_dedup
+
+
+PII_KEY = "surrogates-2026"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, PII_KEY, count_col="n_replaced")
+
+
+QUERIES["op1_pii_surrogates"] = op1_pii_surrogates

@@ -19,21 +19,23 @@ from feedfold.llm.common import identified, slices
 from feedfold.llm.hashing import Hasher
 
 WINDOW_WORDS = 20
-# Bytes of text per bucket of hashes: about two million windows, some 20 MB.
-BUCKET_BYTES = 12 << 20
+# Bytes of text hashed at a time, and per bucket of hashes (over a million windows, some 12 MB).
+SLICE_BYTES = 3 << 19
+BUCKET_BYTES = 8 << 20
 WORD_BYTES = 6
 # The hash grows with the input so that the expected number of windows wrongly taken for equal stays below 2**-SAFE_BITS.
 SAFE_BITS = 8
 BLOB = "bucket int, keys binary, steps binary, docs binary, runs binary"
 
 
-def _planes(values: np.ndarray) -> bytes:
+def _planes(values: np.ndarray, kind: str = "<u4") -> bytes:
     """Integers as byte planes, which compress well."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def _unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _unplanes(data: bytes, kind: str = "<u4") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel().astype(np.int64)
 
 
 def _pack(doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -42,11 +44,11 @@ def _pack(doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
     at = np.nonzero(new)[0]
     steps = np.diff(start, prepend=0)
     steps[at] = start[at]
-    return _planes(steps), doc[at].tobytes(), _planes(np.diff(at, append=len(doc)))
+    return _planes(steps), _planes(np.diff(doc[at], prepend=0), "<i8"), _planes(np.diff(at, append=len(doc)))
 
 
 def _unpack(steps: bytes, docs: bytes, runs: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, docs, runs = _unplanes(steps), np.frombuffer(docs, np.int64), _unplanes(runs)
+    steps, docs, runs = _unplanes(steps), np.cumsum(_unplanes(docs, "<i8")), _unplanes(runs)
     total = np.cumsum(steps)
     at = np.cumsum(runs) - runs
     return np.repeat(docs, runs), total - np.repeat(total[at] - steps[at], runs)
@@ -56,7 +58,7 @@ def _hash_windows(length: int, buckets: int, key_bytes: int):
     """Per batch and bucket the earliest occurrence of each hash; later ones in the batch go on as known repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families = [Hasher(seed) for seed in range(1 if key_bytes * 8 + math.log2(buckets) <= 64 else 2)]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             key = batch.column(0).to_numpy()
             found = [f.windows(f.words(batch.column(1)), length) for f in families]
             doc, start = key[found[0][1]], found[0][2]

@@ -9,6 +9,7 @@ agree on every position.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,9 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from feedfold.llm.bpe import REMEMBERED, PieceStore, encode_texts
 from feedfold.llm.common import slices
@@ -30,6 +33,8 @@ END_ID = 1
 SCALE = 1 << 16
 # A round is one window for up to so many sources, two for twice as many, and so on.
 SOURCES_PER_WINDOW = 256
+# Longer texts do not go through tiktoken at once.
+WHOLE_CHARS = 1 << 20
 
 
 @dataclass
@@ -88,31 +93,55 @@ class Schedule:
                 np.where(inside, self.length - place % self.length, ends[last] - rest))
 
 
+def rank_table(tokenizer_json: str, pattern: str) -> dict[bytes, int] | None:
+    """Ranks by token, if a byte-level BPE file merges in the order of its ids, so that tiktoken gives the same ids much faster."""
+    spec = json.loads(tokenizer_json)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    plain = (model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+             and not split.get("add_prefix_space") and not spec["normalizer"] and not model.get("dropout"))
+    if not plain:
+        return None
+    # a byte is spelled by its own character if that can be printed, else by one of those from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    merged = [ranks[bytes(byte[c] for c in "".join(m.split(" ") if isinstance(m, str) else m))] for m in model["merges"]]
+    if merged != sorted(set(merged)) or len(merged) + 256 != len(ranks):
+        return None
+    return ranks
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = END_ID, id_col: str = "doc_id",
              text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A stored table of documents as ids and of their places in the queues.
 
     Columns: doc_id, source, queue (a non-null name), part and local_start (tokens of the queue before the document in its part),
-    n_tokens and ids (little-endian unsigned, 2 bytes each if the vocabulary allows, else 4). Each match of
-    ``pattern`` is encoded once per task by the tokenizers library; ``end_id`` ends every document.
+    n_tokens and ids (little-endian unsigned, 2 bytes each if the vocabulary allows, else 4); ``end_id`` ends every
+    document. Ids are those of the tokenizers library with no special tokens. Where the file is a rank table in
+    disguise, tiktoken makes them; other files and texts over WHOLE_CHARS are encoded by the library, each match of ``pattern`` once per task.
     """
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Tokenizer.from_file(tokenizer_path).to_str())
-    width = 2 if Tokenizer.from_str(shared.value).get_vocab_size() <= 1 << 16 else 4
+    whole = Tokenizer.from_file(tokenizer_path)
+    shared = spark.sparkContext.broadcast((whole.to_str(), rank_table(whole.to_str(), pattern)))
+    width = 2 if whole.get_vocab_size() <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_str(shared.value)
+        tokenizer, ranks = Tokenizer.from_str(shared.value[0]), shared.value[1]
         tokenizer.encode_special_tokens = True
+        quick = ranks and tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         words, store, part, served = regex.compile(pattern), PieceStore(), TaskContext.get().partitionId(), {}
         for batch in slices(batches, "text", 2 << 20):
             if len(store.index) > REMEMBERED:
                 store = PieceStore()
-            ids, ends = encode_texts(
-                [t or "" for t in batch.column(2).to_pylist()], words.findall,
-                lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)], store)
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            if quick and max(map(len, texts)) <= WHOLE_CHARS:
+                found = [quick.encode_to_numpy(t) for t in texts]
+                ids, ends = np.concatenate(found), np.cumsum([len(f) for f in found])
+            else:
+                ids, ends = encode_texts(texts, words.findall, lambda new: [
+                    e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)], store)
             counts = np.diff(ends, prepend=0) + 1
             stops = np.cumsum(counts)
             all_ids = np.full(int(stops[-1]), end_id, f"<u{width}")

@@ -26,9 +26,9 @@ ORDERS, COPIES = 2, 2
 BLOCK = 1 << 16
 # At most so many labelled documents (those with the smallest hashes of their ids) are used.
 LABELLED = 200_000
-PSEUDO_COUNT = 3.0
-# Log ratios closer to 0 are taken for sampling noise.
-LEAST_RATIO = 1.3
+# Settings to choose from on held-out labels: counts added to both models, and the log ratio below which an n-gram is
+# taken for sampling noise. The first suits large corpora, the others find rarer words in small ones.
+SETTINGS = ((3.0, 1.3), (1.0, 1.3), (0.5, 1.0), (0.3, 0.7))
 # Gumbel noise is scaled by this: the smaller, the closer the sample comes to the k heaviest documents.
 TEMPERATURE = 0.05
 SEED = 17
@@ -40,9 +40,10 @@ def ngrams(hasher: Hasher, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray
     words = hasher.words(texts, BY_KIND, fold_case=True)
     doc, h = np.repeat(np.arange(len(words.counts)), words.counts), words.hashes
     inside = doc[1:] == doc[:-1]
-    same = np.concatenate([[False], inside & (h[1:] == h[:-1])])
+    same = np.zeros(len(h), bool)
+    same[1:] = inside & (h[1:] == h[:-1])
     count = np.cumsum(same)
-    run = count - np.maximum.accumulate(np.where(same, 0, count)) if len(h) else count
+    run = count - np.maximum.accumulate(np.where(same, 0, count))
     long = run >= 2
     singles = np.concatenate([doc, doc[long]]), np.concatenate([h, mix(np.minimum(run[long], LONGEST_RUN).astype(np.uint64))])
     pairs = doc[1:][inside], mix(h[:-1] * np.uint64(3) + h[1:])[inside]
@@ -92,8 +93,8 @@ def _add(tables: pa.Table) -> pa.Table:
     return pa.table({"block": tables.column("block").slice(0, 1), "counts": pa.array([planes.tobytes()])})
 
 
-def fit_ratios(docs: DataFrame, targets: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Log ratios by order, copy and slot. Only the tables, whose size is fixed, come to the driver."""
+def fit_counts(docs: DataFrame, targets: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Documents by model (target, raw), order, copy and slot. Only these tables, whose size is fixed, come to the driver."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(targets))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)).alias("id"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(_count(sent), "block int, counts binary").withColumn("part", F.floor(F.spark_partition_id() / 64))
@@ -103,7 +104,12 @@ def fit_ratios(docs: DataFrame, targets: np.ndarray, id_col: str = "doc_id", tex
     for row in few.groupBy("block").applyInArrow(_add, schema).toLocalIterator():
         planes = np.frombuffer(row.counts, np.uint8).reshape(8, BLOCK)
         whole[row.block] = np.ascontiguousarray(planes.T).view(np.int64).ravel()
-    target, raw = whole.reshape(2, ORDERS, COPIES, SLOTS)
+    return whole.reshape(2, ORDERS, COPIES, SLOTS)
+
+
+def log_ratios(counts: np.ndarray, pseudo_count: float, least_ratio: float) -> np.ndarray:
+    """Log ratios by order, copy and slot. The models are scaled to agree on the commonest n-grams."""
+    target, raw = counts
     ratios = np.zeros((ORDERS, COPIES, SLOTS), np.float32)
     for order in range(ORDERS):
         for copy in range(COPIES):
@@ -112,28 +118,35 @@ def fit_ratios(docs: DataFrame, targets: np.ndarray, id_col: str = "doc_id", tex
             common = common[r[common] > 0]
             scale = float(np.median(t[common] / r[common])) if len(common) else 0.0
             if scale > 0:
-                found = np.log((t + PSEUDO_COUNT) / (r * scale + PSEUDO_COUNT))
-                ratios[order, copy] = np.where(np.abs(found) >= LEAST_RATIO, found, 0)
+                found = np.log((t + pseudo_count) / (r * scale + pseudo_count))
+                ratios[order, copy] = np.where(np.abs(found) >= least_ratio, found, 0)
     return ratios
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """Stored (row_key, doc_id, log_weight) of every whole text; null and empty texts weigh 0."""
+def _weigh(tables: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    total = np.zeros(n)
+    for order, (doc, found) in enumerate(grams):
+        a, b = (tables[order, copy][_slots(found, copy)] for copy in range(COPIES))
+        weaker = np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0)
+        total += np.bincount(doc, weaker, minlength=n)
+    return total
+
+
+def log_weights(docs: DataFrame, ratios: list[np.ndarray]) -> DataFrame:
+    """(row_key, doc_id, weights) of every whole text, a log weight per ratio table; null and empty texts weigh 0."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, tables = Hasher(SEED), shared.value
         for batch in slices(batches, "text"):
-            total = np.zeros(batch.num_rows)
-            for order, (doc, grams) in enumerate(ngrams(hasher, batch.column(2))):
-                a, b = (tables[order, copy][_slots(grams, copy)] for copy in range(COPIES))
-                weaker = np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0)
-                total += np.bincount(doc, weaker, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total)],
-                                             ["row_key", "doc_id", "log_weight"])
+            grams = ngrams(hasher, batch.column(2))
+            weights = np.stack([_weigh(t, grams, batch.num_rows) for t in tables], axis=1)
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(tables)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(weights.ravel()))],
+                ["row_key", "doc_id", "weights"])
 
-    return written(docs.select("row_key", "doc_id", "text").mapInArrow(run, "row_key long, doc_id long, log_weight double"),
-                   "log-weights")
+    return docs.select("row_key", "doc_id", "text").mapInArrow(run, "row_key long, doc_id long, weights array<double>")
 
 
 def gumbel_top_k(weighted: DataFrame, k: int, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -183,40 +196,49 @@ def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> Labelled:
     return Labelled(ids[good & ~held], ids[good & held], ids[~good & held])
 
 
-def _threshold(weighted: DataFrame, labelled: Labelled, cost: float = 5.0) -> float:
-    """The log weight that parts the held-out documents best; a good document lost costs ``cost`` bad ones kept."""
-    spark = weighted.sparkSession
-    if not len(labelled.held_bad):
-        return -math.inf
-    known = spark.createDataFrame([(int(i), good) for ids, good in ((labelled.held_good, True), (labelled.held_bad, False))
-                                   for i in ids], "doc_id long, good boolean")
-    step = F.greatest(F.least(F.floor(F.col("log_weight") * 4), F.lit(40)), F.lit(-400))
-    counts = (weighted.join(F.broadcast(known), "doc_id").groupBy(step.alias("step"), "good").count().collect())
-    lost = {s: 0.0 for s in range(-401, 1)}
-    for row in counts:
-        for s in lost:
-            lost[s] += cost * row["count"] * (row.good and row.step < s) + row["count"] * (not row.good and row.step >= s)
-    best = min(lost.values())
-    fit = [s for s, x in lost.items() if x == best]
-    return fit[len(fit) // 2] / 4
+def choose_model(docs: DataFrame, counts: np.ndarray, labelled: Labelled, cost: float = 5.0) -> tuple[np.ndarray, float]:
+    """The ratio table and the least log weight that part the held-out documents best.
+
+    A good document lost costs ``cost`` bad ones kept; without held-out documents of both kinds nothing is parted.
+    """
+    tables = [log_ratios(counts, *setting) for setting in SETTINGS]
+    held = np.concatenate([labelled.held_good, labelled.held_bad])
+    if not len(labelled.held_good) or not len(labelled.held_bad):
+        return tables[0], -math.inf
+    ids = docs.sparkSession.createDataFrame([(int(i),) for i in held], "doc_id long")
+    rows = log_weights(docs.join(F.broadcast(ids), "doc_id", "left_semi"), tables).select("doc_id", "weights").toPandas()
+    if not len(rows):
+        return tables[0], -math.inf
+    good = np.isin(rows.doc_id.to_numpy(np.int64), labelled.held_good)
+    best = (math.inf, tables[0], -math.inf)
+    for i, table in enumerate(tables):
+        weight = np.array([w[i] for w in rows.weights], float)
+        levels = np.unique(weight)
+        marks = np.concatenate([[-math.inf], (levels[1:] + levels[:-1]) / 2])
+        marks = np.concatenate([[-math.inf], marks[1:][marks[1:] <= 0]])
+        lost = [cost * (weight[good] < m).sum() + (weight[~good] >= m).sum() for m in marks]
+        least = int(np.argmin(lost))
+        if lost[least] < best[0]:
+            best = (lost[least], table, float(marks[least]))
+    return best[1], best[2]
 
 
 def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       temperature: float = TEMPERATURE, bound: int = LABELLED) -> DataFrame:
     """The sampled rows: row_key, doc_id, log_weight, sampling_key, occurrence.
 
-    ``labels`` has doc_id, quality and toxic. k is the number of documents whose log weight reaches the threshold fitted on
-    held-out labels, so documents unlike the target go and the others stay. Null and empty texts weigh 0; rows that
+    ``labels`` has doc_id, quality and toxic. k is the number of documents whose log weight reaches the least one of the model chosen
+    on held-out labels, so documents unlike the target go and the others stay. Null and empty texts weigh 0; rows that
     agree in id and text are sampled one by one; ids may be null; without usable labels all rows stay; an empty table gives an
     empty result; other columns are not read.
     """
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     labelled = labelled_sample(labels, bound)
-    weighted = log_weights(rows, fit_ratios(rows, labelled.good))
+    ratios, least = choose_model(rows, fit_counts(rows, labelled.good), labelled)
+    weighted = log_weights(rows, [ratios]).select("row_key", "doc_id", F.col("weights")[0].alias("log_weight"))
     copies = weighted.groupBy("row_key", "doc_id", "log_weight").count()
     weighted = copies.withColumn("occurrence", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("count")
     weighted = written(weighted, "weighted")
-    least = _threshold(weighted, labelled)
     k = weighted.filter(F.col("log_weight") >= F.lit(least)).count()
     return gumbel_top_k(weighted, k, temperature)
 

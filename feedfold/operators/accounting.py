@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedfold.operators.fold import first_seen
+
 FEED_RUN = ["run_id", "source_app_id", "storefront"]
 
 # Counters of a run, in output order.
@@ -29,10 +31,13 @@ def error_summary(errors: DataFrame) -> DataFrame:
         F.min_by("message", F.struct("page_number", "message")).alias("first_message"))
 
 
-def feed_counters(requests: DataFrame, pages: DataFrame, observations: DataFrame, labels: DataFrame,
+def feed_counters(requests: DataFrame, pages: DataFrame, observations: DataFrame, loaded: DataFrame,
                   rejects: DataFrame, flags: DataFrame, fetch_log: DataFrame) -> DataFrame:
     """Counters per run and feed.
 
+    A review counts as inserted where its first observation was loaded and as updated for every other one, so the
+    updates are the loaded rows less the inserted ones.
+
     Each input is reduced to one row per feed and measure before anything is joined; ``requests``
     names the feeds that were asked for, so a feed without a single page keeps its row.
     """
@@ -47,8 +52,8 @@ def feed_counters(requests: DataFrame, pages: DataFrame, observations: DataFrame
         count(requests, failed_requests=F.lit(0)),
         count(pages, pages_fetched=one, with_errors=F.bool_or(F.col("parse_status") == "parse_error")),
         count(observations, reviews_parsed=one),
-        count(labels, reviews_inserted=F.count_if(F.col("action") == "inserted"),
-              reviews_updated=F.count_if(F.col("action") == "updated")),
+        count(loaded, reviews_updated=one),
+        count(first_seen(loaded).withColumn("run_id", F.col("first_seq.run_id")), reviews_inserted=one, reviews_updated=-one),
         count(rejects, reviews_rejected=one),
         count(flags.withColumnRenamed("created_run_id", "run_id"), flags_created=one),
         count(fetch_log.filter(F.col("error").isNotNull()), failed_requests=one, with_errors=F.lit(True)),
@@ -63,6 +68,22 @@ def feed_counters(requests: DataFrame, pages: DataFrame, observations: DataFrame
         F.when(F.col("with_errors"), "completed_with_errors").otherwise("completed").alias("run_status"))
 
 
+def feed_details(requests: DataFrame, fetch_log: DataFrame, pages: DataFrame, observed_flags: DataFrame) -> DataFrame:
+    """Per run and feed: pages asked for, time of the last fetch, and the observed flags as a JSON map.
+
+    The map has at most one entry per flag type.
+    """
+    asked = fetch_log.groupBy(*FEED_RUN).agg(F.count("*").alias("pages_requested"))
+    times = pages.groupBy(*FEED_RUN).agg(F.max("fetched_at").alias("completed_at"))
+    per_type = counted_flags(observed_flags).groupBy(*FEED_RUN, "flag_type").agg(F.count("*").alias("n"))
+    maps = per_type.groupBy(*FEED_RUN).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("flag_type", "n"))))).alias("flag_counts"))
+    feeds = requests.select(*FEED_RUN).distinct()
+    return (feeds.join(asked, FEED_RUN, "left").join(times, FEED_RUN, "left").join(maps, FEED_RUN, "left")
+            .select(*FEED_RUN, F.coalesce("pages_requested", F.lit(0)).alias("pages_requested"), "completed_at",
+                    F.coalesce("flag_counts", F.lit("{}")).alias("flag_counts")))
+
+
 def run_counters(feeds: DataFrame) -> DataFrame:
     return feeds.groupBy("run_id").agg(
         F.count_distinct("source_app_id", "storefront").alias("apps_attempted"),

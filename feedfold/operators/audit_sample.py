@@ -61,6 +61,14 @@ def matched_terms(text: Column, lexicon: Lexicon = ISSUE_TERMS) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(s) for s in names]), F.array(*found))
 
 
+def term_usage(features: DataFrame, terms: DataFrame, lexicon: Lexicon = ISSUE_TERMS) -> DataFrame:
+    """Every row of a lexicon table with the number of reviews in which its term occurs."""
+    found = features.select(F.explode(matched_terms(combined_text(), lexicon)).alias("signal", "found"))
+    used = found.select("signal", F.explode("found").alias("term")).groupBy("signal", "term").agg(F.count("*").alias("review_count"))
+    return terms.join(used, ["signal", "term"], "left").select(
+        "version", "signal", "term", "position", F.coalesce("review_count", F.lit(0)).alias("review_count"))
+
+
 def population(features: DataFrame, lexicon: Lexicon = ISSUE_TERMS, seed: int = SEED) -> DataFrame:
     """Narrow frame of everything the selection looks at."""
     reasons = F.split("weak_label_noise_reasons", r"\|")
@@ -160,9 +168,11 @@ class _Tally:
     def covered(self) -> list[str]:
         return sorted(a for a, n in self.apps.items() if n >= TOTAL_APP_FLOOR)
 
-    def penalty(self, apps: list[str]) -> int:
+    def penalty(self, app_count: int) -> int:
+        """100 x missing targets, and the rows that all ``app_count`` apps lack for their floor."""
         missing = sum(max(0, TARGETS[g] - n) for g, n in self.have.items()) + self.unreachable
-        return 100 * missing + sum(max(0, TOTAL_APP_FLOOR - self.apps.get(a, 0)) for a in apps)
+        present = sum(min(TOTAL_APP_FLOOR, n) for n in self.apps.values())
+        return 100 * missing + TOTAL_APP_FLOOR * app_count - present
 
 
 def _points(goals: list[str]) -> Column:
@@ -213,7 +223,7 @@ def greedy_booster(candidates: DataFrame, core_rows: list[Row], lexicon: Lexicon
     return chosen
 
 
-def swap_repair(candidates: DataFrame, core_rows: list[Row], booster: list[Row], apps: list[str],
+def swap_repair(candidates: DataFrame, core_rows: list[Row], booster: list[Row], app_count: int,
                 lexicon: Lexicon = ISSUE_TERMS, swaps: int = 100) -> list[Row]:
     """Best one-for-one booster swaps while they lower 100 x missing targets + missing app rows.
 
@@ -223,14 +233,14 @@ def swap_repair(candidates: DataFrame, core_rows: list[Row], booster: list[Row],
     booster = list(booster)
     for _ in range(swaps):
         tally = _Tally([*core_rows, *booster], lexicon)
-        penalty = tally.penalty(apps)
+        penalty = tally.penalty(app_count)
         if penalty == 0:
             break
         trials = []
         for index, old in enumerate(booster):
             tally.move(old, -1)
             gain = sum((100 * F.col(f"`{g}`") for g in tally.unmet() if g in tally.have), F.lit(0))
-            rest = tally.penalty(apps) - gain - _app_bonus(tally.covered(), 1)
+            rest = tally.penalty(app_count) - gain - _app_bonus(tally.covered(), 1)
             trials.append(F.struct(rest.alias("penalty"), F.lit(index).alias("index")))
             tally.move(old, 1)
         free = candidates.filter(~F.col("review_id").isin(*[r.review_id for r in booster]))
@@ -238,7 +248,7 @@ def swap_repair(candidates: DataFrame, core_rows: list[Row], booster: list[Row],
                 .orderBy("trial.penalty", "review_id").limit(1).collect())  # one row
         if not best or best[0].trial.penalty >= penalty:
             break
-        booster[best[0].trial.index] = best[0]
+        booster[best[0].trial["index"]] = best[0]
     return booster
 
 
@@ -246,15 +256,13 @@ def booster_sample(people: DataFrame, core: DataFrame, lexicon: Lexicon = ISSUE_
                    strict: bool = False) -> DataFrame:
     """Greedy booster, optionally repaired; ``strict`` raises when a target stays unmet."""
     core_rows = core.limit(CORE_SIZE + 1).collect()  # the core is bounded by its quotas
-    # An app needs 8 of 150 rows, so more apps than that cannot be covered anyway.
-    most = (CORE_SIZE + BOOSTER_SIZE) // TOTAL_APP_FLOOR + 1
-    apps = [r.app_name for r in people.select("app_name").distinct().orderBy("app_name").limit(most).collect()]
+    app_count = people.agg(F.count_distinct("app_name")).first()[0]
     candidates = written(booster_candidates(people, core), "booster-candidates")
     rows = greedy_booster(candidates, core_rows, lexicon)
     if repair:
-        rows = swap_repair(candidates, core_rows, rows, apps, lexicon)
+        rows = swap_repair(candidates, core_rows, rows, app_count, lexicon)
     tally = _Tally([*core_rows, *rows], lexicon)
-    if strict and (tally.penalty(apps) or len(apps) == most):
+    if strict and tally.penalty(app_count):
         raise ValueError(f"booster targets are unmet: {tally.unmet()}")
     chosen = people.sparkSession.createDataFrame([(r.review_id,) for r in rows], "review_id string")
     return people.join(F.broadcast(chosen), "review_id")

@@ -50,6 +50,13 @@ def run_summary(runs: DataFrame, counters: DataFrame, observations: DataFrame) -
             .join(totals, "run_id"))
 
 
+def run_pages(observations: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages of every run as rows: what their stored body holds and whether they loaded."""
+    status = pages.select(*PAGE_KEY, "parse_status", F.col("parse_error").alias("load_error"))
+    return observations.join(status, PAGE_KEY).select(
+        *PAGE_KEY, "response_hash", "entry_count", "parse_status", F.coalesce("parse_error", "load_error").alias("parse_error"))
+
+
 def dataset_quality(reviews: DataFrame) -> DataFrame:
     invalid = (F.col("source_review_id").isNull() | F.col("rating").isNull() | F.col("body").isNull()
                | (F.length(F.trim("body")) == 0) | F.col("published_at").isNull())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from feedfold.functions.text import ascii_fold
+from feedfold.session import join_popular
 
 REVIEW_KEY = ["source_platform", "source_app_id", "storefront", "source_review_id"]
 FEED_KEY = ["source_app_id", "storefront"]
@@ -85,12 +86,12 @@ def first_seen(valid: DataFrame) -> DataFrame:
 def label_inserts(valid: DataFrame) -> DataFrame:
     """Each observation as ``inserted`` (first of its key) or ``updated``.
 
-    The first ``seq`` per key is a combined minimum and is joined back, so a key with very many
-    observations is never sorted in one window; the skew join splits it.
+    The first ``seq`` per key is a combined minimum and is joined back; the commonest keys are joined
+    through a broadcast, so a key with very many observations fills no task.
     """
     narrow = valid.select(*REVIEW_KEY, "run_id", "app_order", "page_number", "entry_pos")
     first = seq() == F.col("first_seq")
-    return narrow.join(first_seen(valid), REVIEW_KEY).withColumn(
+    return join_popular(narrow, first_seen(valid), REVIEW_KEY).withColumn(
         "action", F.when(first, "inserted").otherwise("updated")).drop("first_seq")
 
 
@@ -125,7 +126,7 @@ def _earliest_two(stored: DataFrame, group: list[str]) -> DataFrame:
 def _seen_before(observed: DataFrame, stored: DataFrame, group: list[str], name: str) -> DataFrame:
     """Add ``name``: another review of the group was stored before the observation's ``seq``."""
     other_at = F.when(F.col("first_id") == F.col("source_review_id"), F.col("second_at")).otherwise(F.col("first_at"))
-    return (observed.join(_earliest_two(stored, group), group, "left")
+    return (join_popular(observed, _earliest_two(stored, group), group, "left")
             .withColumn(name, F.coalesce(other_at < F.col("seq"), F.lit(False)))
             .drop("first_id", "first_at", "second_at"))
 

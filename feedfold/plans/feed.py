@@ -1,12 +1,13 @@
 """The review plan: landed entries to canonical tables, features and counters.
 
 Each attribute is a lazily built DataFrame. ``stored`` tables (reviews, flags, features) are written
-once per application to the shared folder, as the feature table is an artefact that profiling and
+once per application and set of inputs to the shared folder, as the feature table is an artefact that profiling and
 audits read back with column pruning instead of recomputing the fold.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,9 @@ from feedfold.sources import landing
 from feedfold.sources.cohort import cohort_manifest, dimension_upsert
 from feedfold.sources.lexicon import ISSUE_TERMS, Lexicon
 
+# By application, inputs (source files, lexicon, entries) and name.
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+SOURCE_TABLES = ("documents", "events", "labels")
 
 
 class Feed:
@@ -27,8 +30,16 @@ class Feed:
         self.spark, self.source, self.lexicon = spark, source, lexicon
         self._entries = entries
 
+    @cached_property
+    def inputs(self) -> str:
+        """Digest of all that stored tables depend on: the source files (listed, not read), the lexicon, given entries."""
+        files = self.spark.read.format("binaryFile").load([f"{self.source}/{t}.parquet" for t in SOURCE_TABLES])
+        seen = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+        given = self._entries.semanticHash() if self._entries is not None else None
+        return hashlib.sha256(repr((self.source, tuple(seen), sorted(self.lexicon.items()), given)).encode()).hexdigest()
+
     def stored(self, name: str, df: DataFrame) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.source, name)
+        key = (self.spark.sparkContext.applicationId, self.inputs, name)
         if key not in _STORED:
             _STORED[key] = written(df, name)
         return _STORED[key]
@@ -133,7 +144,7 @@ class Feed:
     # --- counters ---------------------------------------------------------------------------
     @cached_property
     def feed_counters(self) -> DataFrame:
-        return accounting.feed_counters(self.requests, self.pages, self.log, self.labels, self.rejected_log,
+        return accounting.feed_counters(self.requests, self.pages, self.log, self.loaded, self.rejected_log,
                                         self.review_flags, self.fetch_log)
 
     @cached_property

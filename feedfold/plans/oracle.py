@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import string
 
+from feedfold.functions.text import ENGLISH_MARKERS
 from feedfold.operators.flags import (AUTHOR_DETAIL, DUPLICATE_DETAIL, FALLBACK_DETAIL, FLAG_TYPES, HIGH_DETAIL,
                                       LOW_DETAIL)
 from feedfold.sources.landing import EVENT_SENTENCES, SENTIMENT_WORDS
@@ -46,8 +47,7 @@ def words(x: str, listed) -> str:
 def language(x: str) -> str:
     letters = rf"length(regexp_replace({x}, '[^\p{{L}}]+', '', 'g'))"
     plain = rf"length(regexp_replace({x}, '[^A-Za-z]+', '', 'g'))"
-    marked = " OR ".join(f"contains(' '||lower({x})||' ', ' {m} ')" for m in
-                         ("the", "and", "is", "it", "app", "this", "great", "love", "bad", "good"))
+    marked = " OR ".join(f"contains(' '||lower({x})||' ', ' {m} ')" for m in ENGLISH_MARKERS)
     return (f"CASE WHEN {letters} > 0 AND {plain}::DOUBLE / greatest({letters}, 1) >= 0.9 "
             f"AND ({letters} >= 12 OR {marked}) THEN 'en' ELSE 'unknown' END")
 
@@ -83,9 +83,10 @@ _LINK = ("CASE WHEN review_url_raw IS NOT NULL THEN '\"link\":{\"attributes\":{\
 CTES: dict[str, str] = {
     "docs": """SELECT doc_id, text, n_chars, lang AS storefront, substr(source, 4)::BIGINT % 10 AS app_no,
         COALESCE(list_position(['de','en','es','fr'], lang), 0) AS lang_no,
-        'app-'||(substr(source, 4)::BIGINT % 10) AS source_app_id, ts, user_id, event_type,
-        floor(value)::BIGINT AS votes, props->>'k' AS k, (doc_id*31 + n_chars) % 10 AS arrival
-        FROM documents JOIN events ON doc_id = event_id""",
+        'app-'||(substr(source, 4)::BIGINT % 10) AS source_app_id, COALESCE(ts, TIMESTAMP '2026-01-01') AS ts,
+        COALESCE(user_id, doc_id) AS user_id, COALESCE(event_type, 'none') AS event_type,
+        COALESCE(floor(value)::BIGINT, 0) AS votes, COALESCE(props->>'k', '0') AS k, (doc_id*31 + n_chars) % 10 AS arrival
+        FROM documents LEFT JOIN events ON doc_id = event_id""",
     "seen": """SELECT d.*, r.run_id, app_no*8 + lang_no AS app_order, doc_id % 41 = 7 AS parser_fallback_used,
         CASE WHEN doc_id % 41 = 7 THEN 1000000 + doc_id ELSE doc_id // 250 + 1 END AS page_number,
         CASE WHEN doc_id % 41 = 7 THEN 0 ELSE doc_id % 250 END AS entry_pos,
@@ -105,7 +106,7 @@ CTES: dict[str, str] = {
              WHEN doc_id % 19 = 4 THEN CASE WHEN doc_id % 2 = 0 THEN 'Great!!' ELSE 'terrible' END
              ELSE padded||{_EVENT}||{_MOOD}||CASE WHEN run_id = 3 AND doc_id % 11 = 6 THEN chr(10)||'edited later.' ELSE '' END
              END AS body_raw,
-        CASE WHEN doc_id % 19 = 4 THEN text WHEN doc_id % 23 = 9 THEN NULL WHEN doc_id % 23 = 10 THEN ''
+        CASE WHEN doc_id % 19 = 4 OR doc_id % 37 IN (5, 31) THEN text WHEN doc_id % 23 = 9 THEN NULL WHEN doc_id % 23 = 10 THEN ''
              ELSE left(split_part(text, chr(10), 1), 60) END AS title_1,
         title_1||CASE WHEN run_id >= 2 AND doc_id % 5 = 2 THEN ' (edited)' ELSE '' END AS title_raw,
         CASE WHEN doc_id % 37 <> 29 AND doc_id % 8 <> 3 THEN 'reader '||user_id END AS author_label_raw,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedfold.operators import fold, normalise
 from feedfold.operators.expect import check_rule, expect, foreign_key_rule, not_null_rule, unique_rule
-from feedfold.operators.flags import build_flags
+from feedfold.operators.flags import build_flags, is_non_english, is_short, lacks_author
 from feedfold.plans.catalog import register
 from feedfold.plans.oracle import iso, quoted
 from feedfold.sources import cohort as co
@@ -74,17 +74,19 @@ register("storefront_success", f"""SELECT source_app_id, storefront, {iso('max(f
     FROM pages_done WHERE parse_status = 'parsed' GROUP BY ALL""")(lambda f: fold.storefront_success(f.pages))
 
 # --- flags on loaded observations -----------------------------------------------------------------
-for _name, _flag, _sql in (
-    ("flag_language", "non_english_or_unknown_language", "detected_language <> 'en'"),
-    ("flag_short", "too_short_review", "body_char_count < 12"),
-    ("flag_duplicate", "duplicate_text_within_app", "duplicate_text"),
-    ("flag_author", "missing_author_metadata", "author_label IS NULL AND author_uri IS NULL"),
-    ("flag_fallback", "parser_fallback_used", "parser_fallback_used"),
-    ("flag_mismatch", "rating_text_mismatch", "mismatch_detail IS NOT NULL"),
+for _name, _rule, _sql in (
+    ("flag_language", is_non_english, "detected_language <> 'en'"),
+    ("flag_short", is_short, "body_char_count < 12"),
+    ("flag_author", lacks_author, "author_label IS NULL AND author_uri IS NULL"),
+    ("flag_fallback", lambda: F.col("parser_fallback_used"), "parser_fallback_used"),
+    ("flag_mismatch", lambda: F.col("mismatch_detail").isNotNull(), "mismatch_detail IS NOT NULL"),
 ):
-    register(_name, f"SELECT {_KEY}, run_id, {_sql} AS flagged FROM tested WHERE failed_pos IS NULL")(
-        lambda f, flag=_flag: f.checked.select(
-            *KEY, "run_id", F.exists(build_flags(), lambda x: x["flag_type"] == flag).alias("flagged")))
+    register(_name, f"SELECT {_KEY}, run_id, {_sql} AS flagged FROM good")(
+        lambda f, rule=_rule: f.loaded.select(*KEY, "run_id", rule().alias("flagged")))
+
+register("flag_duplicate", f"SELECT {_KEY}, run_id, duplicate_text AS flagged FROM tested WHERE failed_pos IS NULL")(
+    lambda f: f.checked.select(*KEY, "run_id", F.exists(
+        build_flags(), lambda x: x["flag_type"] == "duplicate_text_within_app").alias("flagged")))
 
 register("quality_flags", f"SELECT {_KEY}, run_id, flag_type, flag_severity, flag_details FROM seen_flags")(
     lambda f: f.observed_flags.select(*KEY, "run_id", "flag_type", "flag_severity", "flag_details"))

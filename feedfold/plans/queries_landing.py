@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedfold.functions import text as tx
-from feedfold.operators import accounting, comparison, entries, normalise
+from feedfold.operators import accounting, audit_sample, comparison, entries, normalise
 from feedfold.operators.expect import expect
 from feedfold.plans.catalog import register
-from feedfold.plans.oracle import iso
+from feedfold.plans.oracle import iso, terms
 from feedfold.sources import cohort as co
 from feedfold.sources import exports, landing, lexicon, pages
 
@@ -74,12 +74,11 @@ register("page_truncation", f"""SELECT {_PAGE} FROM page_parts p WHERE NOT EXIST
 register("fetch_failures", """SELECT run_id, source_app_id, storefront, count(*) AS failed_requests, min(error) AS first_error
     FROM failures GROUP BY ALL""")(lambda f: pages.fetch_failures(f.fetch_log))
 
-register("lexicon_table", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{lexicon.LEXICON_VERSION}', '{s}', '{t}', {i})" for s, terms in lexicon.ISSUE_TERMS.items()
-    for i, t in enumerate(terms)) + """) l(version, signal, term, position),
-    (SELECT count(*) AS document_count FROM documents)""")(
-    lambda f: lexicon.lexicon_table(f.spark).withColumn(
-        "document_count", landing.read_table(f.spark, f.source, "documents").agg(F.count("*")).scalar()))
+register("lexicon_table", " UNION ALL ".join(
+    f"""SELECT '{lexicon.LEXICON_VERSION}' AS version, '{s}' AS signal, '{t}' AS term, {i} AS position,
+    count(*) FILTER ({terms('combined', [t])}) AS review_count FROM featured""" for s, listed in lexicon.ISSUE_TERMS.items()
+    for i, t in enumerate(listed)))(
+    lambda f: audit_sample.term_usage(f.features, lexicon.lexicon_table(f.spark), f.lexicon))
 
 register("dry_run_summary", """SELECT (SELECT count(*) FROM requests) AS apps_attempted,
     (SELECT count(*) FROM page_parts) AS pages_fetched, (SELECT count(*) FROM entry WHERE page_is_json) AS reviews_parsed,

@@ -19,10 +19,24 @@ register("run_stats", f"SELECT run_id, apps_attempted, {_COUNTS}, run_status FRO
 register("run_app_stats", f"SELECT run_id, source_app_id, storefront, {_COUNTS}, run_status FROM counters")(
     lambda f: f.feed_counters)
 
+_FEED_RUN = "run_id, source_app_id, storefront"
+_FEED_MAP = "'{'||string_agg('\"'||flag_type||'\":'||n, ',' ORDER BY flag_type)||'}'"
+register("run_app_details", f"""SELECT c.{_FEED_RUN.replace(', ', ', c.')}, pages_fetched + failed_requests AS pages_requested,
+    {iso('done')} AS completed_at, COALESCE(flag_counts, '{{}}') AS flag_counts FROM counters c
+    LEFT JOIN (SELECT {_FEED_RUN}, max(fetched_at) AS done FROM pages_flat GROUP BY ALL) USING ({_FEED_RUN})
+    LEFT JOIN (SELECT {_FEED_RUN}, {_FEED_MAP} AS flag_counts FROM (SELECT {_FEED_RUN}, flag_type, count(*) AS n FROM seen_flags
+        GROUP BY ALL) GROUP BY ALL) USING ({_FEED_RUN})""")(
+    lambda f: accounting.feed_details(f.requests, f.fetch_log, f.pages, f.observed_flags))
+
 register("flag_counts_by_run", """SELECT run_id, flag_type, count(*) AS observed_count,
     (SELECT count(*) FROM flags c WHERE c.created_run_id = s.run_id AND c.flag_type = s.flag_type) AS created_count
     FROM seen_flags s GROUP BY run_id, flag_type""")(lambda f: accounting.flag_counts(f.observed_flags, f.flags))
 
+register("run_status_failed", """SELECT run_id, count(*) FILTER (run_status = 'completed_with_errors') AS feeds_with_errors,
+    CASE WHEN run_id IN (SELECT run_id FROM pages_done WHERE parse_error = 'constraint failed') THEN 'failed'
+        ELSE max(run_status) END AS run_status FROM counters GROUP BY run_id""")(
+    lambda f: accounting.run_status(f.stored_counters, f.pages.filter("parse_error = 'constraint failed'")))
+
 register("run_status", """SELECT run_id, count(*) FILTER (run_status = 'completed_with_errors') AS feeds_with_errors,
     max(run_status) AS run_status FROM counters GROUP BY run_id""")(lambda f: accounting.run_status(f.stored_counters))
 
@@ -34,6 +48,11 @@ register("error_summary", """WITH e AS (SELECT run_id, source_app_id, storefront
         arg_min(message, page_number) AS first_message FROM e GROUP BY ALL""".replace("WITH e AS (", "SELECT * FROM (WITH e AS (") + ")")(
     lambda f: accounting.error_summary(accounting.page_errors(f.pages, f.fetch_log)))
 
+_ERROR_ROWS = """SELECT run_id, source_app_id, storefront, 9999999 AS page_number, 'request' AS error_class, error AS message
+    FROM failures UNION ALL SELECT run_id, source_app_id, storefront, page_number, 'page', 'page '||page_number||': '||parse_error
+    FROM pages_done WHERE parse_status = 'parse_error'"""
+register("error_rows", _ERROR_ROWS)(lambda f: accounting.page_errors(f.pages, f.fetch_log))
+
 # --- training view and exports --------------------------------------------------------------------
 _VIEW = ", ".join(c if c not in ("published_at", "first_seen_at", "last_seen_at", "source_app_id") else
                   ("source_app_id" if c == "source_app_id" else f"{iso(c)} AS {c}") for c in exports.TRAINING_COLUMNS)
@@ -41,6 +60,21 @@ register("training_view", f"SELECT {_VIEW} FROM view")(lambda f: f.training_view
 register("training_export", f"SELECT {_VIEW} FROM view WHERE detected_language = 'en' AND has_error_flag = 0")(
     lambda f: exports.training_export(f.training_view, english_only=True))
 
+# No rule of this library yields severity error, so one is raised here for part of the reviews.
+_ERRONEOUS = "(v.rating = 1 AND v.body_char_count % 2 = 0)"
+
+
+def _with_errors(f):
+    raised = f.reviews.filter("rating = 1 AND body_char_count % 2 = 0").select("review_id", F.lit("error").alias("flag_severity"))
+    return health.training_view(f.reviews, f.review_flags.select("review_id", "flag_severity").unionByName(raised), f.dims)
+
+
+register("training_view_errors", f"SELECT * REPLACE ({_ERRONEOUS}::INTEGER AS has_error_flag) FROM (SELECT {_VIEW} FROM view) v")(_with_errors)
+register("training_export_errors", f"SELECT {_VIEW} FROM view v WHERE detected_language = 'en' AND NOT {_ERRONEOUS}")(
+    lambda f: exports.training_export(_with_errors(f), english_only=True))
+register("clean_export_count_errors", f"""SELECT count(*) FILTER (detected_language = 'en' AND NOT {_ERRONEOUS})
+    AS english_without_error_rows FROM view v""")(lambda f: comparison.clean_export_count(_with_errors(f)))
+
 # --- health -------------------------------------------------------------------------------------
 register("latest_runs", f"""SELECT run_id, run_status, {iso('started_at')} AS started_at, {iso('completed_at')} AS completed_at,
     apps_attempted, pages_fetched, reviews_parsed, reviews_inserted, reviews_updated, reviews_rejected
@@ -137,6 +171,13 @@ register("run_summary", f"""SELECT c.run_id, c.source_app_id, c.storefront, {',
          {"stored": _STORED[len("stored AS ("):-1]})(
     lambda f: comparison.run_summary(f.runs, f.stored_counters, comparison.raw_observations(f.raw_pages)))
 
+register("run_pages", """SELECT run_id, source_app_id, storefront, page_number, sha256(response_body) AS response_hash,
+    CASE WHEN page_is_json THEN id_count ELSE 0 END AS entry_count, parse_status,
+    CASE WHEN NOT page_is_json THEN 'invalid JSON' ELSE parse_error END AS parse_error
+    FROM page_body JOIN (SELECT run_id, source_app_id, storefront, page_number, parse_status, parse_error FROM pages_done)
+    USING (run_id, source_app_id, storefront, page_number)""")(
+    lambda f: comparison.run_pages(comparison.raw_observations(f.raw_pages), f.pages))
+
 register("dataset_quality", """SELECT count(*) AS total_reviews, count(DISTINCT review_id) AS unique_source_keys,
     count(*) FILTER (source_review_id IS NULL OR rating IS NULL OR body IS NULL OR length(trim(body)) = 0
         OR published_at IS NULL) AS invalid_required, count(DISTINCT source_app_id) AS apps_represented FROM reviews""")(
@@ -162,7 +203,8 @@ _GATE_ROWS = """SELECT 'all_configured_apps_represented' AS gate, apps >= (SELEC
     UNION ALL SELECT 'at_least_six_verticals', verticals >= 6 FROM q
     UNION ALL SELECT 'at_least_1000_unique_reviews', keys >= 1000 FROM q
     UNION ALL SELECT 'no_duplicate_source_keys', keys = total FROM q
-    UNION ALL SELECT 'no_invalid_required_fields', (SELECT count(*) FROM view WHERE title = 'never') = 0 FROM q
+    UNION ALL SELECT 'no_invalid_required_fields', (SELECT count(*) FROM view WHERE source_review_id IS NULL
+        OR rating IS NULL OR body IS NULL OR length(trim(body)) = 0 OR published_at IS NULL) = 0 FROM q
     UNION ALL SELECT 'final_run_has_no_app_or_request_failures', (SELECT run_status = 'completed' AND failed_requests = 0
         FROM runs ORDER BY run_id DESC LIMIT 1) FROM q"""
 register("acceptance_gates", "SELECT * FROM gates UNION ALL SELECT 'ready_for_ds', bool_and(passed) FROM gates",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from feedfold.operators.fold import REVIEW_KEY
 from feedfold.plans.catalog import register
 from feedfold.plans.feed import Feed
@@ -9,8 +11,11 @@ from feedfold.plans.oracle import iso
 from feedfold.session import fresh_path
 from feedfold.streaming import ingest
 
-_COLUMNS = ["run_id", "source_app_id", "storefront", "page_number", "source_review_id", "rating", "detected_language",
-            "body_char_count", "raw_payload_hash"]
+_COLUMNS = ["run_id", "source_app_id", "storefront", "page_number", "entry_pos", "source_platform", "source_endpoint",
+            "source_review_id", "rating", "title", "body", "author_label", "author_uri", "app_version", "review_url",
+            "vote_count", "vote_sum", "raw_record", "raw_payload_hash", "raw_feed_page_id", "detected_language",
+            "body_char_count", "body_token_estimate", "author_fingerprint", "parser_fallback_used"]
+_TIMES = ["published_at", "fetched_at"]
 
 
 def _landed(f: Feed):
@@ -23,7 +28,8 @@ def _landed(f: Feed):
 def _ingested(f: Feed):
     target = fresh_path(f.spark, "observed")
     ingest.run_batches(_landed(f), ingest.ingest_batch(target), fresh_path(f.spark, "checkpoint"))
-    return f.spark.read.parquet(target).select(*_COLUMNS)
+    return f.spark.read.parquet(target).select(
+        *_COLUMNS, *_TIMES, F.array_join("reasons", "|").alias("reasons")).withColumn("entry_pos", F.col("entry_pos").cast("long"))
 
 
 def _upserted(f: Feed):
@@ -42,7 +48,8 @@ def _counted(f: Feed):
     return f.spark.read.parquet(target)
 
 
-register("stream_ingest", f"SELECT {', '.join(_COLUMNS)} FROM obs")(_ingested)
+register("stream_ingest", f"""SELECT {', '.join(_COLUMNS)}, {', '.join(f'{iso(c)} AS {c}' for c in _TIMES)},
+    array_to_string(reasons, '|') AS reasons FROM obs""")(_ingested)
 register("stream_upsert", f"""SELECT review_id, rating, title, body, review_url, source_endpoint,
     {iso('published_at')} AS published_at, detected_language, body_char_count, body_token_estimate, author_fingerprint,
     app_version, vote_count, vote_sum, raw_payload_hash, first_raw_feed_page_id, last_raw_feed_page_id,

@@ -55,6 +55,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_popular(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner", most: int = 200) -> DataFrame:
+    """Join ``rows`` with ``groups`` (one row per key) when a few keys may hold much of ``rows``.
+
+    The ``most`` commonest keys of ``rows`` are joined through a broadcast of at most that many groups, so none of them
+    fills a task; all other keys hold little and are shuffled. Keys with a NULL part match nothing. ``how`` is inner or left.
+    """
+    counted = rows.select(*on).dropna().groupBy(*on).agg(F.count("*").alias("popularity"))
+    popular = F.broadcast(counted.orderBy(F.col("popularity").desc(), *on).limit(most).select(*on))
+    few = F.broadcast(groups.join(popular, on, "left_semi"))
+    return (rows.join(popular, on, "left_semi").join(few, on, how)
+            .unionByName(rows.join(popular, on, "left_anti").join(groups, on, how)))
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
                    limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Join a dimension, broadcasting it only after counting that it stays under ``limit`` rows.

@@ -1,8 +1,8 @@
 """The driver's tables seen as a review feed.
 
 Every document is a review of one feed (app x storefront), enriched by the event with the same
-number, and is observed in up to three ingestion runs. Each document takes part with its whole text;
-a document's arrival class says which runs see it, so runs overlap like a moving feed window.
+number, and is observed in up to three ingestion runs. Each document takes part with its whole text,
+in the body or, where the body is blank or short, in the title; a document's arrival class says which runs see it, so runs overlap like a moving feed window.
 ``entries`` yields parsed entries directly; ``raw_pages`` yields the same entries as landed JSON.
 """
 
@@ -17,6 +17,7 @@ PLATFORM = "app_store"
 RUNS = (1, 2, 3)
 PAGE_ENTRIES = 250
 ENDPOINT = "https://feed.example"
+NO_EVENT_TIME = "2026-01-01 00:00:00"
 
 # Sentences added per event type so that the issue terms occur, in known places.
 EVENT_SENTENCES = {
@@ -40,13 +41,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     app_no = F.substring("source", 4, 10).cast("bigint") % 10
     lang_no = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")), F.lit(0))
     # Events grow with the documents, so this is a sort-merge join at any size: it spills, and it
-    # spreads the text work even when the documents arrive as one file.
-    return docs.join(events.hint("merge"), docs.doc_id == events.event_id).select(
+    # spreads the text work even when the documents arrive as one file. Events only enrich: a
+    # document without one takes part with the defaults below.
+    return docs.join(events.hint("merge"), docs.doc_id == events.event_id, "left").select(
         "doc_id", "text", "n_chars", F.col("lang").alias("storefront"),
         app_no.alias("app_no"), lang_no.cast("bigint").alias("lang_no"),
         F.concat(F.lit("app-"), app_no).alias("source_app_id"),
-        F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
-        F.floor("value").alias("votes"), F.get_json_object("props", "$.k").alias("k"),
+        F.coalesce(F.col("ts").cast("timestamp"), F.lit(NO_EVENT_TIME).cast("timestamp")).alias("ts"),
+        F.coalesce("user_id", "doc_id").alias("user_id"), F.coalesce("event_type", F.lit("none")).alias("event_type"),
+        F.coalesce(F.floor("value"), F.lit(0)).alias("votes"),
+        F.coalesce(F.get_json_object("props", "$.k"), F.lit("0")).alias("k"),
         ((F.col("doc_id") * 31 + F.col("n_chars")) % 10).alias("arrival"))
 
 
@@ -91,7 +95,7 @@ def _raw_fields(observed: DataFrame) -> DataFrame:
     body = (F.when(defect.isin(5, 31), F.lit(" \t\n "))
             .when(short, F.when(doc % 2 == 0, F.lit("Great!!")).otherwise(F.lit("terrible")))
             .otherwise(F.concat(padded, sentence, _one_of(doc % 7, SENTIMENT_WORDS), edited)))
-    title = (F.when(short, F.col("text")).when(doc % 23 == 9, F.lit(None).cast("string")).when(doc % 23 == 10, F.lit(""))
+    title = (F.when(short | defect.isin(5, 31), F.col("text")).when(doc % 23 == 9, F.lit(None).cast("string")).when(doc % 23 == 10, F.lit(""))
              .otherwise(F.left(F.substring_index("text", "\n", 1), F.lit(60))))
     title = F.when((run >= 2) & (doc % 5 == 2), F.concat(title, F.lit(" (edited)"))).otherwise(title)
     anonymous = defect == 29

@@ -54,6 +54,6 @@ def lexicon_table(spark: SparkSession, lexicon: Lexicon = ISSUE_TERMS, version:
 def lexicon_from_table(table: DataFrame) -> Lexicon:
     """A lexicon table (a few hundred configuration rows) back as a parameter."""
     grouped: dict[str, list[str]] = {}
-    for row in table.orderBy("signal", "position").select("signal", "term").limit(100_000).toLocalIterator():
+    for row in table.orderBy("signal", "position").select("signal", "term").toLocalIterator():
         grouped.setdefault(row.signal, []).append(row.term)
     return check_lexicon({signal: tuple(terms) for signal, terms in grouped.items()})

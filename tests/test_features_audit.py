@@ -161,6 +161,24 @@ def test_booster_equals_brute_force(spark, seed):
     assert {r.review_id for r in repaired.collect()} == {r[0] for r in booster}
 
 
+def test_repair_counts_every_app(spark):
+    """25 apps: more than 150 rows can cover, and no list of apps is cut."""
+    rows = people_rows(700, 4, apps=25)
+    frame = people_frame(spark, rows).cache()
+    core_ids = {r.review_id for r in sm.stratified_core(frame).collect()}
+    core, apps = [r for r in rows if r[0] in core_ids], sorted({r[1] for r in rows})
+    assert len(apps) == 25
+    tally = sm._Tally(frame.filter(F.col("review_id").isin(*core_ids)).collect(), sm.ISSUE_TERMS)
+    assert tally.penalty(len(apps)) == total_penalty(core, apps)
+    greedy = {r.review_id for r in sm.booster_sample(frame, sm.stratified_core(frame), repair=False).collect()}
+    booster = {r.review_id for r in sm.booster_sample(frame, sm.stratified_core(frame)).collect()}
+    picked = [r for r in rows if r[0] in booster]
+    assert total_penalty(core + picked, apps) <= total_penalty(core + [r for r in rows if r[0] in greedy], apps)
+    now = total_penalty(core + picked, apps)
+    rest = [r for r in rows if r[0] not in core_ids and r[0] not in booster]
+    assert all(total_penalty(core + [p for p in picked if p != old] + [new], apps) >= now for old in picked[::7] for new in rest[::3])
+
+
 def test_core_reports_short_cells(spark):
     frame = people_frame(spark, people_rows(60, 3))
     assert not sm.core_shortages(sm.stratified_core(frame)).isEmpty()

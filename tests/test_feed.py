@@ -99,7 +99,7 @@ def test_failed_feed_is_isolated(spark, make_pages):
     marked, valid = loaded(frame)
     status = normalise.page_status(frame.withColumn("is_json", F.lit(True)), normalise.rolled_back_pages(marked))
     checked = fold.duplicate_text(fold.narrow_log(flags.with_mismatch(valid)))
-    counters = accounting.feed_counters(log.select("run_id", "source_app_id", "storefront"), status, marked, fold.label_inserts(valid),
+    counters = accounting.feed_counters(log.select("run_id", "source_app_id", "storefront"), status, marked, valid,
                                         normalise.rejected_records(marked), fold.flag_dedup(flags.observed_flags(checked)), log)
     rows = {r.source_app_id: r for r in counters.collect()}
     assert (rows["a"].run_status, rows["a"].failed_requests, rows["a"].pages_fetched) == ("completed_with_errors", 1, 0)

@@ -49,11 +49,11 @@ def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, ho
     The fewer than HOT_SHARE keys with over 1/HOT_SHARE of the rows are broadcast; all others are shuffled.
     ``rows`` is read twice, so pass a stored table. ``how`` is inner or left.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    if (most or 0) * HOT_SHARE <= (total or 0):
+        return rows.join(groups, on, how)
     is_hot = F.col(size) * HOT_SHARE > F.lit(total)
     hot = groups.filter(is_hot)
-    if hot.isEmpty():
-        return rows.join(groups, on, how)
     names = F.broadcast(hot.select(*on))
     return (rows.join(F.broadcast(hot), on)
             .unionByName(rows.join(names, on, "left_anti").join(groups.filter(~is_hot), on, how)))

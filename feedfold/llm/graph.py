@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedfold.llm.common import spread_join
@@ -16,9 +16,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     Alternates large-star and small-star steps until every node links to its root only. A hub's neighbours are
     never gathered: minima are partial aggregates, and hot hubs are joined through a broadcast.
     """
-    def store(rows: DataFrame) -> tuple[DataFrame, tuple]:
-        rows = written(rows.filter("u != v").distinct(), "links")
-        return rows, tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def store(rows: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        rows = rows.filter("u != v").distinct().observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark"))
+        return written(rows, "links"), seen.get
 
     edges, mark = store(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     while True:

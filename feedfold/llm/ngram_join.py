@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,18 @@ from feedfold.session import written
 SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 128
-# Estimates are off by 0.035 at the threshold (one standard deviation), so this lies four of them below it.
-MEET = 0.66
+# Sets that share a leaf are compared by one bit per coordinate. At the threshold 115 of 128 bits agree, give or take 3.4, so
+# this many lie 4.5 standard deviations below, while unrelated sets agree in 64 give or take 5.7.
+MEET_BITS = 100
 RECALL = 0.999
 RUNS_AT_ONCE = 8
 # Nodes up to this size are compared by brute force, larger ones split while there is depth left and compared in blocks below that.
-LEAF = 400
+LEAF = 4096
 DEPTH = 4
-MEMBERS_PER_TASK = 4000
-# Elements of all sets in a verification task.
-ELEMENTS_PER_TASK = 1 << 19
+MEMBERS_PER_TASK = 50_000
+# Elements of all sets in a verification task; a set counts as SET_WEIGHT elements more, which bounds the sets in a task.
+ELEMENTS_PER_TASK = 1 << 18
+SET_WEIGHT = 128
 SEED = 5
 
 
@@ -68,10 +71,12 @@ def _signatures(length: int):
             for i, (a, b) in enumerate(factors):
                 least = np.minimum.reduceat(low * a + b, at)
                 minima[:, i] = (mix(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+            bits = np.packbits((minima & 1).astype(np.uint8), axis=1).view("<i8")
             digests = [np.add.reduceat(mix(h + np.uint64(s)), at).view(np.int64) for s in (11, 12)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(full)), *map(pa.array, digests), pa.array(counts[full].astype(np.int32)),
-                 pa.array([m.tobytes() for m in minima])], ["row_key", "d1", "d2", "n_shingles", "minima"])
+                 pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array([m.tobytes() for m in minima])],
+                ["row_key", "d1", "d2", "n_shingles", "b1", "b2", "minima"])
     return run
 
 
@@ -82,36 +87,47 @@ def _pick(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members (node, rep, minima) go to a child per picked coordinate."""
+    """Members (node, rep, b1, b2, minima) go to a child per picked coordinate."""
     for batch in slices(batches, "minima", 1 << 18):
         node = batch.column(0).to_numpy().view(np.uint64)
-        minima = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(len(node), COORDINATES)
+        minima = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u2").reshape(len(node), COORDINATES)
         row, i = _pick(node)
         child = mix(mix(node[row] + i.astype(np.uint64)) + minima[row, i].astype(np.uint64) + np.uint64(1))
-        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1).take(pa.array(row))], ["node", "rep"])
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(c).take(at) for c in (1, 2, 3))],
+                                         ["node", "rep", "b1", "b2"])
+
+
+def _agree(bits: np.ndarray, left, right) -> np.ndarray:
+    return COORDINATES - np.bitwise_count(bits[left] ^ bits[right]).sum(axis=-1) >= MEET_BITS
 
 
 def _close(members: pa.Table) -> pa.Table:
-    """Brute force in every node of a task: members whose signatures agree enough, linked to the smallest such."""
+    """Brute force in every node of a task: members whose bits agree enough, linked to the smallest they reach."""
     members = members.sort_by([("node", "ascending"), ("rep", "ascending")])
     node, rep, own = (members.column(c).to_numpy() for c in ("node", "rep", "own"))
     across = members.column("block").to_numpy() != members.column("other").to_numpy()
-    minima = np.frombuffer(b"".join(members.column("minima").to_pylist()), "<u2").reshape(len(rep), COORDINATES)
+    bits = np.stack([members.column(c).to_numpy().view(np.uint64) for c in ("b1", "b2")], axis=1)
     cuts = np.nonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))[0]
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    need = MEET * COORDINATES
+    few = 8
+    pairs = []
+    for step in range(1, few):  # small nodes, all at once
+        i = np.nonzero(node[step:] == node[:-step])[0]
+        i = i[_agree(bits, i, i + step)]
+        pairs.append((i, i + step))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        for i in range(a, b - 1):
-            same = (minima[i + 1:b] == minima[i]).sum(axis=1) >= need
-            if across[i]:
-                same &= own[i + 1:b] != own[i]
-            j = np.nonzero(same)[0]
-            left.append(np.full(len(j), i))
-            right.append(j + i + 1)
-    left, right = np.concatenate(left), np.concatenate(right)
+        for start in range(a, b - few, 256):
+            rows = np.arange(start, min(start + 256, b - few))
+            i, j = np.nonzero(_agree(bits, rows[:, None], np.arange(start + few, b)[None, :]))
+            i, j = rows[i], j + start + few
+            far = j - i >= few
+            pairs.append((i[far], j[far]))
+    left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    meet = ~across[left] | (own[left] != own[right])
+    left, right = left[meet], right[meet]
     root = local_roots(len(rep), left, right)
     linked = np.nonzero(root != np.arange(len(rep)))[0]
-    return pa.table({"rep": pa.array(rep[linked]), "root": pa.array(rep[root[linked]])})
+    return pa.table({"rep": pa.array(rep[linked]), "root": pa.array(rep[root[linked]])}).group_by(["rep", "root"]).aggregate([])
 
 
 def _meeting_chance(depth: int) -> float:
@@ -122,34 +138,34 @@ def _meeting_chance(depth: int) -> float:
     return chance
 
 
-def chosen_path_links(reps: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Links (rep, root) between sets of the stored table (rep, minima) that met in a leaf and look similar."""
-    found, runs, depth, spark = None, 0, 1, reps.sparkSession
-    while runs < math.ceil(math.log(1 - recall) / math.log(1 - _meeting_chance(depth))):
-        roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {runs + i}")) for i in range(RUNS_AT_ONCE)])).alias("node")
-        runs += RUNS_AT_ONCE
-        members = reps.select(roots, "rep", "minima")
-        leaves = []
-        for level in range(1, DEPTH + 1):
-            members = written(members.mapInArrow(_children, "node long, rep long").distinct(), "paths")
-            sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-            sizes = written(sizes, "nodes")
-            small = sizes if level == DEPTH else sizes.filter(F.col("n") <= LEAF)
-            leaves.append(spread_join(members, small, ["node"], "n").drop("n"))
-            large = sizes.filter(F.col("n") > LEAF)
-            if level == DEPTH or large.isEmpty():
+def chosen_path_links(reps: DataFrame, n: int, recall: float = RECALL) -> DataFrame:
+    """Links (rep, root) between the n sets of the stored table (rep, b1, b2, minima) that met in a leaf and look similar."""
+    found, runs, depth = [], 0, 1
+    schema = "node long, rep long, b1 long, b2 long"
+    while (need := math.ceil(math.log(1 - recall) / math.log(1 - _meeting_chance(depth)))) > runs:
+        fresh = max(need, RUNS_AT_ONCE) - runs
+        roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {runs + i}")) for i in range(fresh)])).alias("node")
+        members = reps.select(roots, "rep", "b1", "b2", "minima").mapInArrow(_children, schema)
+        runs += fresh
+        tasks, level = max(1, n * fresh * 2 // MEMBERS_PER_TASK), 1
+        while True:
+            large = written(members.groupBy("node").count().filter(F.col("count") > LEAF).select("node"), "large-nodes")
+            done = large.isEmpty()
+            leaves = members if done else members.join(large, "node", "left_anti")
+            plain = leaves.withColumns({"task": F.pmod("node", F.lit(tasks)), **{c: F.lit(0) for c in ("block", "other", "own")}})
+            found.append(plain.groupBy("task").applyInArrow(_close, "rep long, root long"))
+            if done:
+                break
+            large = written(members.join(large, "node", "left_semi"), "large-members")
+            if level == DEPTH:
+                blocks = pair_tasks(large, "node", "rep", F.lit(1), LEAF)
+                found.append(blocks.groupBy("task").applyInArrow(_close, "rep long, root long"))
                 break
-            depth = max(depth, level + 1)
-            members = spread_join(members, large, ["node"], "n").drop("n").join(reps, "rep").select("node", "rep", "minima")
-        together = leaves[0]
-        for more in leaves[1:]:
-            together = together.unionByName(more)
-        together = written(together.join(reps.select("rep", "minima"), "rep"), "leaves")
-        tasks = pair_tasks(together, "node", "rep", F.lit(1), MEMBERS_PER_TASK)
-        links = tasks.groupBy("task").applyInArrow(_close, "rep long, root long").distinct()
-        found = links if found is None else found.unionByName(links)
-        found = written(found.distinct(), "met")
-    return found if found is not None else spark.createDataFrame([], "rep long, root long")
+            level += 1
+            depth = max(depth, level)
+            members = written(large.join(reps.select("rep", "minima"), "rep").select("node", "rep", "b1", "b2", "minima")
+                              .mapInArrow(_children, schema), "paths")
+    return reduce(DataFrame.unionByName, found)
 
 
 def _sets(length: int):
@@ -168,41 +184,48 @@ def _verified(similarity: float):
     def run(members: pa.Table) -> pa.Table:
         members = members.sort_by([("component", "ascending"), ("rep", "ascending")])
         comp, rep, own, copies, size = (members.column(c).to_numpy() for c in ("component", "rep", "own", "copies", "elements"))
-        across = members.column("block").to_numpy() != members.column("other").to_numpy()
-        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in members.column("shingles")]
+        block, other = (members.column(c).to_numpy() for c in ("block", "other"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for column in members.column("shingles").chunks for s in column]
         linked = np.zeros(len(rep), np.int64)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         cuts = np.nonzero(np.concatenate([[True], comp[1:] != comp[:-1], [True]]))[0]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            shared = _intersections(sets[a:b])
-            both = size[a:b, None] + size[None, a:b] - shared
-            ok = np.triu(shared >= similarity * both - 1e-9, 1)
-            if across[a]:
-                ok &= own[a:b, None] != own[None, a:b]
+            one = np.arange(a, b)
+            two = one
+            if block[a] != other[a]:
+                one, two = one[own[a:b] == block[a]], one[own[a:b] == other[a]]
+            shared = _intersections([sets[i] for i in one], [sets[i] for i in two])
+            ok = shared >= similarity * (size[one][:, None] + size[two][None, :] - shared) - 1e-9
             i, j = np.nonzero(ok)
-            np.add.at(linked, i + a, copies[j + a])
-            np.add.at(linked, j + a, copies[i + a])
-            left.append(i + a)
-            right.append(j + a)
+            i, j = one[i], two[j]
+            if block[a] == other[a]:
+                i, j = i[i < j], j[i < j]
+            np.add.at(linked, i, copies[j])
+            np.add.at(linked, j, copies[i])
+            left.append(i)
+            right.append(j)
         root = local_roots(len(rep), np.concatenate(left), np.concatenate(right))
         some = np.nonzero(linked)[0]
         return pa.table({"rep": pa.array(rep[some]), "linked": pa.array(linked[some]), "root": pa.array(rep[root[some]])})
     return run
 
 
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted sets without repeats."""
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    total = np.zeros((len(sets), len(sets)), np.float64)
-    width = max(256, (4 << 20) // len(sets))
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for start in range(0, len(values), width):
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set (sorted, without repeats)."""
+    if len(left) * len(right) <= 16:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left], np.int64)
+    values, column, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    shared = times[column] > 1
+    used = np.cumsum(times > 1) - 1
+    order = np.argsort(used[column[shared]], kind="stable")
+    row, column = row[shared][order], used[column[shared]][order]
+    total, width = np.zeros((len(left), len(right)), np.float32), max(64, (2 << 20) // (len(left) + len(right)))
+    for start in range(0, int((times > 1).sum()), width):
         i, j = np.searchsorted(column, [start, start + width])
-        part = np.zeros((len(sets), min(width, len(values) - start)), np.float32)
+        part = np.zeros((len(left) + len(right), width), np.float32)
         part[row[i:j], column[i:j] - start] = 1
-        total += part @ part.T
+        total += part[:len(left)] @ part[len(left):].T
     return np.rint(total).astype(np.int64)
 
 
@@ -218,17 +241,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     signed = written(rows.select("row_key", "text").mapInArrow(
-        _signatures(length), "row_key long, d1 long, d2 long, n_shingles int, minima binary"), "signatures")
+        _signatures(length), "row_key long, d1 long, d2 long, n_shingles int, b1 long, b2 long, minima binary"), "signatures")
     classes = written(signed.groupBy("d1", "d2", "n_shingles").agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("copies")),
                       "set-classes")
-    reps = signed.select(F.col("row_key").alias("rep"), "minima").join(classes.select("rep", "copies"), "rep")
+    reps = signed.select(F.col("row_key").alias("rep"), "b1", "b2", "minima").join(classes.select("rep", "copies"), "rep")
     reps = written(reps.dropDuplicates(["rep"]), "representatives")
-    met = components(chosen_path_links(reps, recall), "rep", "root")
+    met = components(chosen_path_links(reps, reps.count(), recall), "rep", "root")
     members = written(met.withColumnRenamed("node", "rep").join(reps.select("rep", "copies"), "rep"), "met-groups")
     texts = rows.select(F.col("row_key").alias("rep"), "text").join(members, "rep").select("component", "rep", "copies", "text")
     sets = written(texts.mapInArrow(_sets(length), "component long, rep long, copies long, elements int, shingles binary")
                    .dropDuplicates(["rep"]), "sets")
-    tasks = pair_tasks(sets, "component", "rep", F.col("elements"), ELEMENTS_PER_TASK)
+    tasks = pair_tasks(sets, "component", "rep", F.col("elements") + SET_WEIGHT, ELEMENTS_PER_TASK)
     links = written(tasks.groupBy("task").applyInArrow(_verified(similarity), "rep long, linked long, root long"), "verified")
     linked = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
     groups = components(links.filter("rep != root"), "rep", "root").withColumnRenamed("node", "rep")

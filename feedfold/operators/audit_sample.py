@@ -132,6 +132,28 @@ def uncovered_apps(people: DataFrame, sample: DataFrame, floor: int) -> DataFram
             .select("app_name", F.coalesce("n", F.lit(0)).alias("n")).filter(F.col("n") < floor))
 
 
+def sample_shortages(people: DataFrame, core: DataFrame, booster: DataFrame, lexicon: Lexicon = ISSUE_TERMS) -> DataFrame:
+    """(kind, item, missing): unfilled cells, apps below a floor in the core or the whole sample, unmet targets."""
+    sample = core.unionByName(booster, allowMissingColumns=True)
+
+    def apps(kind: str, rows: DataFrame, floor: int) -> DataFrame:
+        return uncovered_apps(people, rows, floor).select(
+            F.lit(kind).alias("kind"), F.col("app_name").alias("item"), (F.lit(floor) - F.col("n")).cast("bigint").alias("missing"))
+
+    cells = core_shortages(core).select(F.lit("cell").alias("kind"), F.col("cell").alias("item"), F.col("missing").cast("bigint"))
+    targets = booster_deficits(sample, lexicon).filter("deficit > 0").select(
+        F.lit("target").alias("kind"), F.col("goal").alias("item"), F.col("deficit").cast("bigint").alias("missing"))
+    return (cells.unionByName(apps("core_app", core, CORE_APP_FLOOR)).unionByName(apps("app", sample, TOTAL_APP_FLOOR))
+            .unionByName(targets))
+
+
+def require_complete(shortages: DataFrame) -> None:
+    """Raise if the audit sample misses a quota, a floor or a target (a few dozen rows and one per app at most)."""
+    found = [f"{r['kind']} {r['item']}: {r['missing']}" for r in shortages.toLocalIterator()]
+    if found:
+        raise ValueError("the audit sample is short: " + "; ".join(found))
+
+
 def booster_deficits(sample: DataFrame, lexicon: Lexicon = ISSUE_TERMS) -> DataFrame:
     """Remaining need per reason, signal and broad term."""
     counted = {t for s in TERM_SIGNALS for t in lexicon[s]}

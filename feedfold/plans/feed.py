@@ -8,6 +8,7 @@ audits read back with column pruning instead of recomputing the fold.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +39,11 @@ class Feed:
         given = self._entries.semanticHash() if self._entries is not None else None
         return hashlib.sha256(repr((self.source, tuple(seen), sorted(self.lexicon.items()), given)).encode()).hexdigest()
 
-    def stored(self, name: str, df: DataFrame) -> DataFrame:
+    def stored(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+        """The table of that name, written by the first caller; pass a callable if building it runs jobs."""
         key = (self.spark.sparkContext.applicationId, self.inputs, name)
         if key not in _STORED:
-            _STORED[key] = written(df, name)
+            _STORED[key] = written(df if isinstance(df, DataFrame) else df(), name)
         return _STORED[key]
 
     # --- dimensions -------------------------------------------------------------------------

@@ -36,6 +36,47 @@ _GOALS = {
     **{f"signal:{s}": f"issue_{s}" for s in ISSUE_SIGNALS}, **{f"term:{t}": f"term_{t}" for t in BROAD_TERMS}}
 _QUOTA = "CASE cell " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in sm.CORE_QUOTAS.items()) + " END"
 
+SWAPS = 100
+
+
+def _booster_sql() -> dict[str, str]:
+    """The greedy choice row by row and the repair swap by swap, as one CTE each.
+
+    ``goals`` has the 0/1 goals g0, g1, ...; ``pick<k>`` the core (turn 0) and the first k booster rows; ``swap<k>`` the same
+    after k swaps at most, where a swap that gains nothing changes nothing.
+    """
+    names, ctes = list(sm.TARGETS), {}
+    columns = [f"g{i}" for i in range(len(names))]
+    ctes["goals"] = "SELECT review_id, app_name, cell, rank, " + ", ".join(
+        f"({_GOALS[n]})::BIGINT AS {c}" for n, c in zip(names, columns)) + " FROM people"
+    ctes["pick0"] = "SELECT *, 0 AS turn FROM goals WHERE review_id IN (SELECT review_id FROM floored)"
+    sums = ", ".join(f"sum({c}) AS s_{c}" for c in columns)
+    points = " + ".join(f"CASE WHEN s_{c} < {sm.TARGETS[n]} THEN {sm.RARE_POINTS.get(n, sm.POINTS[n.split(':')[0]])} * {c} ELSE 0 END"
+                        for n, c in zip(names, columns))
+    for k in range(1, sm.BOOSTER_SIZE + 1):
+        ctes[f"pick{k}"] = f"""SELECT * FROM pick{k - 1} UNION ALL (SELECT g.*, {k} AS turn FROM goals g
+            LEFT JOIN (SELECT app_name, count(*) AS held FROM pick{k - 1} GROUP BY app_name) a USING (app_name),
+            (SELECT {sums} FROM pick{k - 1}) WHERE g.review_id NOT IN (SELECT review_id FROM pick{k - 1})
+            ORDER BY {points} + CASE WHEN COALESCE(held, 0) < {sm.TOTAL_APP_FLOOR} THEN {sm.APP_POINTS} ELSE 0 END DESC, rank LIMIT 1)"""
+    floor = sm.TOTAL_APP_FLOOR
+    now = " + ".join(f"greatest(0, {sm.TARGETS[n]} - s_{c})" for n, c in zip(names, columns))
+    then = " + ".join(f"greatest(0, {sm.TARGETS[n]} - (s_{c} - x.{c} + y.{c}))" for n, c in zip(names, columns))
+    ctes["swap0"] = f"SELECT * FROM pick{sm.BOOSTER_SIZE}"
+    for k in range(1, SWAPS + 1):
+        old = f"swap{k - 1}"
+        ctes[f"best{k}"] = f"""SELECT * FROM (SELECT y.*, x.turn AS turn, x.review_id AS gone,
+            100 * ({then}) - (CASE WHEN COALESCE(v.held, 0) - (x.app_name = y.app_name)::INTEGER < {floor} THEN 1 ELSE 0 END)
+                + (CASE WHEN u.held <= {floor} THEN 1 ELSE 0 END) AS cost, 100 * ({now}) AS cost_now
+            FROM {old} x JOIN (SELECT app_name, count(*) AS held FROM {old} GROUP BY app_name) u USING (app_name), goals y
+            LEFT JOIN (SELECT app_name, count(*) AS held FROM {old} GROUP BY app_name) v ON v.app_name = y.app_name,
+            (SELECT {sums} FROM {old}) WHERE x.turn > 0 AND y.review_id NOT IN (SELECT review_id FROM {old})
+            ORDER BY cost, y.review_id, x.turn LIMIT 1) WHERE cost < cost_now"""
+        ctes[f"swap{k}"] = f"""SELECT * FROM {old} WHERE review_id NOT IN (SELECT gone FROM best{k})
+            UNION ALL SELECT review_id, app_name, cell, rank, {', '.join(columns)}, turn FROM best{k}"""
+    ctes["repaired"] = f"SELECT * FROM swap{SWAPS} WHERE turn > 0"
+    return ctes
+
+
 EXTRA = {
     "people": f"""SELECT *, sha256('{SEED}:'||review_id) AS rank,
         CASE WHEN weak_label = 'neutral' THEN 'neutral' ELSE weak_label||'|'||weak_label_needs_review END AS cell FROM features""",
@@ -44,9 +85,9 @@ EXTRA = {
     "floored": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY turn, rank) AS spot FROM
         (SELECT *, CASE WHEN row_number() OVER (PARTITION BY app_name ORDER BY rank) <= 5 THEN 0 ELSE 1 END AS turn FROM people))
         WHERE spot <= {_QUOTA}""",
-    "picked": """SELECT *, 'core' AS sample_role FROM core
-        UNION ALL (SELECT *, 0 AS place, 'booster' AS sample_role FROM people WHERE review_id NOT IN (SELECT review_id FROM core)
-            ORDER BY rank LIMIT 30)""",
+    **_booster_sql(),
+    "picked": """SELECT p.*, 'core' AS sample_role FROM people p JOIN floored USING (review_id)
+        UNION ALL SELECT p.*, 'booster' FROM people p JOIN repaired USING (review_id)""",
     "manifest": f"""SELECT *, printf('audit_v1_%03d', row_number() OVER (ORDER BY sample_role, rank)) AS sample_id,
         {_matched_sql('combined')} AS matched_issue_terms_json FROM picked""",
 }
@@ -56,14 +97,17 @@ def _people(f):
     return f.stored("people", sm.population(f.features, f.lexicon))
 
 
-def _next_thirty(people, core):
-    rest = people.join(F.broadcast(core.select("review_id")), "review_id", "left_anti")  # at most 120 rows
-    return rest.orderBy("rank").limit(sm.BOOSTER_SIZE)
+def _core(f):
+    return f.stored("audit-core", sm.coverage_floor(_people(f)))
+
+
+def _booster(f, repair=True):
+    return f.stored("audit-booster" if repair else "audit-greedy",
+                    lambda: sm.booster_sample(_people(f), _core(f), f.lexicon, repair=repair))
 
 
 def _manifest(f):
-    core = sm.stratified_core(_people(f))
-    return sm.audit_manifest(core, _next_thirty(_people(f), core), f.features, f.lexicon)
+    return sm.audit_manifest(_core(f), _booster(f), f.features, f.lexicon)
 
 
 # --- sampling -----------------------------------------------------------------------------------
@@ -79,12 +123,21 @@ register("coverage_floor", "SELECT review_id, cell, rank, app_name FROM floored"
     lambda f: sm.coverage_floor(_people(f)).select("review_id", "cell", "rank", "app_name"))
 register("booster_deficits", " UNION ALL ".join(
     f"""SELECT '{g}' AS goal, {sm.TARGETS[g]}::BIGINT AS target, COALESCE(sum({e}), 0)::BIGINT AS have,
-    greatest(0, {sm.TARGETS[g]} - COALESCE(sum({e}), 0))::BIGINT AS deficit FROM core""" for g, e in _GOALS.items()), EXTRA)(
-    lambda f: sm.booster_deficits(sm.stratified_core(_people(f)), f.lexicon))
-register("greedy_booster")(lambda f: sm.booster_sample(
-    _people(f), sm.coverage_floor(_people(f)), f.lexicon, repair=False).select("review_id", "app_name", "cell", "rank"))
-register("swap_repair")(lambda f: sm.booster_sample(
-    _people(f), sm.coverage_floor(_people(f)), f.lexicon).select("review_id", "app_name", "cell", "rank"))
+    greatest(0, {sm.TARGETS[g]} - COALESCE(sum({e}), 0))::BIGINT AS deficit FROM floored""" for g, e in _GOALS.items()), EXTRA)(
+    lambda f: sm.booster_deficits(_core(f), f.lexicon))
+register("greedy_booster", f"SELECT review_id, app_name, cell, rank FROM pick{sm.BOOSTER_SIZE} WHERE turn > 0", EXTRA)(
+    lambda f: _booster(f, repair=False).select("review_id", "app_name", "cell", "rank"))
+register("swap_repair", "SELECT review_id, app_name, cell, rank FROM repaired", EXTRA)(
+    lambda f: _booster(f).select("review_id", "app_name", "cell", "rank"))
+register("audit_shortages", f"""SELECT 'cell' AS kind, c AS item, q - (SELECT count(*) FROM floored WHERE cell = c) AS missing
+        FROM (VALUES {', '.join(f"('{c}', {n})" for c, n in sm.CORE_QUOTAS.items())}) v(c, q) WHERE missing > 0
+    UNION ALL SELECT 'core_app', app_name, {sm.CORE_APP_FLOOR} - (SELECT count(*) FROM floored f WHERE f.app_name = p.app_name)
+        FROM people p GROUP BY app_name HAVING (SELECT count(*) FROM floored f WHERE f.app_name = p.app_name) < {sm.CORE_APP_FLOOR}
+    UNION ALL SELECT 'app', app_name, {sm.TOTAL_APP_FLOOR} - (SELECT count(*) FROM swap{SWAPS} f WHERE f.app_name = p.app_name)
+        FROM people p GROUP BY app_name HAVING (SELECT count(*) FROM swap{SWAPS} f WHERE f.app_name = p.app_name) < {sm.TOTAL_APP_FLOOR}
+    """ + "".join(f" UNION ALL SELECT 'target', '{g}', ({n} - sum(g{i}))::BIGINT FROM swap{SWAPS} HAVING sum(g{i}) < {n}"
+                  for i, (g, n) in enumerate(sm.TARGETS.items())), EXTRA)(
+    lambda f: sm.sample_shortages(_people(f), _core(f), _booster(f), f.lexicon))
 
 _MANIFEST = f"""sample_id, sample_role, review_id, source_review_id, app_name, vertical_name, storefront, rating, title, body,
     detected_language, {iso('published_at')} AS published_at, weak_label, weak_label_needs_review, weak_label_noise_reasons,
@@ -111,8 +164,8 @@ register("recheck_sample", f"""SELECT sample_id, app_name, vertical_name, title,
         ORDER BY sha256('{SEED + 1}:'||sample_id)) AS turn FROM manifest)
     WHERE turn <= CASE weak_label WHEN 'neutral' THEN 7 ELSE 8 END""", EXTRA)(lambda f: sm.recheck_sample(_manifest(f)))
 register("holdout_exclusion", """SELECT review_id, weak_label FROM features
-    WHERE review_id NOT IN (SELECT review_id FROM core)""", EXTRA)(
-    lambda f: sm.holdout_exclusion(f.features, sm.stratified_core(_people(f))).select("review_id", "weak_label"))
+    WHERE review_id NOT IN (SELECT review_id FROM floored)""", EXTRA)(
+    lambda f: sm.holdout_exclusion(f.features, _core(f)).select("review_id", "weak_label"))
 
 
 # --- scoring ------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from feedfold.plans.oracle import iso
 from feedfold.session import fresh_path
 from feedfold.streaming import ingest
 
-_COLUMNS = ["run_id", "source_app_id", "storefront", "page_number", "entry_pos", "source_platform", "source_endpoint",
+_COLUMNS = ["run_id", "source_app_id", "storefront", "page_number", "source_platform", "source_endpoint",
             "source_review_id", "rating", "title", "body", "author_label", "author_uri", "app_version", "review_url",
             "vote_count", "vote_sum", "raw_record", "raw_payload_hash", "raw_feed_page_id", "detected_language",
             "body_char_count", "body_token_estimate", "author_fingerprint", "parser_fallback_used"]
@@ -29,7 +29,7 @@ def _ingested(f: Feed):
     target = fresh_path(f.spark, "observed")
     ingest.run_batches(_landed(f), ingest.ingest_batch(target), fresh_path(f.spark, "checkpoint"))
     return f.spark.read.parquet(target).select(
-        *_COLUMNS, *_TIMES, F.array_join("reasons", "|").alias("reasons")).withColumn("entry_pos", F.col("entry_pos").cast("long"))
+        *_COLUMNS, *_TIMES, F.array_join("reasons", "|").alias("reasons"))
 
 
 def _upserted(f: Feed):

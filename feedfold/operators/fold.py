@@ -95,12 +95,23 @@ def label_inserts(valid: DataFrame) -> DataFrame:
         "action", F.when(first, "inserted").otherwise("updated")).drop("first_seq")
 
 
-def reviewer_upsert(valid: DataFrame) -> DataFrame:
+def partial_reviewers(valid: DataFrame) -> DataFrame:
+    """First and last observation per reviewer; the output folds again with itself."""
     known = valid.filter(F.col("author_fingerprint").isNotNull())
-    folded = known.groupBy("source_platform", "author_fingerprint").agg(
-        F.max_by(F.struct("author_uri", "author_label"), seq()).alias("latest"),
-        F.min_by("fetched_at", seq()).alias("created_at"), F.max_by("fetched_at", seq()).alias("updated_at"))
-    return folded.select("source_platform", "author_fingerprint", "latest.*", "created_at", "updated_at")
+    return known.groupBy("source_platform", "author_fingerprint").agg(
+        F.min(F.struct(seq().alias("seq"), F.col("fetched_at").alias("at"))).alias("first"),
+        F.max_by(F.struct(seq().alias("seq"), "author_uri", "author_label", F.col("fetched_at").alias("at")), seq()).alias("last"))
+
+
+def reviewers_from_partials(partials: DataFrame) -> DataFrame:
+    folded = partials.groupBy("source_platform", "author_fingerprint").agg(
+        F.min("first").alias("first"), F.max_by("last", F.col("last.seq")).alias("last"))
+    return folded.select("source_platform", "author_fingerprint", "last.author_uri", "last.author_label",
+                         F.col("first.at").alias("created_at"), F.col("last.at").alias("updated_at"))
+
+
+def reviewer_upsert(valid: DataFrame) -> DataFrame:
+    return reviewers_from_partials(partial_reviewers(valid))
 
 
 def body_key() -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedfold.operators import fold, normalise
+from feedfold.operators import accounting, fold, normalise
 from feedfold.operators.expect import check_rule, expect, foreign_key_rule, not_null_rule, unique_rule
 from feedfold.operators.flags import build_flags, is_non_english, is_short, lacks_author
 from feedfold.plans.catalog import register
@@ -161,3 +161,97 @@ register("expect_not_null", "SELECT * FROM (" + " UNION ALL ".join(
         not_null_rule(f.reviews, "reviews", ["source_review_id", "rating", "body", "source_endpoint", "published_at",
                                              "first_raw_feed_page_id", "last_raw_feed_page_id", "first_seen_run_id",
                                              "last_seen_run_id", "first_seen_at", "last_seen_at"])))
+
+
+# --- constraints of the run tables, on copies with one kind of damage per app or storefront ---------------
+_COUNT_CHECKS = list(accounting.COUNTERS)
+
+
+def _damaged(f):
+    app, store = F.col("source_app_id"), F.col("storefront")
+    pages = f.pages.withColumns({
+        "run_id": F.when(app == "app-1", F.col("run_id") + 90).otherwise(F.col("run_id")),
+        "parse_status": F.when(app == "app-2", "odd").otherwise(F.col("parse_status")),
+        "fetched_at": F.when(app != "app-3", F.col("fetched_at"))})
+    feeds = f.stored_counters.withColumns({
+        "run_id": F.when(app == "app-1", F.col("run_id") + 90).otherwise(F.col("run_id")),
+        "run_status": F.when(app == "app-4", "odd").otherwise(F.col("run_status")),
+        "reviews_parsed": F.when(app == "app-5", -1 - F.col("reviews_parsed")).otherwise(F.col("reviews_parsed"))})
+    runs = f.runs.withColumns({
+        "run_status": F.when(F.col("run_id") == 3, "odd").otherwise(F.col("run_status")),
+        "started_at": F.when(F.col("run_id") != 2, F.col("started_at")),
+        "pages_fetched": F.when(F.col("run_id") == 3, -1 - F.col("pages_fetched")).otherwise(F.col("pages_fetched"))})
+    rejects = f.rejected_log.withColumns({
+        "raw_feed_page_id": F.when(store == "de", F.concat(F.lit("x/"), "raw_feed_page_id")).otherwise(F.col("raw_feed_page_id")),
+        "rejection_reason": F.when(store != "fr", F.col("rejection_reason"))})
+    reviews = f.reviews.withColumns({
+        "last_seen_run_id": F.when(store == "es", F.col("last_seen_run_id") + 90).otherwise(F.col("last_seen_run_id")),
+        "first_raw_feed_page_id": F.when(store == "es", F.concat(F.lit("x/"), "first_raw_feed_page_id"))
+        .otherwise(F.col("first_raw_feed_page_id"))})
+    flags = f.review_flags.withColumn("flag_details", F.when(F.col("flag_severity") != "warning", F.col("flag_details")))
+    return pages, feeds, runs, rejects, reviews, flags
+
+
+def _run_tables(f):
+    pages, feeds, runs, rejects, reviews, flags = _damaged(f)
+    known = f.pages.select(F.concat_ws("/", *PAGE_KEY).alias("page"))
+    status = F.col("run_status").isin("running", "completed", "completed_with_errors", "failed")
+    counters = {c: F.col(c) >= 0 for c in _COUNT_CHECKS}
+    return expect(
+        foreign_key_rule(pages, "raw_feed_pages", ["run_id"], f.runs, ["run_id"]),
+        foreign_key_rule(pages, "raw_feed_pages", ["source_app_id", "storefront"], f.dims["storefronts"], ["source_app_id", "storefront"]),
+        foreign_key_rule(feeds, "ingestion_run_app_stats", ["run_id"], f.runs, ["run_id"]),
+        foreign_key_rule(rejects, "rejected_review_records", ["run_id"], f.runs, ["run_id"]),
+        foreign_key_rule(rejects, "rejected_review_records", ["raw_feed_page_id"], known, ["page"]),
+        *[foreign_key_rule(reviews, "reviews", [c], f.runs, ["run_id"]) for c in ("first_seen_run_id", "last_seen_run_id")],
+        *[foreign_key_rule(reviews, "reviews", [c], known, ["page"]) for c in ("first_raw_feed_page_id", "last_raw_feed_page_id")],
+        check_rule(pages, "raw_feed_pages", {
+            "parse_status": F.col("parse_status").isin("pending", "parsed", "parse_error", "skipped"),
+            "page_number": F.col("page_number") >= 1}, F.concat_ws("/", *PAGE_KEY)),
+        check_rule(feeds, "ingestion_run_app_stats", {"run_status": status, **counters}, F.concat_ws("/", "run_id", "source_app_id", "storefront")),
+        check_rule(runs, "ingestion_runs", {"run_status": status, **counters}, F.col("run_id")),
+        not_null_rule(pages, "raw_feed_pages", [*PAGE_KEY, "fetched_at", "parse_status"]),
+        not_null_rule(runs, "ingestion_runs", ["run_id", "run_status", "started_at"]),
+        not_null_rule(rejects, "rejected_review_records", ["run_id", "source_app_id", "rejection_reason"]),
+        not_null_rule(flags, "review_quality_flags", ["review_id", "flag_type", "flag_severity", "flag_details"]),
+        not_null_rule(f.dims["apps"], "apps", ["source_app_id", "app_name", "vertical_name"]),
+        not_null_rule(f.dims["storefronts"], "app_storefronts", ["source_app_id", "storefront"]))
+
+
+_FK, _CK, _NN = "'foreign_key' AS rule", "'check' AS rule", "'not_null' AS rule"
+register("expect_run_tables", f"""
+    SELECT 'raw_feed_pages' AS table_name, {_FK}, 'run_id' AS subject, (run_id + 90)::VARCHAR AS violating_key, count(*) AS n
+        FROM pages_done WHERE source_app_id = 'app-1' GROUP BY run_id
+    UNION ALL SELECT 'ingestion_run_app_stats', {_FK}, 'run_id', (run_id + 90)::VARCHAR, count(*) FROM counters
+        WHERE source_app_id = 'app-1' GROUP BY run_id
+    UNION ALL SELECT 'rejected_review_records', {_FK}, 'raw_feed_page_id', 'x/'||raw_feed_page_id, count(*) FROM marked
+        WHERE NOT valid AND failed_pos IS NULL AND storefront = 'de' GROUP BY raw_feed_page_id
+    UNION ALL SELECT 'reviews', {_FK}, 'last_seen_run_id', (last_seen_run_id + 90)::VARCHAR, count(*) FROM reviews
+        WHERE storefront = 'es' GROUP BY last_seen_run_id
+    UNION ALL SELECT 'reviews', {_FK}, 'first_raw_feed_page_id', 'x/'||first_raw_feed_page_id, count(*) FROM reviews
+        WHERE storefront = 'es' GROUP BY first_raw_feed_page_id
+    UNION ALL SELECT 'raw_feed_pages', {_CK}, 'parse_status', concat_ws('/', run_id, source_app_id, storefront, page_number), 1
+        FROM pages_done WHERE source_app_id = 'app-2'
+    UNION ALL SELECT 'ingestion_run_app_stats', {_CK}, 'run_status', concat_ws('/', run_id, source_app_id, storefront), 1
+        FROM counters WHERE source_app_id = 'app-4'
+    UNION ALL SELECT 'ingestion_run_app_stats', {_CK}, 'reviews_parsed', concat_ws('/', run_id, source_app_id, storefront), 1
+        FROM counters WHERE source_app_id = 'app-5'
+    UNION ALL SELECT 'ingestion_runs', {_CK}, s, run_id::VARCHAR, 1 FROM runs, (VALUES ('run_status'), ('pages_fetched')) v(s) WHERE run_id = 3
+    UNION ALL SELECT * FROM (SELECT 'raw_feed_pages', {_NN}, 'fetched_at', '', count(*) AS n FROM pages_done WHERE source_app_id = 'app-3') WHERE n > 0
+    UNION ALL SELECT * FROM (SELECT 'ingestion_runs', {_NN}, 'started_at', '', count(*) AS n FROM runs WHERE run_id = 2) WHERE n > 0
+    UNION ALL SELECT * FROM (SELECT 'rejected_review_records', {_NN}, 'rejection_reason', '', count(*) AS n FROM marked
+        WHERE NOT valid AND failed_pos IS NULL AND storefront = 'fr') WHERE n > 0
+    UNION ALL SELECT * FROM (SELECT 'review_quality_flags', {_NN}, 'flag_details', '', count(*) AS n FROM flags
+        WHERE flag_severity = 'warning') WHERE n > 0""")(_run_tables)
+
+# Limits a manifest may set, checked for what every feed of every run would have needed.
+register("settings_bounds", """SELECT 'settings' AS table_name, 'check' AS rule, s AS subject,
+    concat_ws('/', run_id, source_app_id, storefront) AS violating_key, 1::BIGINT AS n
+    FROM counters, (VALUES ('max_pages_per_app'), ('timeout_seconds'), ('retry_count'), ('delay_seconds')) v(s)
+    WHERE CASE s WHEN 'max_pages_per_app' THEN pages_fetched NOT BETWEEN 1 AND 10 WHEN 'timeout_seconds' THEN reviews_parsed <= 0
+        WHEN 'retry_count' THEN failed_requests < 1 ELSE reviews_inserted < reviews_updated END""")(
+    lambda f: check_rule(f.stored_counters.select(
+        F.concat_ws("/", "run_id", "source_app_id", "storefront").alias("feed"), F.col("pages_fetched").alias("max_pages_per_app"),
+        F.col("reviews_parsed").cast("double").alias("timeout_seconds"), F.col("failed_requests").alias("retry_count"),
+        (F.col("reviews_inserted") - F.col("reviews_updated")).cast("double").alias("delay_seconds")),
+        "settings", co.settings_rules(), F.col("feed")))

@@ -11,6 +11,11 @@ from feedfold.plans.oracle import iso
 from feedfold.session import fresh_path
 from feedfold.streaming import ingest
 
+ORACLE_REVIEWERS = f"""SELECT source_platform, author_fingerprint, author_uri, author_label,
+    {iso('created')} AS created_at, {iso('fetched_at')} AS updated_at
+    FROM (SELECT *, first_value(fetched_at) OVER (PARTITION BY author_fingerprint ORDER BY seq) AS created,
+        row_number() OVER (PARTITION BY author_fingerprint ORDER BY seq DESC) AS back FROM good
+        WHERE author_fingerprint IS NOT NULL) WHERE back = 1"""
 _COLUMNS = ["run_id", "source_app_id", "storefront", "page_number", "source_platform", "source_endpoint",
             "source_review_id", "rating", "title", "body", "author_label", "author_uri", "app_version", "review_url",
             "vote_count", "vote_sum", "raw_record", "raw_payload_hash", "raw_feed_page_id", "detected_language",
@@ -38,6 +43,20 @@ def _upserted(f: Feed):
     return ingest.read_state(f.spark, target).drop("first_seen_at", "last_seen_at", *REVIEW_KEY)
 
 
+def _tables(f: Feed) -> str:
+    """Everything the stream writes, in a new folder."""
+    target = fresh_path(f.spark, "tables")
+    ingest.run_batches(_landed(f), ingest.tables_batch(target), fresh_path(f.spark, "checkpoint"))
+    return target
+
+
+def _compacted(f: Feed):
+    target, compacted = fresh_path(f.spark, "state"), fresh_path(f.spark, "compacted")
+    ingest.run_batches(_landed(f), ingest.upsert_batch(target), fresh_path(f.spark, "checkpoint"))
+    ingest.compact_state(f.spark, target, compacted)
+    return ingest.read_state(f.spark, compacted).drop("first_seen_at", "last_seen_at", *REVIEW_KEY)
+
+
 def _counted(f: Feed):
     target = fresh_path(f.spark, "counts")
     counts = ingest.stream_run_counts(_landed(f))
@@ -50,10 +69,19 @@ def _counted(f: Feed):
 
 register("stream_ingest", f"""SELECT {', '.join(_COLUMNS)}, {', '.join(f'{iso(c)} AS {c}' for c in _TIMES)},
     array_to_string(reasons, '|') AS reasons FROM obs""")(_ingested)
-register("stream_upsert", f"""SELECT review_id, rating, title, body, review_url, source_endpoint,
+_STATE = f"""SELECT review_id, rating, title, body, review_url, source_endpoint,
     {iso('published_at')} AS published_at, detected_language, body_char_count, body_token_estimate, author_fingerprint,
     app_version, vote_count, vote_sum, raw_payload_hash, first_raw_feed_page_id, last_raw_feed_page_id,
-    first_seen_run_id, last_seen_run_id FROM reviews""")(_upserted)
+    first_seen_run_id, last_seen_run_id FROM reviews"""
+register("stream_upsert", _STATE)(_upserted)
+register("stream_compacted", _STATE)(_compacted)
+register("stream_reviewers", ORACLE_REVIEWERS)(lambda f: ingest.read_reviewers(f.spark, _tables(f)))
+register("stream_rejects", """SELECT run_id, raw_feed_page_id, source_app_id, storefront, source_review_id,
+    reasons[1] AS rejection_reason, raw_payload_hash FROM marked WHERE NOT valid AND failed_pos IS NULL""")(
+    lambda f: ingest.read_table(f.spark, _tables(f), "rejects").select(
+        "run_id", "raw_feed_page_id", "source_app_id", "storefront", "source_review_id", "rejection_reason", "raw_payload_hash"))
+register("stream_counters", """SELECT run_id, source_app_id, storefront, reviews_inserted, reviews_updated, reviews_rejected
+    FROM counters WHERE reviews_inserted + reviews_updated + reviews_rejected > 0""")(lambda f: ingest.read_counters(f.spark, _tables(f)))
 register("stream_run_stats", """SELECT run_id, count(*) AS pages_fetched,
     sum(CASE WHEN page_is_json THEN entry_count ELSE 0 END)::BIGINT AS reviews_parsed,
     count(*) FILTER (NOT page_is_json) AS unreadable_pages FROM page_parts GROUP BY run_id""")(_counted)

@@ -65,6 +65,52 @@ def upsert_batch(target: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
+def tables_batch(target: str) -> Callable[[DataFrame, int], None]:
+    """Write everything a batch of pages adds, under its id and with its texts parsed once.
+
+    Beside the folded reviews these are the rejects, folded reviewers, and what the counters need: the first
+    observation of each review and the number of loaded rows per run and feed.
+    """
+    def handle(pages: DataFrame, batch_id: int) -> None:
+        def put(rows: DataFrame, name: str) -> DataFrame:
+            path = f"{target}/{name}/batch={batch_id}"
+            rows.write.mode("overwrite").parquet(path)
+            return pages.sparkSession.read.schema(rows.schema).parquet(path)
+
+        observed = put(observe(pages), "observed")
+        marked = normalise.mark_rollback(observed)
+        valid = normalise.split_valid(normalise.committed(marked))[0]
+        put(fold.partial_reviews(valid), "reviews")
+        put(normalise.rejected_records(marked), "rejects")
+        put(fold.partial_reviewers(valid), "reviewers")
+        put(fold.first_seen(valid), "first_seen")
+        put(valid.groupBy("run_id", *fold.FEED_KEY).agg(F.count("*").alias("loaded")), "loaded")
+    return handle
+
+
+def read_table(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """One kind of rows of all batches."""
+    return spark.read.parquet(f"{target}/{name}").drop("batch")
+
+
+def read_reviewers(spark: SparkSession, target: str) -> DataFrame:
+    return fold.reviewers_from_partials(read_table(spark, target, "reviewers"))
+
+
+def read_counters(spark: SparkSession, target: str) -> DataFrame:
+    """Inserted, updated and rejected rows per run and feed, whatever the order in which the batches came."""
+    key = ["run_id", *fold.FEED_KEY]
+    first = read_table(spark, target, "first_seen").groupBy(*fold.REVIEW_KEY).agg(F.min("first_seq").alias("seq"))
+    parts = [
+        read_table(spark, target, "loaded").select(*key, F.lit(0).alias("inserted"), F.col("loaded").alias("seen"), F.lit(0).alias("rejected")),
+        first.select(F.col("seq.run_id").alias("run_id"), *fold.FEED_KEY, F.lit(1).alias("inserted"), F.lit(0).alias("seen"),
+                     F.lit(0).alias("rejected")),
+        read_table(spark, target, "rejects").select(*key, F.lit(0).alias("inserted"), F.lit(0).alias("seen"), F.lit(1).alias("rejected"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*key).agg(
+        F.sum("inserted").alias("reviews_inserted"), (F.sum("seen") - F.sum("inserted")).alias("reviews_updated"),
+        F.sum("rejected").alias("reviews_rejected"))
+
+
 def read_state(spark: SparkSession, target: str) -> DataFrame:
     """Canonical reviews of all batches, independent of the order in which they arrived."""
     return fold.reviews_from_partials(fold.merge_partials(spark.read.parquet(target).drop("batch")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from feedfold.functions.text import ascii_fold
@@ -56,8 +57,25 @@ def reviews_from_partials(partials: DataFrame) -> DataFrame:
         F.col("first.fetched_at").alias("first_seen_at"), F.col("last.fetched_at").alias("last_seen_at"))
 
 
+def seq_number() -> Column:
+    """``seq`` as one number of fixed width, so that minima and maxima are hash aggregates."""
+    wide = T.DecimalType(38, 0)
+    parts = [("run_id", "1000000000000000000000000"), ("app_order", "100000000000000000"), ("page_number", "1000000"), ("entry_pos", "1")]
+    return sum((F.col(c).cast(wide) * F.lit(w).cast(wide) for c, w in parts), F.lit(0).cast(wide)).cast(wide)
+
+
 def review_upsert(valid: DataFrame) -> DataFrame:
-    return reviews_from_partials(partial_reviews(valid))
+    """Canonical reviews. The first and last observation of each review are found on narrow rows; only then are the
+    texts of the first ones fetched. Pass a stored frame, as it is read three times (texts once)."""
+    placed = valid.withColumn("seq_no", seq_number())
+    ends = placed.groupBy(*REVIEW_KEY).agg(F.min("seq_no").alias("first_no"), F.max("seq_no").alias("last_no"))
+
+    def at(end: str, columns: tuple[str, ...]) -> DataFrame:
+        winners = ends.select(*REVIEW_KEY, F.col(f"{end}_no").alias("seq_no"))
+        return placed.select(*REVIEW_KEY, "seq_no", F.struct(*columns, *LINEAGE).alias(end)).join(
+            winners, [*REVIEW_KEY, "seq_no"]).drop("seq_no")
+
+    return reviews_from_partials(at("first", FIRST_WINS).join(at("last", LAST_WINS), REVIEW_KEY))
 
 
 def narrow_reviews(valid: DataFrame, *columns: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedfold.functions import text as tx
-from feedfold.session import BROADCAST_ROW_LIMIT, join_dimension
+from feedfold.session import join_dimension, written
 from feedfold.sources.pages import PAGE_KEY, raw_page_id
 
 # Hard validation reasons, in the order they are reported.
@@ -105,13 +105,10 @@ def rolled_back_pages(validated: DataFrame) -> DataFrame:
 def mark_rollback(validated: DataFrame) -> DataFrame:
     """Add ``failed_pos`` (NULL on pages that load).
 
-    Refused pages are rare. Their number is bounded by the rows with a negative vote, which reads no
-    text; only when that bound is small is the page list broadcast instead of shuffling every text.
+    The refused pages are written first, so that Spark knows their bytes and broadcasts them below its own threshold
+    instead of shuffling every text. Pass a stored frame: its narrow columns are all that finding them reads.
     """
-    suspects = validated.filter(negative_votes()).select(*PAGE_KEY)
-    pages = rolled_back_pages(validated)
-    small = suspects.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
-    return validated.join(F.broadcast(pages) if small else pages, PAGE_KEY, "left")
+    return validated.join(written(rolled_back_pages(validated), "rolled-back"), PAGE_KEY, "left")
 
 
 def committed(marked: DataFrame) -> DataFrame:

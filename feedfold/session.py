@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows above which a dimension is no longer broadcast (it is then shuffled like any other side).
-BROADCAST_ROW_LIMIT = 200_000
-
 
 def build_session(app_name: str = "feedfold", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -68,12 +65,10 @@ def join_popular(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "
             .unionByName(rows.join(popular, on, "left_anti").join(groups, on, how)))
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
-                   limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join a dimension, broadcasting it only after counting that it stays under ``limit`` rows.
+def join_dimension(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a dimension that is usually small.
 
-    The count stops at ``limit + 1`` rows, so it is cheap even when the table is large; a larger
+    It is written first, so Spark knows its bytes and broadcasts it below ``spark.sql.autoBroadcastJoinThreshold``; a larger
     dimension goes through the ordinary join, where adaptive execution handles skewed keys.
     """
-    small = dim.limit(limit + 1).count() <= limit
-    return fact.join(F.broadcast(dim) if small else dim, on, how)
+    return fact.join(written(dim, "dimension"), on, how)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from feedfold.operators import fold, normalise
 from feedfold.operators.entries import extract_entries, page_facts
+from feedfold.session import written
 from feedfold.sources.pages import page_file_columns
 
 
@@ -59,7 +60,7 @@ def ingest_batch(target: str) -> Callable[[DataFrame, int], None]:
 def upsert_batch(target: str) -> Callable[[DataFrame, int], None]:
     """Write the batch's folded reviews under its id; a page is never split over batches."""
     def handle(pages: DataFrame, batch_id: int) -> None:
-        marked = normalise.mark_rollback(observe(pages))
+        marked = normalise.mark_rollback(written(observe(pages), f"batch-{batch_id}"))
         valid = normalise.split_valid(normalise.committed(marked))[0]
         fold.partial_reviews(valid).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
     return handle

@@ -14,7 +14,7 @@ from feedfold.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session("feedfold-tests", "local[4]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4",
-        "spark.driver.memory": "4g"})
+        "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
 

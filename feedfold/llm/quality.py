@@ -32,6 +32,8 @@ SETTINGS = ((3.0, 1.3), (1.0, 1.3), (0.5, 1.0), (0.3, 0.7))
 # Gumbel noise is scaled by this: the smaller, the closer the sample comes to the k heaviest documents.
 TEMPERATURE = 0.05
 SEED = 17
+# Documents that an n-gram is in, at least, to count as common.
+COMMON = 5
 LONGEST_RUN = 4
 
 
@@ -100,48 +102,50 @@ def fit_counts(docs: DataFrame, targets: np.ndarray, id_col: str = "doc_id", tex
     counts = rows.mapInArrow(_count(sent), "block int, counts binary").withColumn("part", F.floor(F.spark_partition_id() / 64))
     schema = "block int, counts binary"
     few = counts.groupBy("block", "part").applyInArrow(_add, schema)
-    whole = np.zeros((2 * ORDERS * COPIES * SLOTS // BLOCK, BLOCK), np.int64)
+    whole = np.zeros((2 * ORDERS * COPIES * SLOTS // BLOCK, BLOCK), np.float32)
     for row in few.groupBy("block").applyInArrow(_add, schema).toLocalIterator():
         planes = np.frombuffer(row.counts, np.uint8).reshape(8, BLOCK)
         whole[row.block] = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    sent.destroy()
     return whole.reshape(2, ORDERS, COPIES, SLOTS)
 
 
-def log_ratios(counts: np.ndarray, pseudo_count: float, least_ratio: float) -> np.ndarray:
-    """Log ratios by order, copy and slot. The models are scaled to agree on the commonest n-grams."""
-    target, raw = counts
-    ratios = np.zeros((ORDERS, COPIES, SLOTS), np.float32)
+def model_scales(counts: np.ndarray) -> np.ndarray:
+    """By order and copy, the share of raw documents that makes both models agree on the commonest n-grams."""
+    scales = np.zeros((ORDERS, COPIES))
     for order in range(ORDERS):
         for copy in range(COPIES):
-            t, r = target[order, copy], raw[order, copy]
-            common = np.argpartition(-r, 2000)[:2000]
-            common = common[r[common] > 0]
-            scale = float(np.median(t[common] / r[common])) if len(common) else 0.0
-            if scale > 0:
-                found = np.log((t + pseudo_count) / (r * scale + pseudo_count))
-                ratios[order, copy] = np.where(np.abs(found) >= least_ratio, found, 0)
-    return ratios
+            target, raw = counts[:, order, copy]
+            common = np.argpartition(-raw, 2000)[:2000]
+            common = common[raw[common] >= COMMON]
+            middle = float(np.median(target[common] / raw[common])) if len(common) else 0.0
+            scales[order, copy] = middle or target.sum() / max(1, raw.sum())
+    return scales
 
 
-def _weigh(tables: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
-    total = np.zeros(n)
-    for order, (doc, found) in enumerate(grams):
-        a, b = (tables[order, copy][_slots(found, copy)] for copy in range(COPIES))
-        weaker = np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0)
-        total += np.bincount(doc, weaker, minlength=n)
-    return total
+def log_ratio(target: np.ndarray, raw: np.ndarray, scale: float, pseudo_count: float, least_ratio: float) -> np.ndarray:
+    if scale <= 0:
+        return np.zeros(len(raw))
+    found = np.log((target + pseudo_count) / (raw * scale + pseudo_count))
+    return np.where(np.abs(found) >= least_ratio, found, 0)
 
 
-def log_weights(docs: DataFrame, ratios: list[np.ndarray]) -> DataFrame:
-    """(row_key, doc_id, weights) of every whole text, a log weight per ratio table; null and empty texts weigh 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+def log_weights(docs: DataFrame, model, settings: list[tuple[float, float]]) -> DataFrame:
+    """(row_key, doc_id, weights) of every whole text, a log weight per setting; null and empty texts weigh 0.
 
+    ``model`` is a broadcast of (counts, scales), 32 MB whatever the input.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, tables = Hasher(SEED), shared.value
+        hasher, (counts, scales) = Hasher(SEED), model.value
         for batch in slices(batches, "text"):
-            grams = ngrams(hasher, batch.column(2))
-            weights = np.stack([_weigh(t, grams, batch.num_rows) for t in tables], axis=1)
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(tables)
+            weights = np.zeros((batch.num_rows, len(settings)))
+            for order, (doc, grams) in enumerate(ngrams(hasher, batch.column(2))):
+                found = [counts[:, order, copy, _slots(grams, copy)] for copy in range(COPIES)]
+                for i, setting in enumerate(settings):
+                    a, b = (log_ratio(*found[copy], scales[order, copy], *setting) for copy in range(COPIES))
+                    weaker = np.where(a * b > 0, np.where(np.abs(a) < np.abs(b), a, b), 0)
+                    weights[:, i] += np.bincount(doc, weaker, minlength=batch.num_rows)
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * len(settings)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(weights.ravel()))],
                 ["row_key", "doc_id", "weights"])
@@ -196,30 +200,29 @@ def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> Labelled:
     return Labelled(ids[good & ~held], ids[good & held], ids[~good & held])
 
 
-def choose_model(docs: DataFrame, counts: np.ndarray, labelled: Labelled, cost: float = 5.0) -> tuple[np.ndarray, float]:
-    """The ratio table and the least log weight that part the held-out documents best.
+def choose_setting(docs: DataFrame, model, labelled: Labelled, cost: float = 5.0) -> tuple[tuple[float, float], float]:
+    """The setting and the least log weight that part the held-out documents best.
 
     A good document lost costs ``cost`` bad ones kept; without held-out documents of both kinds nothing is parted.
     """
-    tables = [log_ratios(counts, *setting) for setting in SETTINGS]
     held = np.concatenate([labelled.held_good, labelled.held_bad])
     if not len(labelled.held_good) or not len(labelled.held_bad):
-        return tables[0], -math.inf
+        return SETTINGS[0], -math.inf
     ids = docs.sparkSession.createDataFrame([(int(i),) for i in held], "doc_id long")
-    rows = log_weights(docs.join(F.broadcast(ids), "doc_id", "left_semi"), tables).select("doc_id", "weights").toPandas()
+    rows = log_weights(docs.join(F.broadcast(ids), "doc_id", "left_semi"), model, list(SETTINGS)).select("doc_id", "weights").toPandas()
     if not len(rows):
-        return tables[0], -math.inf
+        return SETTINGS[0], -math.inf
     good = np.isin(rows.doc_id.to_numpy(np.int64), labelled.held_good)
-    best = (math.inf, tables[0], -math.inf)
-    for i, table in enumerate(tables):
+    best = (math.inf, SETTINGS[0], -math.inf)
+    for i, setting in enumerate(SETTINGS):
         weight = np.array([w[i] for w in rows.weights], float)
         levels = np.unique(weight)
-        marks = np.concatenate([[-math.inf], (levels[1:] + levels[:-1]) / 2])
-        marks = np.concatenate([[-math.inf], marks[1:][marks[1:] <= 0]])
+        between = (levels[1:] + levels[:-1]) / 2
+        marks = np.concatenate([[-math.inf], between[between <= 0]])
         lost = [cost * (weight[good] < m).sum() + (weight[~good] >= m).sum() for m in marks]
         least = int(np.argmin(lost))
         if lost[least] < best[0]:
-            best = (lost[least], table, float(marks[least]))
+            best = (lost[least], setting, float(marks[least]))
     return best[1], best[2]
 
 
@@ -234,11 +237,15 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     """
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     labelled = labelled_sample(labels, bound)
-    ratios, least = choose_model(rows, fit_counts(rows, labelled.good), labelled)
-    weighted = log_weights(rows, [ratios]).select("row_key", "doc_id", F.col("weights")[0].alias("log_weight"))
+    counts = fit_counts(rows, labelled.good)
+    model = docs.sparkSession.sparkContext.broadcast((counts, model_scales(counts)))
+    del counts
+    setting, least = choose_setting(rows, model, labelled)
+    weighted = log_weights(rows, model, [setting]).select("row_key", "doc_id", F.col("weights")[0].alias("log_weight"))
     copies = weighted.groupBy("row_key", "doc_id", "log_weight").count()
     weighted = copies.withColumn("occurrence", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("count")
     weighted = written(weighted, "weighted")
+    model.destroy()
     k = weighted.filter(F.col("log_weight") >= F.lit(least)).count()
     return gumbel_top_k(weighted, k, temperature)
 

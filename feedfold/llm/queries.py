@@ -147,3 +147,53 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_pii_surrogates"] = op1_pii_surrogates
+
+# Brute force: fine on the tables that twins are compared on, far too slow for large ones.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+ORACLE["op4_substring_dedup"] = f"""
+WITH split AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+windows AS (
+    SELECT doc_id, unnest([array_to_string(ws[i:i + 19], ' ') for i in range(1, len(ws) - 18)]) AS w,
+           unnest(range(1, len(ws) - 18)) AS start FROM split WHERE len(ws) >= 20),
+later AS (SELECT doc_id, start FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, start) > 1),
+gone AS (SELECT DISTINCT doc_id, start + j AS place FROM later, (SELECT unnest(range(20)) AS j)),
+edges AS (
+    SELECT doc_id, count(*) FILTER (before IS NULL OR start - before > 20) AS spans
+    FROM (SELECT *, lag(start) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM later) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM split),
+kept AS (
+    SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.place) AS text, count(*) AS n
+    FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.place = w.place WHERE g.place IS NULL GROUP BY w.doc_id)
+SELECT s.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256,
+       coalesce(spans, 0)::INTEGER AS n_intervals
+FROM split s LEFT JOIN kept k USING (doc_id) LEFT JOIN edges USING (doc_id)"""
+
+_REACH = """reach AS (SELECT id AS x, id AS y FROM ids UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)"""
+ORACLE["op5_ngram_join"] = f"""
+WITH RECURSIVE split AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+ids AS (SELECT doc_id AS id FROM documents),
+grams AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] END) AS g FROM split),
+sizes AS (SELECT doc_id, count(*) AS c FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+    SELECT x, y FROM shared JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE k >= 0.8 * (a.c + b.c - k) - 1e-9),
+{_REACH}
+SELECT r.x AS doc_id, min(r.y) AS class_id, coalesce(any_value(n), 0) AS n_links, min(r.y) = r.x AS kept
+FROM reach r LEFT JOIN degree d ON d.x = r.x GROUP BY r.x"""
+
+ORACLE["op8_vector_dedup"] = f"""
+WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+usable AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([e for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0
+          AND len([e for e in embedding if e <> 0]) > 0),
+unit AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS size FROM usable),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+{_REACH}
+SELECT r.x AS vec_id, coalesce(any_value(n), 0) AS n_links, min(r.y) AS component_id, min(r.y) = r.x AS kept
+FROM reach r LEFT JOIN degree d ON d.x = r.x GROUP BY r.x"""

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -146,8 +147,6 @@ def test_log_weights_equal_brute_force(spark, make_docs, prose, monkeypatch):
     docs = make_docs(pairs).select("doc_id", "text").withColumn("row_key", F.col("doc_id"))
     targets = np.arange(0, 60, 2)
     counts = quality.fit_counts(docs, targets)
-    pseudo, least = quality.SETTINGS[1]
-    ratios = quality.log_ratios(counts, pseudo, least)
     hasher = Hasher(quality.SEED)
     grams = {i: brute_ngrams(hasher, t) for i, t in pairs}
     tables = np.zeros((2, quality.ORDERS, quality.COPIES, quality.SLOTS))
@@ -158,21 +157,22 @@ def test_log_weights_equal_brute_force(spark, make_docs, prose, monkeypatch):
                     slot = (g >> (24 * copy)) % quality.SLOTS
                     tables[1, order, copy, slot] += 1
                     tables[0, order, copy, slot] += i in targets
-    for order in range(quality.ORDERS):
-        for copy in range(quality.COPIES):
-            t, r = tables[:, order, copy]
-            top = np.argpartition(-r, 2000)[:2000]
-            scale = np.median((t / np.maximum(r, 1))[top][r[top] > 0])
-            raw = np.log((t + pseudo) / (r * scale + pseudo))
-            assert np.allclose(ratios[order, copy], np.where(np.abs(raw) >= least, raw, 0), atol=1e-5)
-    got = {r.doc_id: r.weights[1] for r in quality.log_weights(docs, [ratios * 2, ratios]).collect()}
+    assert (counts == tables).all()
+    scales = quality.model_scales(counts)
+    assert (scales > 0).all() and (scales < 0.6).all()
+    settings = [(1.0, 0.5), (0.3, 0.0)]
+    model = spark.sparkContext.broadcast((counts, scales))
+    got = {r.doc_id: r.weights for r in quality.log_weights(docs, model, settings).collect()}
     for i, found in grams.items():
-        want = 0.0
-        for order, one in enumerate(found):
-            for g in one:
-                a, b = (float(ratios[order, copy, (g >> (24 * copy)) % quality.SLOTS]) for copy in range(2))
-                want += (a if abs(a) < abs(b) else b) if a * b > 0 else 0
-        assert got[i] == pytest.approx(want, abs=1e-4)
+        for k, (pseudo, least) in enumerate(settings):
+            want = 0.0
+            for order, one in enumerate(found):
+                for g in one:
+                    a, b = (math.log((tables[0, order, c, s] + pseudo) / (tables[1, order, c, s] * scales[order, c] + pseudo))
+                            for c, s in ((c, (g >> (24 * c)) % quality.SLOTS) for c in range(2)))
+                    a, b = (x if abs(x) >= least else 0 for x in (a, b))
+                    want += (a if abs(a) < abs(b) else b) if a * b > 0 else 0
+            assert got[i][k] == pytest.approx(want, abs=1e-3)
 
 
 def test_gumbel_top_k_is_exact_and_repeatable(spark):

@@ -27,16 +27,21 @@ LABELLED_FIELDS = {
 
 def scalar_text(value: Column) -> Column:
     """Text of a variant: a number written with a fraction keeps one, so it is not read as an integer."""
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
+    return spelled(F.schema_of_variant(value), F.try_variant_get(value, "$", "string"))
+
+
+def spelled(kind: Column, text: Column) -> Column:
     fractional = kind.rlike("^(DECIMAL|DOUBLE|FLOAT)") & ~F.contains(text, F.lit("."))
     return F.when(fractional, F.concat(text, F.lit(".0"))).when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
 
 
 def label_text(entry: Column, path: str) -> Column:
     """``{"label": x}`` gives x; a bare value gives itself; an object without label gives its JSON."""
-    label = F.try_variant_get(entry, f"{path}.label", "variant")
-    return scalar_text(F.coalesce(label, F.try_variant_get(entry, path, "variant")))
+    return scalar_text(label_value(entry, path))
+
+
+def label_value(entry: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(entry, f"{path}.label", "variant"), F.try_variant_get(entry, path, "variant"))
 
 
 def attribute_text(entry: Column, field: str, attribute: str) -> Column:
@@ -76,14 +81,20 @@ def explode_entries(pages: DataFrame) -> DataFrame:
 
 
 def extract_entries(pages: DataFrame) -> DataFrame:
-    """Review entries with raw text fields and their canonical JSON, one row each; no shuffle."""
-    entry = F.col("entry")
-    return explode_entries(pages).filter(is_review(entry)).select(
-        *[c for c in pages.columns if c != "response_body"], "entry_pos",
-        *[label_text(entry, path).alias(name) for name, path in LABELLED_FIELDS.items()],
-        attribute_text(entry, "link", "href").alias("review_url_raw"),
-        F.to_json(entry).alias("raw_record"),
-        "parser_fallback_used")
+    """Review entries with raw text fields and their canonical JSON, one row each; no shuffle.
+
+    Values, their kinds and texts, and the result are projections of their own, so every path is looked up once.
+    """
+    entry, kept = F.col("entry"), [c for c in pages.columns if c != "response_body"]
+    values = explode_entries(pages).filter(is_review(entry)).select(
+        *kept, "entry_pos", *[label_value(entry, path).alias(name) for name, path in LABELLED_FIELDS.items()],
+        attribute_text(entry, "link", "href").alias("review_url_raw"), F.to_json(entry).alias("raw_record"), "parser_fallback_used")
+    read = values.withColumns({
+        **{f"{name}_kind": F.schema_of_variant(name) for name in LABELLED_FIELDS},
+        **{name: F.try_variant_get(name, "$", "string") for name in LABELLED_FIELDS}})
+    return read.select(
+        *kept, "entry_pos", *[spelled(F.col(f"{name}_kind"), F.col(name)).alias(name) for name in LABELLED_FIELDS],
+        "review_url_raw", "raw_record", "parser_fallback_used")
 
 
 def page_facts(pages: DataFrame) -> DataFrame:

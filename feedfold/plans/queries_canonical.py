@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedfold.operators import accounting, fold, normalise
+from feedfold.operators import accounting, fold
 from feedfold.operators.expect import check_rule, expect, foreign_key_rule, not_null_rule, unique_rule
 from feedfold.operators.flags import build_flags, is_non_english, is_short, lacks_author
 from feedfold.plans.catalog import register
-from feedfold.plans.oracle import iso, quoted
+from feedfold.plans.oracle import iso
 from feedfold.sources import cohort as co
 from feedfold.sources import landing
 from feedfold.sources.pages import PAGE_KEY

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from feedfold.functions import text as tx
 from feedfold.operators import accounting, audit_sample, comparison, entries, normalise
-from feedfold.operators.expect import expect
 from feedfold.plans.catalog import register
 from feedfold.plans.oracle import iso, terms
 from feedfold.sources import cohort as co
-from feedfold.sources import exports, landing, lexicon, pages
+from feedfold.sources import landing, lexicon, pages
 
 PAGE = pages.PAGE_KEY
 _PAGE = ", ".join(PAGE)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedfold.operators import accounting, comparison, health
-from feedfold.operators.fold import REVIEW_KEY
 from feedfold.plans.catalog import register
 from feedfold.plans.oracle import iso
 from feedfold.sources import exports

@@ -18,14 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unique_ids(docs: DataFrame, id_col: str) -> bool:
+    n, ids, distinct = docs.agg(F.count(F.lit(1)), F.count(id_col), F.countDistinct(id_col)).first()
+    return n == ids == distinct
+
+
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "row_key") -> DataFrame:
     """Add a non-null long ``key`` that names a row and orders like ``id_col`` (nulls first).
 
     Where ids are unique and not null the key is the id. Otherwise rows are told apart by a digest of their
     text as well; rows that agree in id and text share a key.
     """
-    n, ids, distinct = docs.agg(F.count(F.lit(1)), F.count(id_col), F.countDistinct(id_col)).first()
-    if n == ids == distinct:
+    if unique_ids(docs, id_col):
         return docs.withColumn(key, F.col(id_col).cast("long"))
     digest = F.xxhash64(F.col(text_col), F.hash(F.col(text_col)))
     pairs = docs.select(F.col(id_col).alias("_name"), digest.alias("_digest")).distinct()
@@ -37,10 +41,16 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .drop("_d", "_name", "_digest"))
 
 
-def carried(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows as one struct ``row`` beside their ``row_key``, so that no column of ``docs`` clashes with a helper's."""
+def carried(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """Rows as one struct ``row`` beside their ``row_key``, so that no column of ``docs`` clashes with a helper's.
+
+    Also tells whether every row has a key of its own.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return identified(rows.withColumns({"_id": F.col("row")[id_col], "_text": F.col("row")[text_col]}), "_id", "_text").select("row_key", "row")
+    if unique_ids(docs, id_col):
+        return rows.withColumn("row_key", F.col("row")[id_col].cast("long")), True
+    rows = rows.withColumns({"_id": F.col("row")[id_col], "_text": F.col("row")[text_col]})
+    return identified(rows, "_id", "_text").select("row_key", "row"), False
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:

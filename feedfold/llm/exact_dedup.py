@@ -22,15 +22,14 @@ RANK_BITS = 43
 NO_PARTNER = -(1 << 63)
 
 
-def _named(units: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """Add ``name``, an integer that stands for the values of ``keys`` and for no others.
+def _named(units: DataFrame, keys: list[str], total: int, suspects: DataFrame | None) -> tuple[DataFrame, bool]:
+    """Add ``name``, an integer that stands for the values of ``keys`` and for no others; also tells if any was hot.
 
-    Ranges are sorted separately. Values with over 1/HOT_SHARE of all units (fewer than HOT_SHARE) are ranked among
-    themselves after a partial aggregation, get negative names and are broadcast.
+    Ranges are sorted separately. Values that more than ``total`` / HOT_SHARE units have (fewer than HOT_SHARE values) are
+    ranked among themselves after a partial aggregation, get negative names and are broadcast. Only the ``suspects``
+    among the units can have them.
     """
     units = units.withColumn("digest", F.xxhash64(*keys))
-    hot = written(units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-                  .filter(F.col("n") * HOT_SHARE > F.lit(total)).select("digest"), "hot-units")
 
     def rank(rows: DataFrame) -> DataFrame:
         part = F.pmod("digest", F.lit(RANGES))
@@ -38,13 +37,17 @@ def _named(units: DataFrame, keys: list[str], total: int) -> DataFrame:
         return (rows.withColumn("part", part)
                 .withColumn("name", F.shiftleft(F.col("part"), RANK_BITS) + place.cast("long")).drop("part", "digest"))
 
+    if suspects is None:
+        return rank(units).drop(*keys), False
+    hot = written(suspects.groupBy(F.xxhash64(*keys).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+                  .filter(F.col("n") * HOT_SHARE > F.lit(total)).select("digest"), "hot-units")
     if hot.isEmpty():
-        return rank(units).drop(*keys)
+        return rank(units).drop(*keys), False
     few = F.broadcast(hot)
     names = rank(units.join(few, "digest", "left_semi").select(*keys, "digest").distinct())
     names = names.withColumn("name", -F.col("name"))
     return (rank(units.join(few, "digest", "left_anti")).drop(*keys)
-            .unionByName(units.join(few, "digest", "left_semi").join(F.broadcast(names), keys).drop("digest", *keys)))
+            .unionByName(units.join(few, "digest", "left_semi").join(F.broadcast(names), keys).drop("digest", *keys))), True
 
 
 def block_identity(rows: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -57,7 +60,8 @@ def block_identity(rows: DataFrame, key: str, text: str, block_bytes: int = BLOC
     cut = F.transform(F.sequence(F.lit(0), F.col("n") - 1),
                       lambda i: F.substring("bytes", i * block_bytes + 1, F.lit(block_bytes)))
     units = rows.withColumn("n", count).select(key, "n", F.posexplode(cut).alias("pos", "block"))
-    names = written(_named(units, ["block"], total), "block-names")
+    names, hot = _named(units, ["block"], total, units)
+    names = written(names, "block-names")
     done, level = [], 0
     while True:
         done.append(names.filter("n = 1").select(key, F.lit(level).alias("level"), "name"))
@@ -69,7 +73,9 @@ def block_identity(rows: DataFrame, key: str, text: str, block_bytes: int = BLOC
                  .groupBy(key, F.floor(F.col("pos") / 2).cast("int").alias("half"), F.ceil(F.col("n") / 2).cast("int").alias("m"))
                  .agg(side[0].alias("first"), side[1].alias("second"))
                  .select(key, F.col("m").alias("n"), F.col("half").alias("pos"), "first", "second"))
-        names = written(_named(pairs, ["first", "second"], max(1, total >> level)), f"names-{level}")
+        # a pair is hot only if both of its names are, and those are negative
+        names, hot = _named(pairs, ["first", "second"], total, pairs.filter("first < 0 AND second < 0") if hot else None)
+        names = written(names, f"names-{level}")
     return reduce(DataFrame.unionByName, done).dropDuplicates([key])
 
 
@@ -100,6 +106,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with all their columns; null texts are empty texts."""
     gone = (exact_groups(docs, id_col, text_col).groupBy("row_key")
             .agg(F.max("kept").alias("kept")).filter("not kept").select("row_key"))
-    left = carried(docs, id_col, text_col).join(gone, "row_key", "left_anti")
-    repeated = left.groupBy("row_key").count().filter("count > 1")
-    return (left if repeated.isEmpty() else left.dropDuplicates(["row_key"])).select("row.*")
+    rows, unique = carried(docs, id_col, text_col)
+    left = rows.join(gone, "row_key", "left_anti")
+    return (left if unique else left.dropDuplicates(["row_key"])).select("row.*")

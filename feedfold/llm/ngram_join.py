@@ -274,9 +274,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that are kept, with all their columns."""
     judged = near_duplicates(docs, id_col, text_col).groupBy("row_key").agg(F.max("kept").alias("kept"), F.max("n_links").alias("n"))
     judged = written(judged, "near-copies")
-    left = carried(docs, id_col, text_col).join(judged.filter("not kept").select("row_key"), "row_key", "left_anti")
-    repeated = left.groupBy("row_key").count().filter("count > 1")
-    if repeated.isEmpty():
+    rows, unique = carried(docs, id_col, text_col)
+    left = rows.join(judged.filter("not kept").select("row_key"), "row_key", "left_anti")
+    if unique:
         return left.select("row.*")
     single = written(judged.filter("n > 0").select("row_key"), "once")
     return (left.join(single, "row_key", "left_semi").dropDuplicates(["row_key"])

@@ -224,7 +224,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     ids may be null or repeat; an empty table gives an empty result; all other columns are kept, whatever their names.
     """
     text = F.col("row")[text_col]
-    keyed = carried(docs.filter(_may_hold(F.col(text_col))), id_col, text_col)
+    keyed, _ = carried(docs.filter(_may_hold(F.col(text_col))), id_col, text_col)
     mentions = written(keyed.select("row_key", F.col("row")[text_col].alias("text"))
                        .mapInArrow(_mentions, "row_key long, kind string, value string").distinct(), "mentions")
     entities = written(mentions.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")), "entities")

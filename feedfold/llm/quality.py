@@ -32,6 +32,8 @@ SETTINGS = ((3.0, 1.3), (1.0, 1.3), (0.5, 1.0), (0.3, 0.7))
 # Gumbel noise is scaled by this: the smaller, the closer the sample comes to the k heaviest documents.
 TEMPERATURE = 0.05
 SEED = 17
+# Bytes of text hashed at a time.
+SLICE_BYTES = 3 << 19
 # Documents that an n-gram is in, at least, to count as common.
 COMMON = 5
 LONGEST_RUN = 4
@@ -69,7 +71,7 @@ def _count(shared):
         hasher, targets = Hasher(SEED), shared.value
         counts = np.zeros((2, ORDERS, COPIES, SLOTS), np.int32)
         seen = False
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             seen = True
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             found = np.isin(ids, targets)
@@ -78,10 +80,9 @@ def _count(shared):
                     slot = _slots(grams, copy)
                     counts[0, order, copy] += np.bincount(slot[found[doc]], minlength=SLOTS).astype(np.int32)
                     counts[1, order, copy] += np.bincount(slot, minlength=SLOTS).astype(np.int32)
-        if seen:
-            blocks = np.ascontiguousarray(counts.reshape(-1, BLOCK).view(np.uint8).reshape(-1, BLOCK, 4).transpose(0, 2, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)),
-                                              pa.array([b.tobytes() for b in blocks])], ["block", "counts"])
+        for block, part in enumerate(counts.reshape(-1, BLOCK) if seen else []):  # a block at a time, to hold no copies
+            planes = np.ascontiguousarray(part.view(np.uint8).reshape(BLOCK, 4).T).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([planes])], ["block", "counts"])
     return run
 
 
@@ -95,6 +96,13 @@ def _add(tables: pa.Table) -> pa.Table:
     return pa.table({"block": tables.column("block").slice(0, 1), "counts": pa.array([planes.tobytes()])})
 
 
+def _total(tables: pa.Table) -> pa.Table:
+    """One row per block, its sums as 32-bit floats."""
+    planes = np.frombuffer(_add(tables).column("counts")[0].as_buffer(), np.uint8).reshape(8, BLOCK)
+    sums = np.ascontiguousarray(planes.T).view(np.int64).ravel().astype("<f4")
+    return pa.table({"block": tables.column("block").slice(0, 1), "counts": pa.array([sums.tobytes()])})
+
+
 def fit_counts(docs: DataFrame, targets: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Documents by model (target, raw), order, copy and slot. Only these tables, whose size is fixed, come to the driver."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(targets))
@@ -103,9 +111,8 @@ def fit_counts(docs: DataFrame, targets: np.ndarray, id_col: str = "doc_id", tex
     schema = "block int, counts binary"
     few = counts.groupBy("block", "part").applyInArrow(_add, schema)
     whole = np.zeros((2 * ORDERS * COPIES * SLOTS // BLOCK, BLOCK), np.float32)
-    for row in few.groupBy("block").applyInArrow(_add, schema).toLocalIterator():
-        planes = np.frombuffer(row.counts, np.uint8).reshape(8, BLOCK)
-        whole[row.block] = np.ascontiguousarray(planes.T).view(np.int64).ravel()
+    for row in few.groupBy("block").applyInArrow(_total, schema).coalesce(8).toLocalIterator():
+        whole[row.block] = np.frombuffer(row.counts, "<f4")
     sent.destroy()
     return whole.reshape(2, ORDERS, COPIES, SLOTS)
 
@@ -137,7 +144,7 @@ def log_weights(docs: DataFrame, model, settings: list[tuple[float, float]]) ->
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, (counts, scales) = Hasher(SEED), model.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             weights = np.zeros((batch.num_rows, len(settings)))
             for order, (doc, grams) in enumerate(ngrams(hasher, batch.column(2))):
                 found = [counts[:, order, copy, _slots(grams, copy)] for copy in range(COPIES)]
@@ -253,9 +260,8 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
 def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``importance_sample`` keeps, with all their columns."""
     kept = importance_sample(docs, labels, id_col, text_col).groupBy("row_key").agg(F.count(F.lit(1)).alias("kept_rows"))
-    keyed = carried(docs, id_col, text_col)
-    repeated = keyed.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if repeated.isEmpty():
+    keyed, unique = carried(docs, id_col, text_col)
+    if unique:
         return keyed.join(kept, "row_key", "left_semi").select("row.*")
     numbered = keyed.withColumn("place", F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1))))
     return numbered.join(kept, "row_key").filter("place <= kept_rows").select("row.*")

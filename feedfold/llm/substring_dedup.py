@@ -59,6 +59,9 @@ def _hash_windows(length: int, buckets: int, key_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families = [Hasher(seed) for seed in range(1 if key_bytes * 8 + math.log2(buckets) <= 64 else 2)]
         for batch in slices(batches, "text", SLICE_BYTES):
+            key, rows = np.unique(batch.column(0).to_numpy(), return_index=True)
+            if len(rows) < batch.num_rows:  # rows that share a key are one document
+                batch = batch.take(pa.array(np.sort(rows)))
             key = batch.column(0).to_numpy()
             found = [f.windows(f.words(batch.column(1)), length) for f in families]
             doc, start = key[found[0][1]], found[0][2]
@@ -150,7 +153,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Words are runs of characters other than space and \\t to \\r. A word goes if a window of ``length`` words that covers it also
     starts earlier: in a row with a smaller id (null ids first, ties by a digest of the text) or earlier in the same
-    row. Rows that agree in id and text are one document and lose the same words. A null or short text loses nothing;
+    row. Rows that agree in id and text are one document: they lose the same words, and none to each other. A null or short text loses nothing;
     an empty table gives an empty result; other columns are not read.
     """
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))

@@ -50,6 +50,16 @@ def test_repeated_windows_of_repeated_rows_and_empty_table(make_docs, prose):
     assert substring_dedup.remove_repeated_windows(make_docs([(1, text)]).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_rows_lose_nothing_to_each_other(make_docs, prose, parts):
+    text, passage = " ".join(prose(2, 40)), " ".join(prose(5, 25))
+    twice = f"{passage} {passage}"
+    pairs = [(1, text), (1, text), (None, twice), (None, twice), (4, f"{text} end")]
+    got = substring_dedup.remove_repeated_windows(make_docs(pairs).repartition(parts)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in got) == [
+        (0, 50, 25, passage), (0, 50, 25, passage), (1, 40, 0, text), (1, 40, 0, text), (4, 41, 40, "end")]
+
+
 def own_encoding():
     ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, open(RANKS, "rb"))}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

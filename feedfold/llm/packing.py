@@ -1,10 +1,11 @@
 """Mixture-controlled packing of token streams into sequences by deficit round-robin over source queues.
 
-Each source is a queue of tokens. In every round (one window of tokens, unless there are very many sources) a source gains its share of the round as
-credit, serves as many whole tokens as its credit covers and carries the rest (its deficit) on; a dry queue leaves its
-slots to the others. The tokens served by a source up to round r are min(total, floor(r * quantum)), so the deficits at any
-window are known without running the rounds before it: partitions work on their own, carry the same deficits, and
-agree on every position.
+Each source is a queue of tokens. In every round, which is one window of tokens for any number of sources, a source serves
+its share of the window, as many whole tokens as its credit covers, and carries the rest (its deficit) on; a dry queue
+leaves its slots to the others. The shares are dealt down a balanced tree over the sources: of the first k tokens of a
+node, its left child has a number that follows from k alone. So the tokens that any source has served before any window take as
+many steps as the tree has levels, no matter how many sources there are: partitions work on their own, carry the same
+deficits, and agree on every position.
 """
 
 from __future__ import annotations
@@ -29,44 +30,146 @@ from feedfold.session import fresh_path, written
 
 LENGTH = 2048
 END_ID = 1
-# Quanta are integers in units of 1/SCALE tokens.
-SCALE = 1 << 16
-# A round is one window for up to so many sources, two for twice as many, and so on.
-SOURCES_PER_WINDOW = 256
+# A source of weight 0 is served when all others are dry.
+LEAST_WEIGHT = 1e-12
 # Longer texts do not go through tiktoken at once.
 WHOLE_CHARS = 1 << 20
 
 
+def times_divided(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """floor(a * b / c) for 64-bit integers, exactly, where c > 0 and the result is below 2**53."""
+    guess = np.floor(a.astype(float) * b / c).astype(np.int64)
+    return guess + (a * b - guess * c) // c  # both products may wrap, their difference does not
+
+
 @dataclass
 class Schedule:
-    """Closed form of the rounds: totals and quanta by source, in serving order."""
+    """Totals and weights by source, in serving order, as a tree that tells how each node's tokens part.
+
+    Node 1 is the root, node i has the children 2i and 2i + 1, and the sources are the leaves. While no queue below a
+    node runs dry its tokens part in a fixed proportion, so a node has a table of (tokens, tokens of its left child) with a row per
+    time at which one does. In between, the first k tokens from a row on have floor(k * left / all) of the left child.
+    """
 
     totals: np.ndarray
-    quanta: np.ndarray
+    weights: np.ndarray
     length: int
 
-    def served(self, rounds: np.ndarray) -> np.ndarray:
-        """Tokens of every source (columns) served after so many rounds (rows)."""
-        return np.minimum(self.totals, rounds[:, None] * self.quanta // SCALE)
+    def __post_init__(self) -> None:
+        n = len(self.totals)
+        self.depth = (n - 1).bit_length()
+        dry = self.totals / self.weights
+        source = np.arange(n)
+        firsts, tokens, lefts = [np.zeros(2, np.int64)], [], []  # node 0 does not exist
+        rows = 0
+        for level in range(self.depth):
+            node = source >> (self.depth - level)
+            is_left = (source >> (self.depth - level - 1)) % 2 == 0
+            order = np.lexsort((dry, node))
+            at, time = node[order], dry[order]
+            begin = np.searchsorted(at, np.arange(1 << level))
+            own = begin[at]
+
+            def served(mine: np.ndarray) -> np.ndarray:
+                """Tokens of such sources of the node served when each of its sources runs dry."""
+                done = np.concatenate([[0], np.cumsum(np.where(mine, self.totals, 0)[order])])
+                rate = np.concatenate([[0], np.cumsum(np.where(mine, self.weights, 0)[order])])
+                base = done[own]
+                done, whole = done[1:] - base, np.append(done[begin], done[-1])[at + 1] - base
+                going = np.maximum(np.append(rate[begin], rate[-1])[at + 1] - rate[1:], 0)
+                found = np.clip(np.rint(done + time * going).astype(np.int64), done, whole)
+                last = np.append(at[1:] != at[:-1], True)
+                found[last] = whole[last]
+                return np.maximum.accumulate(found + base) - base  # the base keeps the nodes apart
+
+            left = served(is_left)
+            every = left + served(~is_left)
+            new = np.append((at[1:] != at[:-1]) | (time[1:] != time[:-1]), True)  # the last source of each time
+            at, left, every = at[new], left[new], every[new]
+            more = every > np.where(np.append(True, at[1:] != at[:-1]), 0, np.append(0, every[:-1]))
+            at, left, every = at[more], left[more], every[more]
+            counts = np.bincount(at, minlength=1 << level) + 1  # each table begins with a row of zeros
+            starts = np.cumsum(counts) - counts
+            place = starts[at] + 1 + np.arange(len(at)) - (starts - np.arange(1 << level))[at]
+            whole_rows = [np.zeros(int(counts.sum()), np.int64) for _ in range(2)]
+            whole_rows[0][place], whole_rows[1][place] = every, left
+            tokens.append(whole_rows[0])
+            lefts.append(whole_rows[1])
+            firsts.append(rows + starts)
+            rows += int(counts.sum())
+        self.first = np.concatenate([firsts[0][:1], *firsts[1:], [rows]])
+        self.all = np.concatenate([np.zeros(0, np.int64), *tokens])
+        self.left = np.concatenate([np.zeros(0, np.int64), *lefts])
+        self.right = self.all - self.left
+
+    def _row(self, node: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Per node the last row of its table, but for the very last one, whose value is at most the wanted one."""
+        low, high = self.first[node], np.maximum(self.first[node + 1] - 2, self.first[node])
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            middle = (low + high + 1) >> 1
+            fits = values[middle] <= wanted
+            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+        return low
+
+    def windows(self, window: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that a source has served before and after a window, and those of the sources before it in the window."""
+        total = int(self.totals.sum())
+        before, after = np.minimum(window * self.length, total), np.minimum((window + 1) * self.length, total)
+        earlier = np.zeros(len(window), np.int64)
+        for level in range(self.depth):
+            node = (1 << level) + (source >> (self.depth - level))
+            bounds = []
+            for k in (before, after):
+                row = self._row(node, self.all, k)
+                last = np.minimum(row + 1, self.first[node + 1] - 1)
+                size = np.maximum(self.all[last] - self.all[row], 1)
+                bounds.append(self.left[row] + times_divided(k - self.all[row], self.left[last] - self.left[row], size))
+            right = (source >> (self.depth - level - 1)) % 2 == 1
+            earlier += np.where(right, bounds[1] - bounds[0], 0)
+            before, after = (np.where(right, k - b, b) for k, b in zip((before, after), bounds, strict=True))
+        return before, after, earlier
+
+    def window_of(self, source: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The window in which the tokens of the sources are served."""
+        place = token
+        for level in reversed(range(self.depth)):
+            node = (1 << level) + (source >> (self.depth - level))
+            right = (source >> (self.depth - level - 1)) % 2 == 1
+            found = np.zeros(len(place), np.int64)
+            for side in (False, True):
+                mine = np.nonzero(right == side)[0]
+                at, i = node[mine], place[mine]
+                child = self.right if side else self.left
+                row = self._row(at, child, i)
+                last = np.minimum(row + 1, self.first[at + 1] - 1)
+                part, size = np.maximum(child[last] - child[row], 1), self.all[last] - self.all[row]
+                i = i - child[row]
+                inside = times_divided(i, size, part) if side else -times_divided(-(i + 1), size, part) - 1
+                found[mine] = self.all[row] + inside
+            place = found
+        return place // self.length
 
     def pieces(self, source: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Cut documents (runs of their source's queue) by round and by sequence.
+        """Cut documents (runs of their source's queue) by window and by sequence.
 
         Returns document number, start in the document, length, sequence and offset, ordered by document and start.
         """
-        def round_of(i):
-            return -(-(i + 1) * SCALE // self.quanta[source])
-
-        first, last = round_of(begin), round_of(begin + size - 1)
-        doc = np.repeat(np.arange(len(source)), last - first + 1)
-        rounds = np.arange(len(doc)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[doc]
-        before, after = self.served(rounds - 1), self.served(rounds)
-        own = source[doc]
-        rows = np.arange(len(doc))
-        low = np.maximum(begin[doc], before[rows, own])
-        high = np.minimum((begin + size)[doc], after[rows, own])
-        earlier = np.cumsum(after - before, axis=1)[rows, own] - (after - before)[rows, own]
-        place = before.sum(axis=1) + earlier + low - before[rows, own]
+        first, last = self.window_of(source, begin), self.window_of(source, begin + size - 1)
+        # a document with fewer tokens than windows between its ends is looked up by token
+        thin = last - first + 1 > size
+        count = np.where(thin, size, last - first + 1)
+        doc = np.repeat(np.arange(len(source)), count)
+        step = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        window = first[doc] + step
+        rare = np.nonzero(thin[doc])[0]
+        window[rare] = self.window_of(source[doc[rare]], begin[doc[rare]] + step[rare])
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (window[1:] != window[:-1])
+        doc, window = doc[new], window[new]
+        before, after, earlier = self.windows(window, source[doc])
+        low = np.maximum(begin[doc], before)
+        high = np.minimum((begin + size)[doc], after)
+        place = window * self.length + earlier + low - before
         start, left = low - begin[doc], high - low
         out = []
         while len(doc):
@@ -177,7 +280,7 @@ def pack(tokens: DataFrame, length: int = LENGTH, targets: dict[str | None, floa
     sequences but those of the last window are full; that window's tokens fill sequences of powers of two, so there is no
     padding. Documents may be cut anywhere. Null sources are a queue of their own, null and empty texts only
     have the end id, ids may be null or repeat, and an empty table gives no pieces. The totals (a row per source) and
-    the quanta are all that the driver sees.
+    the tree over them are all that the driver sees.
     """
     parts = tokens.groupBy("queue", "source", "part").agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -187,13 +290,13 @@ def pack(tokens: DataFrame, length: int = LENGTH, targets: dict[str | None, floa
     if not sums:
         return tokens.sparkSession.createDataFrame([], schema)
     totals = np.array([r.n for r in sums], np.int64)
-    weights = totals / totals.sum() if targets is None else np.array([targets.get(r.source, 0.01) for r in sums], float)
-    per_round = length * -(-len(sums) // SOURCES_PER_WINDOW)
-    quanta = np.maximum(1, np.round(weights / weights.sum() * per_round * SCALE)).astype(np.int64)
-    schedule, number = (totals, quanta, length), {r.queue: i for i, r in enumerate(sums)}
+    weights = totals if targets is None else np.array([targets.get(r.source, 0.01) for r in sums], float)
+    shared = tokens.sparkSession.sparkContext.broadcast(
+        (Schedule(totals, totals if targets is None else np.maximum(weights / weights.sum(), LEAST_WEIGHT), length),
+         {r.queue: i for i, r in enumerate(sums)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Schedule(*schedule)
+        plan, number = shared.value
         for batch in slices(batches, "ids", 2 << 20):
             doc_id, source, queue, begin, size, blobs = batch.columns
             size = size.to_numpy()

@@ -76,6 +76,56 @@ def test_schedule_serves_every_token_once():
     assert np.bincount(doc, length).tolist() == sizes.tolist()
 
 
+def test_every_window_keeps_the_mixture_of_many_sources(spark):
+    rows = [(i, " the" * 99, "a" if i < 300 else f"s{i % 600}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = packing.pack(packing.tokenize(docs.repartition(5), JSON, public_tokenizers.PATTERN), 256).collect()
+    share = collections.Counter()
+    for r in pieces:
+        share[r.sequence_id] += r.length * (r.source == "a")
+    assert sum(r.length for r in pieces) == 90_000
+    assert all(abs(share[w] - 256 / 3) <= 11 for w in range(90_000 // 256))
+
+
+@pytest.mark.parametrize("n, even", [(1, False), (3, False), (13, False), (40, True), (300, False), (700, True)])
+def test_schedule_with_queues_that_run_dry(n, even):
+    rng = np.random.default_rng(n)
+    totals = rng.integers(1, 400, n)
+    weights = totals if even else rng.choice([0.01, 0.5, 1.0, 3.0], n)
+    plan, length = packing.Schedule(totals, weights, 32), 32
+    half = totals // 2
+    source, begin = np.repeat(np.arange(n), 2), np.stack([np.zeros(n, np.int64), half], 1).ravel()
+    size = np.stack([half, totals - half], 1).ravel()
+    source, begin, size = source[size > 0], begin[size > 0], size[size > 0]
+    doc, start, taken, sequence, offset = plan.pieces(source, begin, size)
+    full = totals.sum() // length
+    slots = sorted((s, o + k) for s, o, m in zip(sequence, offset, taken) for k in range(m))
+    assert slots[:full * length] == [(i // length, i % length) for i in range(full * length)]
+    assert len(slots) == len(set(slots)) == totals.sum() and np.bincount(doc, taken).tolist() == size.tolist()
+    before = {}
+    for d, s, m, w in zip(doc.tolist(), start.tolist(), taken.tolist(), sequence.tolist()):
+        assert before.get(int(source[d]), (-1, 0)) <= (w, begin[d] + s)
+        before[int(source[d])] = (w, begin[d] + s)
+    served = np.zeros((full, n))
+    whole = sequence < full
+    np.add.at(served, (sequence[whole], source[doc[whole]]), taken[whole])
+    served = np.cumsum(served, axis=0)
+    times = np.sort(totals / weights)
+    for w in range(full):  # the time at which all have served so much, and what each should have by then
+        low, high = 0.0, times[-1]
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (middle, high) if np.minimum(totals, middle * weights).sum() < (w + 1) * length else (low, middle)
+        assert np.abs(served[w] - np.minimum(totals, high * weights)).max() <= 1 + np.log2(n)
+
+
+def test_exact_division_of_long_products():
+    rng = np.random.default_rng(3)
+    a, c = rng.integers(-1 << 43, 1 << 43, 999), rng.integers(1, 1 << 43, 999)
+    b = rng.integers(0, c + 1)
+    assert packing.times_divided(a, b, c).tolist() == [int(x) * int(y) // int(z) for x, y, z in zip(a, b, c)]
+
+
 def pages_table(spark):
     big = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 900 + "</p>"
     rows = [(1, "http://a.com/", big), (2, "http://b.com/x y\r\nX: 1", big), (3, None, big), (4, "u", "small"), (5, "u", "small"),

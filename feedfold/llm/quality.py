@@ -1,8 +1,12 @@
 """Importance resampling: documents are sampled by how much more likely target text makes them than raw text.
 
-Both texts have a generative model over hashed n-grams (does a document contain an n-gram). A document's log weight
+Both texts have a generative model over n-grams (does a document contain an n-gram). A document's log weight
 is the sum of the log ratios of its n-grams; Gumbel noise on the log weights and a global top-k make a weighted
 sample without replacement. The raw model counts every document, the target model a bounded sample of labelled ones.
+
+Every distinct n-gram has a count of its own, by a hash that gets wider with the input. Tasks send partial sums to ranges of hashes, where they are
+added and stay; the n-grams of the documents go to the same ranges to be weighed. ``fit_counts`` and ``log_weights`` are the
+same model over a fixed number of slots, for corpora of known size; ``importance_sample`` does not use them.
 """
 
 from __future__ import annotations
@@ -37,6 +41,17 @@ SLICE_BYTES = 3 << 19
 # Documents that an n-gram is in, at least, to count as common.
 COMMON = 5
 LONGEST_RUN = 4
+# Bytes of text per range of hashes, n-grams that a task holds before it sends them, and commonest n-grams by order that set
+# the scale of the target model.
+RANGE_BYTES = 4 << 20
+HELD_GRAMS = 1 << 20
+COMMONEST = 2000
+# Less than one n-gram in 2**SAFE_BITS shares its hash with another, at any size of the input.
+SAFE_BITS = 20
+# Bits of a hash that name its place in the filter of n-grams with a weight; log ratios are added up in units of 1/UNIT.
+FILTER_BITS = 27
+UNIT = 1 << 32
+GRAMS = "part int, keys binary, targets binary, raws binary, docs binary"
 
 
 def ngrams(hasher: Hasher, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -130,8 +145,8 @@ def model_scales(counts: np.ndarray) -> np.ndarray:
     return scales
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, scale: float, pseudo_count: float, least_ratio: float) -> np.ndarray:
-    if scale <= 0:
+def log_ratio(target: np.ndarray, raw: np.ndarray, scale: float | np.ndarray, pseudo_count: float, least_ratio: float) -> np.ndarray:
+    if np.all(scale <= 0):
         return np.zeros(len(raw))
     found = np.log((target + pseudo_count) / (raw * scale + pseudo_count))
     return np.where(np.abs(found) >= least_ratio, found, 0)
@@ -160,6 +175,257 @@ def log_weights(docs: DataFrame, model, settings: list[tuple[float, float]]) ->
     return docs.select("row_key", "doc_id", "text").mapInArrow(run, "row_key long, doc_id long, weights array<double>")
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Keys of ``width`` bits, of which the first ``bits`` name the range."""
+
+    bits: int
+    width: int
+
+    @classmethod
+    def of(cls, size: int) -> Ranges:
+        """For texts of so many bytes, which have no more distinct n-grams than that."""
+        bits = min(FILTER_BITS - 3, (max(64, -(-size // RANGE_BYTES)) - 1).bit_length())
+        return cls(bits, min(63, max(48, size.bit_length() + SAFE_BITS)))
+
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(self.width - self.bits)).astype(np.int64)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Places in the filter."""
+        return (keys >> np.uint64(self.width - FILTER_BITS)).astype(np.int64)
+
+    def keys(self, hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(document, key) of the distinct n-grams; the last bit of a key is the order."""
+        found, cut = ngrams(hasher, texts), np.uint64(65 - self.width)
+        return (np.concatenate([d for d, _ in found]),
+                np.concatenate([(g >> cut << np.uint64(1)) | np.uint64(order) for order, (_, g) in enumerate(found)]))
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Integers from 0 on as byte planes, as many as the largest one needs."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(len(values), 8)[:, :width].T.tobytes()
+
+
+def _widen(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :data[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _key_planes(keys: np.ndarray) -> bytes:
+    """Rising keys as the first one and planes of the steps."""
+    return keys[:1].tobytes() + _narrow(np.diff(keys)) if len(keys) else b""
+
+
+def _unkey_planes(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), _widen(data[8:]).view(np.uint64)]), dtype=np.uint64)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _parts(keys: np.ndarray, ranges: Ranges) -> Iterator[tuple[int, slice]]:
+    """The ranges of rising keys: the number and place of each that has some."""
+    part = ranges.part(keys)
+    first = np.nonzero(np.append(True, part[1:] != part[:-1])[:len(part)])[0]
+    for i, j in zip(first, np.append(first[1:], len(part)), strict=True):
+        yield int(part[i]), slice(i, j)
+
+
+def _summed(keys: np.ndarray, targets: np.ndarray, raws: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.nonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])[0]
+    if not len(first):
+        return keys, targets, raws
+    return keys[first], np.add.reduceat(targets[order], first, dtype=targets.dtype), np.add.reduceat(raws[order], first, dtype=raws.dtype)
+
+
+def _partial_sums(shared, ranges: Ranges):
+    """Per task and range the documents with each n-gram, in target text and in all text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, chosen, held, n = Hasher(SEED), shared.value, [], 0
+        for batch in slices(batches, "text", SLICE_BYTES):
+            target = np.isin(batch.column(0).to_numpy(zero_copy_only=False), chosen)
+            doc, keys = ranges.keys(hasher, batch.column(1))
+            held.append(_summed(keys, target[doc].astype(np.int32), np.ones(len(keys), np.int32)))
+            n += len(held[-1][0])
+            if n > HELD_GRAMS:
+                held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                n = len(held[0][0])
+                if n > HELD_GRAMS // 2:
+                    yield send(held)
+                    held, n = [], 0
+        if n:
+            yield send([_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))])
+
+    def send(held) -> pa.RecordBatch:
+        keys, targets, raws = held[0]
+        return _batch([(part, _key_planes(keys[at]), _narrow(targets[at]), _narrow(raws[at]), None)
+                       for part, at in _parts(keys, ranges)], GRAMS)
+    return run
+
+
+def _whole_sums(least: int):
+    """The counts of a range, of n-grams in target text or in ``least`` documents; and by order the sums of all of them."""
+    def run(tables: pa.Table) -> pa.Table:
+        keys, targets, raws = _summed(np.concatenate([_unkey_planes(b) for b in tables.column("keys").to_pylist()]), *(
+            np.concatenate([_widen(b).astype(np.int32) for b in tables.column(c).to_pylist()]).astype(np.int64) for c in ("targets", "raws")))
+        order = (keys & np.uint64(1)).astype(np.int64)
+        sums = np.array([[x[order == o].sum() for x in (targets, raws)] for o in range(ORDERS)], "<i8")
+        some = (targets > 0) | (raws >= least)
+        out = _batch([(tables.column("part")[0].as_py(), _key_planes(keys[some]), _narrow(targets[some]),
+                       _narrow(raws[some]), sums.tobytes())], GRAMS)
+        return pa.Table.from_batches([out])
+    return run
+
+
+def count_ngrams(docs: DataFrame, targets: np.ndarray, ranges: Ranges, least: int) -> DataFrame:
+    """A stored table of the counts, a row per range of hashes; no range and no count comes to the driver."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(targets))
+    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(-1 << 63)).alias("id"), "text")
+    out = written(rows.mapInArrow(_partial_sums(sent, ranges), GRAMS).groupBy("part").applyInArrow(_whole_sums(least), GRAMS), "ngrams")
+    sent.destroy()
+    return out
+
+
+def target_scales(counts: DataFrame) -> list[float]:
+    """By order, the share of raw documents that makes both models agree on the commonest n-grams."""
+    def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a range at a time, to hold no more
+                row = batch.slice(i, 1).to_pylist()[0]
+                keys, (targets, raws) = _unkey_planes(row["keys"]), (_widen(row[c]) for c in ("targets", "raws"))
+                for order in range(ORDERS):
+                    mine = np.nonzero((keys & np.uint64(1) == order) & (raws >= COMMON))[0]
+                    mine = mine[np.lexsort((keys[mine], -raws[mine]))[:COMMONEST]]
+                    yield _batch([(order, int(k), int(t), int(r)) for k, t, r in zip(
+                        keys[mine].view(np.int64), targets[mine], raws[mine], strict=True)], top)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([(o, int(t), int(r)) for b in batch.column(0).to_pylist()
+                          for o, (t, r) in enumerate(np.frombuffer(b, "<i8").reshape(ORDERS, 2))], "ord int, target long, raw long")
+
+    top = "ord int, key long, target long, raw long"
+    rows = counts.mapInArrow(commonest, top)
+    sums = {r.ord: (r.t, r.r) for r in counts.select("docs").mapInArrow(total, "ord int, target long, raw long")
+            .groupBy("ord").agg(F.sum("target").alias("t"), F.sum("raw").alias("r")).collect()}
+    scales = []
+    for order in range(ORDERS):
+        found = rows.filter(F.col("ord") == order).orderBy(F.desc("raw"), "key").limit(COMMONEST).collect()
+        middle = float(np.median([r.target / r.raw for r in found])) if found else 0.0
+        whole = sums.get(order, (0, 0))
+        scales.append(middle or whole[0] / max(1, whole[1]))
+    return scales
+
+
+def least_weighed(scale: float) -> int:
+    """Documents, at least, that an n-gram outside of target text is in, if any setting gives it a log ratio."""
+    return max(1, math.ceil(min(pseudo * (math.exp(ratio) - 1) for pseudo, ratio in SETTINGS) / max(scale, 1e-9)))
+
+
+def ngram_weights(counts: DataFrame, scales: list[float], settings: list[tuple[float, float]], ranges: Ranges) -> DataFrame:
+    """A stored table of the n-grams that any setting gives a log ratio: per range their keys, the log ratios (in ``targets``) and
+    the range's part of a filter (in ``raws``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a range at a time, to hold no more
+                row = batch.slice(i, 1).to_pylist()[0]
+                keys, (targets, raws) = _unkey_planes(row["keys"]), (_widen(row[c]) for c in ("targets", "raws"))
+                scale = np.array(scales)[(keys & np.uint64(1)).astype(np.int8)]
+                units = np.stack([np.rint(np.where(scale > 0, log_ratio(targets, raws, scale, *setting), 0) * UNIT).astype("<i8")
+                                  for setting in settings], axis=1)
+                some = units.any(axis=1)
+                keys, units = keys[some], units[some]
+                known = np.zeros(1 << (FILTER_BITS - ranges.bits), np.uint8)
+                inside = ranges.place(keys) - row["part"] * len(known)
+                known[inside] = 1
+                yield _batch([(row["part"], _key_planes(keys), units.tobytes(), np.packbits(known).tobytes(), None)], GRAMS)
+    return written(counts.mapInArrow(run, GRAMS), "ngram-weights")
+
+
+def _candidates(shared, ranges: Ranges):
+    """Per task and range the (key, row) pairs whose n-gram may have a log ratio."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, known, held, n = Hasher(SEED), np.frombuffer(shared.value, np.uint8), [], 0
+        for batch in slices(batches, "text", SLICE_BYTES):
+            doc, keys = ranges.keys(hasher, batch.column(1))
+            place = ranges.place(keys)
+            some = (known[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+            held.append((keys[some], batch.column(0).to_numpy()[doc[some]]))
+            n += int(some.sum())
+            if n > HELD_GRAMS:
+                yield send(held)
+                held, n = [], 0
+        if n:
+            yield send(held)
+
+    def send(held) -> pa.RecordBatch:
+        keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = ranges.part(keys)
+        order = np.lexsort((keys, docs, part))
+        keys, docs, part = keys[order], docs[order], part[order]
+        first = np.nonzero(np.append(True, part[1:] != part[:-1]))[0]
+        return _batch([(int(part[i]), _narrow(keys[i:j]), None, None,
+                        docs[i:i + 1].tobytes() + _narrow(np.diff(docs[i:j])))
+                       for i, j in zip(first, np.append(first[1:], len(part)), strict=True)], GRAMS)
+    return run
+
+
+def _weighed(n_settings: int):
+    """The log ratios of a range added up by row."""
+    def run(tables: pa.Table) -> pa.Table:
+        keys, docs, units, known = [], [], np.zeros((0, n_settings), np.int64), np.zeros(0, np.uint64)
+        for row in tables.to_pylist():
+            if row["docs"] is None:
+                known, units = _unkey_planes(row["keys"]), np.frombuffer(row["targets"], "<i8").reshape(-1, n_settings)
+            else:
+                keys.append(_widen(row["keys"]).view(np.uint64))
+                docs.append(np.cumsum(np.append(np.frombuffer(row["docs"], np.int64, 1), _widen(row["docs"][8:]))))
+        if not keys or not len(known):
+            return pa.table({"row_key": pa.array([], pa.int64()), "units": pa.array([], pa.list_(pa.int64()))})
+        keys, docs = np.concatenate(keys), np.concatenate(docs)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        docs, at = docs[hit], at[hit]
+        order = np.argsort(docs, kind="stable")
+        docs, at = docs[order], at[order]
+        first = np.nonzero(np.append(True, docs[1:] != docs[:-1])[:len(docs)])[0]
+        sums = np.add.reduceat(units[at], first, axis=0) if len(first) else np.zeros((0, n_settings), np.int64)
+        offsets = np.arange(len(first) + 1, dtype=np.int32) * n_settings
+        return pa.table({"row_key": pa.array(docs[first]), "units": pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))})
+    return run
+
+
+def weigh(docs: DataFrame, weights: DataFrame, n_settings: int, ranges: Ranges) -> DataFrame:
+    """(row_key, doc_id, weights, copies) of every whole text, a log weight per setting; null and empty texts weigh 0.
+
+    The n-grams come from the stored table of ``ngram_weights`` by a shuffle; only a filter of 2**FILTER_BITS bits is sent to the tasks,
+    which spares the shuffle those without a log ratio. Sums are of integers, so no order of rows changes a weight.
+    """
+    known = bytearray(1 << (FILTER_BITS - 3))
+    for row in weights.select("part", "raws").toLocalIterator():
+        known[row.part * len(row.raws):(row.part + 1) * len(row.raws)] = row.raws
+    sent = docs.sparkSession.sparkContext.broadcast(bytes(known))
+    rows = docs.select("row_key", "text").mapInArrow(_candidates(sent, ranges), GRAMS).unionByName(weights.withColumn("raws", F.lit(None).cast("binary")))
+    found = rows.groupBy("part").applyInArrow(_weighed(n_settings), "row_key long, units array<long>")
+    found = found.groupBy("row_key").agg(*[F.sum(F.col("units")[i]).alias(f"w{i}") for i in range(n_settings)])
+    copies = docs.groupBy("row_key", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    # equal rows have their n-grams added up once each
+    each = [F.coalesce(F.col(f"w{i}") / F.col("copies") / float(UNIT), F.lit(0.0)) for i in range(n_settings)]
+    return written(copies.join(found, "row_key", "left").select("row_key", "doc_id", F.array(*each).alias("weights"), "copies"), "weighed")
+
+
 def gumbel_top_k(weighted: DataFrame, k: int, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """The k rows with the largest log_weight + temperature * Gumbel noise; noise and ties follow from row_key and seed.
 
@@ -207,7 +473,8 @@ def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> Labelled:
     return Labelled(ids[good & ~held], ids[good & held], ids[~good & held])
 
 
-def choose_setting(docs: DataFrame, model, labelled: Labelled, cost: float = 5.0) -> tuple[tuple[float, float], float]:
+def choose_setting(docs: DataFrame, counts: DataFrame, scales: list[float], ranges: Ranges, labelled: Labelled,
+                   cost: float = 5.0) -> tuple[tuple[float, float], float]:
     """The setting and the least log weight that part the held-out documents best.
 
     A good document lost costs ``cost`` bad ones kept; without held-out documents of both kinds nothing is parted.
@@ -216,7 +483,9 @@ def choose_setting(docs: DataFrame, model, labelled: Labelled, cost: float = 5.0
     if not len(labelled.held_good) or not len(labelled.held_bad):
         return SETTINGS[0], -math.inf
     ids = docs.sparkSession.createDataFrame([(int(i),) for i in held], "doc_id long")
-    rows = log_weights(docs.join(F.broadcast(ids), "doc_id", "left_semi"), model, list(SETTINGS)).select("doc_id", "weights").toPandas()
+    weights = ngram_weights(counts, scales, list(SETTINGS), ranges)
+    rows = weigh(docs.join(F.broadcast(ids), "doc_id", "left_semi"), weights, len(SETTINGS), ranges)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "weights").toPandas()
     if not len(rows):
         return SETTINGS[0], -math.inf
     good = np.isin(rows.doc_id.to_numpy(np.int64), labelled.held_good)
@@ -244,16 +513,22 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     """
     rows = identified(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     labelled = labelled_sample(labels, bound)
-    counts = fit_counts(rows, labelled.good)
-    model = docs.sparkSession.sparkContext.broadcast((counts, model_scales(counts)))
-    del counts
-    setting, least = choose_setting(rows, model, labelled)
-    weighted = log_weights(rows, model, [setting]).select("row_key", "doc_id", F.col("weights")[0].alias("log_weight"))
-    copies = weighted.groupBy("row_key", "doc_id", "log_weight").count()
-    weighted = copies.withColumn("occurrence", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("count")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = Ranges.of(size)
+    ids = docs.sparkSession.createDataFrame([(int(i),) for i in labelled.good], "doc_id long")
+    share = rows.join(F.broadcast(ids), "doc_id", "left_semi").count() / max(1, rows.count())
+    least = min(COMMON, least_weighed(1.25 * share))
+    counts = count_ngrams(rows, labelled.good, ranges, least)
+    scales = target_scales(counts)
+    if least > least_weighed(max(scales)):
+        counts = count_ngrams(rows, labelled.good, ranges, least_weighed(max(scales)))
+    setting, lowest = choose_setting(rows, counts, scales, ranges, labelled)
+    weighted = weigh(rows, ngram_weights(counts, scales, [setting], ranges), 1, ranges)
+    weighted = weighted.withColumn("log_weight", F.col("weights")[0]).withColumn(
+        "occurrence", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+        "row_key", "doc_id", "log_weight", "occurrence")
     weighted = written(weighted, "weighted")
-    model.destroy()
-    k = weighted.filter(F.col("log_weight") >= F.lit(least)).count()
+    k = weighted.filter(F.col("log_weight") >= F.lit(lowest)).count()
     return gumbel_top_k(weighted, k, temperature)
 
 

@@ -30,7 +30,7 @@ BLOB = "bucket int, keys binary, steps binary, docs binary, runs binary"
 
 def _planes(values: np.ndarray, kind: str = "<u4") -> bytes:
     """Integers as byte planes, which compress well."""
-    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T).tobytes()
 
 
 def _unplanes(data: bytes, kind: str = "<u4") -> np.ndarray:

@@ -225,6 +225,34 @@ def test_log_weights_equal_brute_force(spark, make_docs, prose, monkeypatch):
             assert got[i][k] == pytest.approx(want, abs=1e-3)
 
 
+def test_every_distinct_ngram_has_a_count_of_its_own(make_docs, prose, monkeypatch):
+    monkeypatch.setattr(quality, "SLOTS", 1 << 8)  # as full as the old tables were at many GB
+    monkeypatch.setattr(quality, "HELD_GRAMS", 300)
+    good = {i: " ".join(prose(i, 60)) for i in range(120)}
+    bad = {200 + i: " ".join([*prose(200 + i, 50), "idiot", "scum", "w w w w w"]) for i in range(60)}
+    pairs = [*good.items(), *bad.items(), (300, None), (301, ""), (302, good[1]), (302, good[1])]
+    docs = make_docs(pairs)
+    labels = docs.sparkSession.createDataFrame([(i, 1, 0) for i in good] + [(i, 0, 1) for i in bad], "doc_id long, quality int, toxic int")
+    rows = quality.importance_sample(docs, labels, temperature=0.0).collect()
+    left = collections.Counter(r.doc_id for r in rows)
+    assert not set(bad) & set(left) and set(good) <= set(left) and left[302] == 2
+    hasher, labelled = Hasher(quality.SEED), quality.labelled_sample(labels)
+    keyed = quality.identified(docs.select("doc_id", "text"))
+    ranges = quality.Ranges(6, 48)
+    counts = quality.count_ngrams(keyed, labelled.good, ranges, 1)
+    scales = quality.target_scales(counts)
+    grams = [(i, brute_ngrams(hasher, t)) for i, t in pairs]
+    tables = [[collections.Counter(g >> 17 for i, one in grams if not t or i in labelled.good for g in one[o]) for o in range(2)] for t in (1, 0)]
+    settings = [(1.0, 0.5), (0.3, 0.0)]
+    got = quality.weigh(keyed, quality.ngram_weights(counts, scales, settings, ranges), 2, ranges).collect()
+    got = {r.doc_id: (r.weights, r.copies) for r in got}
+    assert got[302][1] == 2 and len(got) == len(pairs) - 1
+    for i, found in grams:
+        for k, (pseudo, lowest) in enumerate(settings):
+            ratios = [math.log((tables[0][o][g >> 17] + pseudo) / (tables[1][o][g >> 17] * scales[o] + pseudo)) for o in range(2) for g in found[o]]
+            assert got[i][0][k] == pytest.approx(sum(x for x in ratios if abs(x) >= lowest), abs=1e-5)
+
+
 def test_gumbel_top_k_is_exact_and_repeatable(spark):
     rows = spark.createDataFrame([(i, i, float(i % 5), 1) for i in range(2000)] + [(5000, 5000, 2.0, k) for k in range(1, 9)],
                                  "row_key long, doc_id long, log_weight double, occurrence int")

@@ -26,8 +26,9 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme",
 OTHER_TITLES = ("Dr", "Prof")
 TITLES = MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
 
-# Every entity has one of these characters or a title, which a JVM expression finds without Python.
-MAY_HOLD = r"[\p{Nd}@=:]|(^|[^\p{L}])(" + "|".join(TITLES) + r")\.?\s"
+# Every entity has one of these characters, a key's first letters or a title, which a JVM expression finds without Python.
+# Spaces are those of Python, which has \x1c to \x1f among them.
+MAY_HOLD = r"(?U)[\p{Nd}@=:]|AKIA|ASIA|(^|[^\p{L}])(" + "|".join(TITLES) + r")\.?[\s\x1c-\x1f]"
 
 _NAME = r"[^\W\d_a-zа-яß-öø-ÿ][^\W\d_]+"
 _ENTITY = re.compile("|".join((

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import label, page_body, review
+from tests.conftest import label, page_body, review
 from feedfold.operators import accounting, comparison, entries, flags, fold, health, normalise
 from feedfold.sources import cohort as co
 from feedfold.sources import exports, landing, lexicon, pages

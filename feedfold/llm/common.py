@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,6 +91,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are reused, so what one stage keeps is missing in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def byte_sizes(values: pa.Array) -> list[int]:
     import pyarrow.compute as pc
 

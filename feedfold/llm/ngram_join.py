@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedfold.llm.common import carried, identified, slices, spread_join
+from feedfold.llm.common import carried, identified, release, slices, spread_join
 from feedfold.llm.graph import components, local_roots, pair_tasks
 from feedfold.llm.hashing import Hasher, mix
 from feedfold.session import written
@@ -38,6 +38,8 @@ MEMBERS_PER_TASK = 50_000
 ELEMENTS_PER_TASK = 1 << 18
 SET_WEIGHT = 128
 SEED = 5
+# Bytes of text hashed at a time.
+SLICE_BYTES = 1 << 19
 
 
 def shingles(hasher: Hasher, texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +49,7 @@ def shingles(hasher: Hasher, texts: pa.Array, length: int) -> tuple[np.ndarray,
     short = np.nonzero((words.counts > 0) & (words.counts < length))[0]
     if len(short):
         first = words.first[short]
-        whole = mix(hasher.in_window.runs(words.hashes, first, first + words.counts[short]) + np.uint64(1))
+        whole = mix(hasher.runs(words.hashes, first, first + words.counts[short]) + np.uint64(1))
         h, doc = np.concatenate([h, whole]), np.concatenate([doc, short])
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -60,7 +62,7 @@ def _signatures(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(SEED)
         factors = np.random.default_rng(SEED).integers(1, 1 << 31, (COORDINATES, 2), dtype=np.int64).astype(np.uint32) * 2 + 1
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE_BYTES):
             h, counts = shingles(hasher, batch.column(1), length)
             full = np.nonzero(counts)[0]
             if not len(full):
@@ -77,6 +79,7 @@ def _signatures(length: int):
                 [batch.column(0).take(pa.array(full)), *map(pa.array, digests), pa.array(counts[full].astype(np.int32)),
                  pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array([m.tobytes() for m in minima])],
                 ["row_key", "d1", "d2", "n_shingles", "b1", "b2", "minima"])
+            release()
     return run
 
 
@@ -171,11 +174,12 @@ def chosen_path_links(reps: DataFrame, n: int, recall: float = RECALL) -> DataFr
 def _sets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(SEED)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", SLICE_BYTES):
             h, counts = shingles(hasher, batch.column(batch.schema.get_field_index("text")), length)
             sets = [x.tobytes() for x in np.split(h, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts.astype(np.int32)),
                                               pa.array(sets, pa.binary())], ["component", "rep", "copies", "elements", "shingles"])
+            release()
     return run
 
 

@@ -4,12 +4,16 @@ import base64
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from feedfold.llm import bpe, pii, substring_dedup, url_filter
+from feedfold.llm.hashing import PRIME, Hasher
+from feedfold.llm.ngram_join import near_duplicates
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -191,3 +195,34 @@ def test_texts_with_entities_pass_the_prefilter(make_docs):
     passed = {r.doc_id for r in make_docs(list(enumerate(texts))).filter(pii._may_hold(F.col("text"))).collect()}
     found = {i for i, t in enumerate(texts) if pii.find_entities(t or "")}
     assert found <= passed and len(found) > 4 * len(spaces) and texts.index(PII_TEXTS[9]) not in found
+
+
+def thue_morse(size, zero, one):
+    """Two words that collide under any polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join((zero, one)[b] for b in bits), "".join((one, zero)[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [256, 1024, 4096])
+def test_texts_built_against_power_of_two_hashes(make_docs, prose, size):
+    left, right = thue_morse(size, "a", "b")
+    words = prose(12, 19)
+    pairs = [(1, " ".join([*words, left])), (2, " ".join([*words, right]))]
+    got = substring_dedup.remove_repeated_windows(make_docs(pairs)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_windows(pairs, 20)
+    assert all(r.n_removed == 0 for r in got)
+    single = near_duplicates(make_docs([(1, left), (2, right)])).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.kept) for r in single) == [(1, 1, 0, True), (2, 2, 0, True)]
+
+
+def test_windows_are_polynomials_modulo_a_prime():
+    hasher = Hasher(4)
+    words = hasher.words(pa.array(["one two three four five two three four", None, "", "three four five"]))
+    assert words.counts.tolist() == [8, 0, 0, 3]
+    h, text, start = hasher.windows(words, 3)
+    assert text.tolist() == [0] * 6 + [3] and start.tolist() == [0, 1, 2, 3, 4, 5, 0]
+    assert h[1] == h[5] and h[2] == h[6] and len(set(h.tolist())) == 5
+    base = hasher.bases[0]
+    want = [sum(int(v) % PRIME * pow(base.bases[0], t, PRIME) for t, v in enumerate(words.hashes[i:i + 3])) % PRIME for i in range(6)]
+    at = np.arange(6)
+    assert base.runs(words.hashes, at, at + 3).tolist() == want

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedfold.llm.common import carried, identified, slices
+from feedfold.llm.common import carried, identified, release, slices
 from feedfold.llm.hashing import BY_KIND, Hasher, mix
 from feedfold.session import written
 
@@ -37,14 +37,14 @@ SETTINGS = ((3.0, 1.3), (1.0, 1.3), (0.5, 1.0), (0.3, 0.7))
 TEMPERATURE = 0.05
 SEED = 17
 # Bytes of text hashed at a time.
-SLICE_BYTES = 3 << 19
+SLICE_BYTES = 1 << 19
 # Documents that an n-gram is in, at least, to count as common.
 COMMON = 5
 LONGEST_RUN = 4
 # Bytes of text per range of hashes, n-grams that a task holds before it sends them, and commonest n-grams by order that set
 # the scale of the target model.
 RANGE_BYTES = 4 << 20
-HELD_GRAMS = 1 << 20
+HELD_GRAMS = 1 << 19
 COMMONEST = 2000
 # Less than one n-gram in 2**SAFE_BITS shares its hash with another, at any size of the input.
 SAFE_BITS = 20
@@ -265,8 +265,10 @@ def _partial_sums(shared, ranges: Ranges):
                 if n > HELD_GRAMS // 2:
                     yield send(held)
                     held, n = [], 0
+            release()
         if n:
             yield send([_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))])
+            release()
 
     def send(held) -> pa.RecordBatch:
         keys, targets, raws = held[0]
@@ -367,8 +369,10 @@ def _candidates(shared, ranges: Ranges):
             if n > HELD_GRAMS:
                 yield send(held)
                 held, n = [], 0
+                release()
         if n:
             yield send(held)
+            release()
 
     def send(held) -> pa.RecordBatch:
         keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))

@@ -110,9 +110,10 @@ class Hasher:
         turn[offsets] = True
         start, end = np.nonzero(turn[:-1] & (kind > 0))[0], np.nonzero(turn[1:] & (kind > 0))[0] + 1
         first = np.searchsorted(start, offsets)
-        return Words(self._hashed(data, start, end, fold_case), np.diff(first), first[:-1])
+        return Words(self.spans(data, start, end, fold_case), np.diff(first), first[:-1])
 
-    def _hashed(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool) -> np.ndarray:
+    def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = False) -> np.ndarray:
+        """A 64-bit hash of each non-empty span of bytes."""
         if not len(start):
             return np.zeros(0, np.uint64)
         padded = np.zeros(len(data) + 8, np.uint8)

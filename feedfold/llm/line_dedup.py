@@ -299,6 +299,9 @@ def _answered(shards: int, print_bytes: int):
         key, number = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32))
         order = np.lexsort((number, key))
         key, number = key[order], number[order]
+        new = np.ones(len(key), bool)  # equal rows send equal probes
+        new[1:] = (key[1:] != key[:-1]) | (number[1:] != number[:-1])
+        key, number = key[new], number[new]
         at = np.nonzero(np.append(True, key[1:] != key[:-1])[:len(key)])[0]
         parts = [x.tobytes() for x in np.split(number, at[1:])[:len(at)]]
         return pa.table({"row_key": pa.array(key[at], pa.int64()), "lines": pa.array(parts, pa.binary())})
@@ -357,6 +360,5 @@ def _with_answers(rows: DataFrame, rare: DataFrame, sent, shards: int, print_byt
     """Rows with the numbers of the lines to drop that the broadcast arrays don't tell."""
     probes = rows.select("row_key", "text").mapInArrow(_routed_probes(sent, shards, print_bytes, min_chars), INDEX)
     answers = rare.unionByName(probes).groupBy("shard").applyInArrow(_answered(shards, print_bytes), "row_key long, lines binary")
-    # equal rows send equal probes, so their numbers come more than once
-    parts = answers.distinct().groupBy("row_key").agg(F.collect_list("lines").alias("parts"))
+    parts = answers.groupBy("row_key").agg(F.collect_list("lines").alias("parts"))
     return rows.join(parts, "row_key", "left")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from feedfold.functions.text import ascii_fold
@@ -30,15 +29,20 @@ def seq() -> Column:
 
 def review_id() -> Column:
     """Readable surrogate made of the natural key, unique without any global numbering."""
-    return F.concat_ws("/", "source_app_id", "storefront", "source_review_id")
+    return F.concat_ws("/", *REVIEW_KEY)
+
+
+def place() -> Column:
+    """``seq``, and for an entry that was landed more than once when and with what."""
+    return F.struct("run_id", "app_order", "page_number", "entry_pos", "fetched_at", "raw_payload_hash")
 
 
 def partial_reviews(valid: DataFrame) -> DataFrame:
     """First and last observation per review; the output folds again with itself."""
-    first = F.struct(seq().alias("seq"), *FIRST_WINS, *LINEAGE)
-    last = F.struct(seq().alias("seq"), *LAST_WINS, *LINEAGE)
+    first = F.struct(place().alias("seq"), *FIRST_WINS, *LINEAGE)
+    last = F.struct(place().alias("seq"), *LAST_WINS, *LINEAGE)
     return valid.groupBy(*REVIEW_KEY).agg(
-        F.min_by(first, seq()).alias("first"), F.max_by(last, seq()).alias("last"))
+        F.min_by(first, place()).alias("first"), F.max_by(last, place()).alias("last"))
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
@@ -57,30 +61,27 @@ def reviews_from_partials(partials: DataFrame) -> DataFrame:
         F.col("first.fetched_at").alias("first_seen_at"), F.col("last.fetched_at").alias("last_seen_at"))
 
 
-def seq_number() -> Column:
-    """``seq`` as one number of fixed width, so that minima and maxima are hash aggregates."""
-    wide = T.DecimalType(38, 0)
-    parts = [("run_id", "1000000000000000000000000"), ("app_order", "100000000000000000"), ("page_number", "1000000"), ("entry_pos", "1")]
-    return sum((F.col(c).cast(wide) * F.lit(w).cast(wide) for c, w in parts), F.lit(0).cast(wide)).cast(wide)
-
-
 def review_upsert(valid: DataFrame) -> DataFrame:
     """Canonical reviews. The first and last observation of each review are found on narrow rows; only then are the
-    texts of the first ones fetched. Pass a stored frame, as it is read three times (texts once)."""
-    placed = valid.withColumn("seq_no", seq_number())
-    ends = placed.groupBy(*REVIEW_KEY).agg(F.min("seq_no").alias("first_no"), F.max("seq_no").alias("last_no"))
+    texts of the first ones fetched. Pass a stored frame, as it is read three times (texts once).
+
+    An entry that was landed more than once stays one observation: its first landing gives the first values, its last the latest.
+    """
+    placed = valid.withColumn("seq", seq())
+    ends = placed.groupBy(*REVIEW_KEY).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
-    def at(end: str, columns: tuple[str, ...]) -> DataFrame:
-        winners = ends.select(*REVIEW_KEY, F.col(f"{end}_no").alias("seq_no"))
-        return placed.select(*REVIEW_KEY, "seq_no", F.struct(*columns, *LINEAGE).alias(end)).join(
-            winners, [*REVIEW_KEY, "seq_no"]).drop("seq_no")
+    def at(end: str, columns: tuple[str, ...], pick) -> DataFrame:
+        winners = ends.select(*REVIEW_KEY, F.col(f"{end}_seq").alias("seq"))
+        found = placed.select(*REVIEW_KEY, "seq", place().alias("place"), F.struct(*columns, *LINEAGE).alias(end)).join(
+            winners, [*REVIEW_KEY, "seq"])
+        return found.groupBy(*REVIEW_KEY, "seq").agg(pick(end, "place").alias(end)).drop("seq")
 
-    return reviews_from_partials(at("first", FIRST_WINS).join(at("last", LAST_WINS), REVIEW_KEY))
+    return reviews_from_partials(at("first", FIRST_WINS, F.min_by).join(at("last", LAST_WINS, F.max_by), REVIEW_KEY))
 
 
 def narrow_reviews(valid: DataFrame, *columns: str) -> DataFrame:
     """Canonical reviews with only the named values, so a count by rating shuffles no texts."""
-    chosen = {c: (F.min_by if c in FIRST_WINS else F.max_by)(c, seq()).alias(c) for c in columns}
+    chosen = {c: (F.min_by if c in FIRST_WINS else F.max_by)(c, place()).alias(c) for c in columns}
     return valid.groupBy(*REVIEW_KEY).agg(*chosen.values()).select(
         review_id().alias("review_id"), *REVIEW_KEY, *columns)
 
@@ -89,7 +90,7 @@ def first_last_seen(valid: DataFrame) -> DataFrame:
     """Lineage alone, without carrying text through the shuffle."""
     seen = F.struct(*LINEAGE)
     folded = valid.groupBy(*REVIEW_KEY).agg(
-        F.min_by(seen, seq()).alias("first"), F.max_by(seen, seq()).alias("last"),
+        F.min_by(seen, place()).alias("first"), F.max_by(seen, place()).alias("last"),
         F.count("*").alias("observation_count"))
     return folded.select(
         review_id().alias("review_id"),

@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedfold.operators import accounting, features, flags, fold, health, normalise
-from feedfold.session import join_dimension, written
+from feedfold.session import fresh_path, join_dimension, written
 from feedfold.sources import landing
 from feedfold.sources.cohort import cohort_manifest, dimension_upsert
 from feedfold.sources.lexicon import ISSUE_TERMS, Lexicon
+from feedfold.sources.pages import land_page_files
 
 # By application, inputs (source files, lexicon, entries) and name.
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+_FOLDERS: dict[tuple[str, str, str], str] = {}
 SOURCE_TABLES = ("documents", "events", "labels")
 
 
@@ -68,6 +70,24 @@ class Feed:
     def raw_pages(self) -> DataFrame:
         return landing.raw_pages(self.spark, self.source)
 
+    @cached_property
+    def page_files(self) -> str:
+        """Folder of the landed pages, a JSON file each; written by the first caller."""
+        return self.once("page-files", lambda path: land_page_files(self.raw_pages, path))
+
+    @cached_property
+    def feed_orders(self) -> DataFrame:
+        return written(landing.feed_orders(self.spark, self.source), "feed-orders")
+
+    def once(self, name: str, build: Callable[[str], None]) -> str:
+        """A folder that ``build`` fills, once per application and set of inputs."""
+        key = (self.spark.sparkContext.applicationId, self.inputs, name)
+        if key not in _FOLDERS:
+            path = fresh_path(self.spark, name)
+            build(path)
+            _FOLDERS[key] = path
+        return _FOLDERS[key]
+
     @cached_property
     def entries(self) -> DataFrame:
         return self._entries if self._entries is not None else landing.entries(self.spark, self.source)

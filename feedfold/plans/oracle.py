@@ -81,11 +81,11 @@ _LINK = ("CASE WHEN review_url_raw IS NOT NULL THEN '\"link\":{\"attributes\":{\
          "||',\"rel\":\"related\"}}' END")
 
 CTES: dict[str, str] = {
-    "docs": """SELECT doc_id, text, n_chars, lang AS storefront, substr(source, 4)::BIGINT % 10 AS app_no,
+    "docs": """SELECT doc_id, text, COALESCE(documents.n_chars, length(text), 0) AS n_chars, lang AS storefront, substr(source, 4)::BIGINT % 10 AS app_no,
         COALESCE(list_position(['de','en','es','fr'], lang), 0) AS lang_no,
         'app-'||(substr(source, 4)::BIGINT % 10) AS source_app_id, COALESCE(ts, TIMESTAMP '2026-01-01') AS ts,
         COALESCE(user_id, doc_id) AS user_id, COALESCE(event_type, 'none') AS event_type,
-        COALESCE(floor(value)::BIGINT, 0) AS votes, COALESCE(props->>'k', '0') AS k, (doc_id*31 + n_chars) % 10 AS arrival
+        COALESCE(floor(value)::BIGINT, 0) AS votes, COALESCE(props->>'k', '0') AS k, (doc_id*31 + COALESCE(documents.n_chars, length(text), 0)) % 10 AS arrival
         FROM documents LEFT JOIN events ON doc_id = event_id""",
     "seen": """SELECT d.*, r.run_id, app_no*8 + lang_no AS app_order, doc_id % 41 = 7 AS parser_fallback_used,
         CASE WHEN doc_id % 41 = 7 THEN 1000000 + doc_id ELSE doc_id // 250 + 1 END AS page_number,
@@ -173,7 +173,7 @@ CTES: dict[str, str] = {
     "good": """SELECT * FROM marked WHERE valid AND failed_pos IS NULL""",
     "placed": f"""SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY seq) AS place,
         row_number() OVER (PARTITION BY {_KEY} ORDER BY seq DESC) AS place_back FROM good""",
-    "reviews": f"""SELECT concat_ws('/', a.source_app_id, a.storefront, a.source_review_id) AS review_id,
+    "reviews": f"""SELECT concat_ws('/', a.source_platform, a.source_app_id, a.storefront, a.source_review_id) AS review_id,
         a.doc_id, a.source_platform, a.source_app_id, a.storefront, a.source_review_id, a.rating, a.title, a.body, a.review_url,
         a.source_endpoint, a.published_at, a.detected_language, a.body_char_count, a.body_token_estimate, a.body_fold,
         b.author_fingerprint, b.app_version, b.vote_count, b.vote_sum, b.raw_payload_hash,
@@ -201,7 +201,7 @@ CTES: dict[str, str] = {
             FROM tested WHERE parser_fallback_used
         UNION ALL SELECT {_KEY}, run_id, seq, failed_pos, 'rating_text_mismatch', 'warning', mismatch_detail
             FROM tested WHERE mismatch_detail IS NOT NULL""",
-    "flags": f"""SELECT concat_ws('/', {_KEY}) AS review_id, {_KEY}, flag_type, flag_severity, flag_details,
+    "flags": f"""SELECT concat_ws('/', 'app_store', {_KEY}) AS review_id, {_KEY}, flag_type, flag_severity, flag_details,
         run_id AS created_run_id FROM seen_flags WHERE failed_pos IS NULL
         QUALIFY row_number() OVER (PARTITION BY {_KEY}, flag_type ORDER BY seq) = 1""",
     "feeds": """SELECT DISTINCT substr(source, 4)::BIGINT % 10 AS app_no, lang AS storefront,

@@ -28,8 +28,13 @@ register("cohort_filter", """SELECT source_app_id AS app_id, app_name, vertical_
 
 register("raw_page_source", """SELECT source_app_id, storefront, page_number,
     strftime(fetched_at, '%Y%m%dT%H%M%S%fZ') AS fetch_stamp, length(response_body) AS body_length FROM page_body""")(
-    lambda f: f.raw_pages.select(*pages.page_file_columns("raw_file_path"),
-                                 F.length("response_body").cast("bigint").alias("body_length")))
+    lambda f: pages.read_page_files(f.spark, f.page_files, newline=True).drop("raw_file_path").withColumn(
+        "body_length", F.length("response_body").cast("bigint")).drop("response_body"))
+
+register("landed_page_rows", f"""SELECT {_PAGE}, app_order, {iso('fetched_at')} AS fetched_at, 'app_store' AS source_platform, source_endpoint,
+    sha256(response_body) AS response_hash FROM page_body""")(
+    lambda f: landing.landed_pages(pages.read_page_files(f.spark, f.page_files, newline=True), f.feed_orders).select(
+        *PAGE, "app_order", "fetched_at", "source_platform", "source_endpoint", pages.page_hash().alias("response_hash")))
 
 register("page_hash", f"SELECT {_PAGE}, sha256(response_body) AS response_hash FROM page_body")(
     lambda f: f.raw_pages.select(*PAGE, pages.page_hash().alias("response_hash")))

@@ -29,7 +29,7 @@ register("run_app_details", f"""SELECT c.{_FEED_RUN.replace(', ', ', c.')}, page
 
 register("flag_counts_by_run", """SELECT run_id, flag_type, count(*) AS observed_count,
     (SELECT count(*) FROM flags c WHERE c.created_run_id = s.run_id AND c.flag_type = s.flag_type) AS created_count
-    FROM seen_flags s GROUP BY run_id, flag_type""")(lambda f: accounting.flag_counts(f.observed_flags, f.flags))
+    FROM seen_flags s GROUP BY run_id, flag_type""")(lambda f: accounting.flag_counts(f.observed_flags, f.review_flags))
 
 register("run_status_failed", """SELECT run_id, count(*) FILTER (run_status = 'completed_with_errors') AS feeds_with_errors,
     CASE WHEN run_id IN (SELECT run_id FROM pages_done WHERE parse_error = 'constraint failed') THEN 'failed'

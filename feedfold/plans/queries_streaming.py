@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedfold.operators import accounting
 from feedfold.operators.fold import REVIEW_KEY
 from feedfold.plans.catalog import register
 from feedfold.plans.feed import Feed
 from feedfold.plans.oracle import iso
 from feedfold.session import fresh_path
+from feedfold.sources import landing
 from feedfold.streaming import ingest
+from feedfold.streaming.keyed import KeyedState, upsert_changed
 
 ORACLE_REVIEWERS = f"""SELECT source_platform, author_fingerprint, author_uri, author_label,
     {iso('created')} AS created_at, {iso('fetched_at')} AS updated_at
@@ -25,14 +28,15 @@ _TIMES = ["published_at", "fetched_at"]
 
 def _landed(f: Feed):
     """Write the raw pages to the shared folder, split by run, and open them as a stream."""
-    path = fresh_path(f.spark, "landed")
-    f.raw_pages.write.partitionBy("run_id").parquet(path)
+    path = f.once("landed", lambda path: f.raw_pages.write.partitionBy("run_id").parquet(path))
     return ingest.stream_page_table(f.spark, path, f.raw_pages.schema, files_per_batch=8)
 
 
 def _ingested(f: Feed):
+    """Observations of the landed JSON files."""
     target = fresh_path(f.spark, "observed")
-    ingest.run_batches(_landed(f), ingest.ingest_batch(target), fresh_path(f.spark, "checkpoint"))
+    files = ingest.stream_page_files(f.spark, f.page_files, newline=True)
+    ingest.run_batches(landing.landed_pages(files, f.feed_orders), ingest.ingest_batch(target), fresh_path(f.spark, "checkpoint"))
     return f.spark.read.parquet(target).select(
         *_COLUMNS, *_TIMES, F.array_join("reasons", "|").alias("reasons"))
 
@@ -44,27 +48,35 @@ def _upserted(f: Feed):
 
 
 def _tables(f: Feed) -> str:
-    """Everything the stream writes, in a new folder."""
-    target = fresh_path(f.spark, "tables")
-    ingest.run_batches(_landed(f), ingest.tables_batch(target), fresh_path(f.spark, "checkpoint"))
-    return target
+    """The whole state after all batches, built once."""
+    return f.once("tables", lambda path: ingest.run_batches(
+        _landed(f), ingest.tables_batch(path), fresh_path(f.spark, "checkpoint")))
 
 
 def _compacted(f: Feed):
-    target, compacted = fresh_path(f.spark, "state"), fresh_path(f.spark, "compacted")
-    ingest.run_batches(_landed(f), ingest.upsert_batch(target), fresh_path(f.spark, "checkpoint"))
-    ingest.compact_state(f.spark, target, compacted)
+    compacted = fresh_path(f.spark, "compacted")
+    ingest.compact_state(f.spark, _tables(f), compacted)
     return ingest.read_state(f.spark, compacted).drop("first_seen_at", "last_seen_at", *REVIEW_KEY)
 
 
+def _looked_up(f: Feed):
+    """Canonical reviews of the keys that have a duplicate flag, from their buckets alone."""
+    wanted = ingest.read_flags(f.spark, _tables(f)).filter(F.col("flag_type") == ingest.DUPLICATE)
+    return ingest.read_state(f.spark, _tables(f), wanted.select(*REVIEW_KEY)).drop("first_seen_at", "last_seen_at", *REVIEW_KEY)
+
+
 def _counted(f: Feed):
-    target = fresh_path(f.spark, "counts")
+    """A streaming aggregation in update mode: each batch upserts the runs that it changed."""
+    state = KeyedState(f.spark, fresh_path(f.spark, "counts"), {"runs": ["run_id"]}, buckets=2)
     counts = ingest.stream_run_counts(_landed(f))
-    query = (counts.writeStream.outputMode("complete")
-             .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(target))
+    query = (counts.writeStream.outputMode("update").foreachBatch(upsert_changed(state, "runs"))
              .option("checkpointLocation", fresh_path(f.spark, "checkpoint")).trigger(availableNow=True).start())
     query.awaitTermination()
-    return f.spark.read.parquet(target)
+    return state.read("runs").drop("batch")
+
+
+def _feed_counters(f: Feed):
+    return ingest.read_counters(f.spark, _tables(f), f.requests, f.fetch_log)
 
 
 register("stream_ingest", f"""SELECT {', '.join(_COLUMNS)}, {', '.join(f'{iso(c)} AS {c}' for c in _TIMES)},
@@ -80,8 +92,20 @@ register("stream_rejects", """SELECT run_id, raw_feed_page_id, source_app_id, st
     reasons[1] AS rejection_reason, raw_payload_hash FROM marked WHERE NOT valid AND failed_pos IS NULL""")(
     lambda f: ingest.read_table(f.spark, _tables(f), "rejects").select(
         "run_id", "raw_feed_page_id", "source_app_id", "storefront", "source_review_id", "rejection_reason", "raw_payload_hash"))
-register("stream_counters", """SELECT run_id, source_app_id, storefront, reviews_inserted, reviews_updated, reviews_rejected
-    FROM counters WHERE reviews_inserted + reviews_updated + reviews_rejected > 0""")(lambda f: ingest.read_counters(f.spark, _tables(f)))
+_COUNTS = ", ".join(accounting.COUNTERS)
+register("stream_counters", f"SELECT run_id, source_app_id, storefront, {_COUNTS}, run_status FROM counters")(_feed_counters)
+register("stream_run_counters", f"SELECT run_id, apps_attempted, {_COUNTS}, run_status FROM runs")(
+    lambda f: accounting.run_counters(_feed_counters(f)))
+_FLAGS = "review_id, source_app_id, storefront, source_review_id, flag_type, flag_severity, flag_details, created_run_id"
+register("stream_flags", f"SELECT {_FLAGS} FROM flags")(
+    lambda f: ingest.read_flags(f.spark, _tables(f)).select(*_FLAGS.split(", ")))
+register("stream_flags_created", "SELECT created_run_id, flag_type, count(*) AS flags_created FROM flags GROUP BY ALL")(
+    lambda f: ingest.read_flags(f.spark, _tables(f)).groupBy("created_run_id", "flag_type").agg(F.count("*").alias("flags_created")))
+register("stream_lookup", _STATE + " WHERE review_id IN (SELECT review_id FROM flags WHERE flag_type = 'duplicate_text_within_app')")(
+    _looked_up)
+register("stream_pages", """SELECT run_id, source_app_id, storefront, page_number, parse_status, COALESCE(parse_error, '') AS parse_error
+    FROM pages_done""")(lambda f: ingest.read_table(f.spark, _tables(f), "pages").select(
+    "run_id", "source_app_id", "storefront", "page_number", "parse_status", F.coalesce("parse_error", F.lit("")).alias("parse_error")))
 register("stream_run_stats", """SELECT run_id, count(*) AS pages_fetched,
     sum(CASE WHEN page_is_json THEN entry_count ELSE 0 END)::BIGINT AS reviews_parsed,
     count(*) FILTER (NOT page_is_json) AS unreadable_pages FROM page_parts GROUP BY run_id""")(_counted)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedfold.sources.lexicon import BROAD_TERMS, ISSUE_SIGNALS
+from feedfold.sources.pages import page_rows
 
 PLATFORM = "app_store"
 RUNS = (1, 2, 3)
@@ -43,15 +44,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Events grow with the documents, so this is a sort-merge join at any size: it spills, and it
     # spreads the text work even when the documents arrive as one file. Events only enrich: a
     # document without one takes part with the defaults below.
+    n_chars = F.coalesce("n_chars", F.char_length("text"), F.lit(0))
     return docs.join(events.hint("merge"), docs.doc_id == events.event_id, "left").select(
-        "doc_id", "text", "n_chars", F.col("lang").alias("storefront"),
+        "doc_id", "text", n_chars.alias("n_chars"), F.col("lang").alias("storefront"),
         app_no.alias("app_no"), lang_no.cast("bigint").alias("lang_no"),
         F.concat(F.lit("app-"), app_no).alias("source_app_id"),
         F.coalesce(F.col("ts").cast("timestamp"), F.lit(NO_EVENT_TIME).cast("timestamp")).alias("ts"),
         F.coalesce("user_id", "doc_id").alias("user_id"), F.coalesce("event_type", F.lit("none")).alias("event_type"),
         F.coalesce(F.floor("value"), F.lit(0)).alias("votes"),
         F.coalesce(F.get_json_object("props", "$.k"), F.lit("0")).alias("k"),
-        ((F.col("doc_id") * 31 + F.col("n_chars")) % 10).alias("arrival"))
+        ((F.col("doc_id") * 31 + n_chars) % 10).alias("arrival"))
 
 
 def _observed(docs: DataFrame) -> DataFrame:
@@ -202,6 +204,16 @@ def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.date_format("fetched_at", "yyyyMMdd'T'HHmmssSSSSSS'Z'"), F.lit(".json")).alias("raw_file_path"))
 
 
+def feed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feed with its place in a run."""
+    return _documents(spark, sf_dir).select("source_app_id", "storefront", (F.col("app_no") * 8 + F.col("lang_no")).alias("app_order")).distinct()
+
+
+def landed_pages(files: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Pages from their files, with the columns of ``raw_pages``."""
+    return page_rows(files, feeds, PLATFORM, _endpoint())
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest rows: one per feed found in the documents (reads two narrow columns)."""
     feeds = read_table(spark, sf_dir, "documents").select(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 PAGE_KEY = ["run_id", "source_app_id", "storefront", "page_number"]
 
-# Fixed value: the shape of a landed page's file name.
-FILE_NAME = r"app_([^/_]+)_([^/_]+)_page_(\d+)_(\d{8}T\d{12}Z)\.json$"
+# Fixed value: the shape of a landed page's file name. It may also be a folder's name, with the text in the one file below.
+FILE_NAME = r"app_([^/_]+)_([^/_]+)_page_(\d+)_(\d{8}T\d{12}Z)\.json(?:/[^/]*)?$"
 
 
 def page_file_columns(path: Column | str) -> list[Column]:
@@ -21,11 +21,33 @@ def page_file_columns(path: Column | str) -> list[Column]:
     ]
 
 
-def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed JSON file; the whole file is the response body."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("response_body"), F.col("_metadata.file_path").alias("raw_file_path"))
-    return files.select("*", *page_file_columns("raw_file_path"))
+def read_page_files(spark: SparkSession, path: str, newline: bool = False) -> DataFrame:
+    """One row per landed JSON file; the whole file is the response body (but for the ``newline`` that Spark's writer ends it with)."""
+    return page_files(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True), newline)
+
+
+def page_files(files: DataFrame, newline: bool = False) -> DataFrame:
+    """Body, path and what the path tells, of files read as whole texts."""
+    body = F.col("value")
+    if newline:
+        body = F.when(F.endswith(body, F.lit("\n")), F.left(body, F.length(body) - 1)).otherwise(body)
+    return files.select(body.alias("response_body"), F.col("_metadata.file_path").alias("raw_file_path")).select(
+        "*", *page_file_columns("raw_file_path"))
+
+
+def land_page_files(pages: DataFrame, path: str) -> None:
+    """Write every page as a JSON file of its own, in a folder per run and page that is named like the page's file."""
+    named = pages.select("run_id", F.regexp_extract("raw_file_path", "[^/]+$", 0).alias("file"), "response_body")
+    named.write.mode("append").partitionBy("run_id", "file").text(path)
+
+
+def page_rows(files: DataFrame, feeds: DataFrame, platform: str, endpoint: Column) -> DataFrame:
+    """Landed files as pages: the run and the name's parts, the feed's order (``feeds``: source_app_id, storefront, app_order)."""
+    named = files.select(
+        F.regexp_extract("raw_file_path", r"/run_id=(\d+)/", 1).try_cast("bigint").alias("run_id"),
+        "source_app_id", "storefront", "page_number",
+        F.try_to_timestamp("fetch_stamp", F.lit("yyyyMMdd'T'HHmmssSSSSSS'Z'")).alias("fetched_at"), "response_body", "raw_file_path")
+    return named.join(feeds, ["source_app_id", "storefront"]).withColumns({"source_platform": F.lit(platform), "source_endpoint": endpoint})
 
 
 def page_hash(body: Column | str = "response_body") -> Column:

@@ -251,8 +251,9 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
         "lang", "source", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "term", "n",
         F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("terms"))
     priced = heads.unionByName(entries).groupBy("lang", "block").applyInArrow(_audited(top), PRICED)
-    whole = priced.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = whole.withColumn("rank", F.row_number().over(order))
-    return ranked.filter((F.col("part") == "pair") | (F.col("rank") <= top)).select(
+    whole = written(priced.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")), "prices")
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    pairs, terms = (whole.filter(F.col("part") == part).withColumn("rank", F.row_number().over(order)) for part in ("pair", "term"))
+    # a limit on ranks alone is pushed below the shuffle
+    return pairs.unionByName(terms.filter(F.col("rank") <= top)).select(
         "lang", "source", "part", "item", F.expr("try_cast(value AS BIGINT)").alias("value"), "rank")

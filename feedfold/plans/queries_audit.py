@@ -12,11 +12,12 @@ from feedfold.functions.stats import stable_rank, wilson_columns
 from feedfold.operators import audit_sample as sm
 from feedfold.operators import audit_score as sc
 from feedfold.operators.features import combined_text
+from feedfold.operators.term_index import indexed_terms, matched_by_index
 from feedfold.plans.catalog import register
 from feedfold.plans.oracle import iso, quoted, terms, wilson
 from feedfold.session import fresh_path
 from feedfold.sources import exports, landing
-from feedfold.sources.lexicon import BROAD_TERMS, ISSUE_SIGNALS, ISSUE_TERMS
+from feedfold.sources.lexicon import BROAD_TERMS, ISSUE_SIGNALS, ISSUE_TERMS, lexicon_table
 
 SEED = sm.SEED
 ISSUES = [f"issue_{s}" for s in ISSUE_SIGNALS]
@@ -115,6 +116,27 @@ register("audit_input_check", "SELECT 'duplicate_review_id' AS problem, review_i
     lambda f: exports.audit_input_check(f.features.unionByName(f.features.filter("rating = 1"))))
 register("matched_terms", f"SELECT review_id, {_matched_sql('combined')} AS matched FROM features")(
     lambda f: f.features.select("review_id", F.to_json(sm.matched_terms(combined_text(), f.lexicon)).alias("matched")))
+register("matched_terms_indexed", f"SELECT review_id, {_matched_sql('combined')} AS matched FROM features")(
+    lambda f: matched_by_index(f.features, "review_id", combined_text(), lexicon_table(f.spark, f.lexicon)).select(
+        "review_id", F.to_json("matched").alias("matched")))
+
+# Phrases of three words of the benchmark items as a lexicon: thousands of terms, one join.
+_PUNCTUATED = r"""regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]+', ' ' || chr(1) || ' ', 'g'), '\s+', ' ', 'g')"""
+register("benchmark_phrases", rf"""SELECT phrase AS term, count(*) AS review_count
+    FROM (SELECT DISTINCT ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS phrase FROM (
+        SELECT unnest(range(1, len(ws) - 1)) AS i, ws FROM (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM benchmark)))
+    JOIN (SELECT ' ' || {_PUNCTUATED.format(x="title || chr(10) || body")} || ' ' AS said FROM features) ON contains(said, ' ' || phrase || ' ')
+    GROUP BY phrase""")(lambda f: _phrases(f))
+
+
+def _phrases(f):
+    words = landing.read_table(f.spark, f.source, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1).alias("ws"))
+    phrases = words.select(F.explode(F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 2, F.lit(0))), lambda w, i: F.concat_ws(
+        " ", w, F.get("ws", i + 1), F.get("ws", i + 2)))).alias("term")).distinct()
+    table = phrases.select(F.lit("phrases").alias("signal"), "term", F.lit(0).alias("position"))
+    return indexed_terms(f.features, "review_id", combined_text(), table).groupBy("term").agg(F.count("*").alias("review_count"))
+
+
 register("stable_rank", f"SELECT review_id, sha256('{SEED}:'||review_id) AS rank FROM features")(
     lambda f: f.features.select("review_id", stable_rank("review_id", SEED).alias("rank")))
 register("stratified_core", "SELECT review_id, cell, rank, app_name FROM core", EXTRA)(

@@ -79,6 +79,27 @@ register("feature_export_digest", f"""SELECT count(*) AS row_count, sha256(conca
     lambda f: exports.content_digest(f.features.withColumn("published_at", F.date_format(
         "published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")), "review_id"))
 
+_EDITED = """SELECT * REPLACE (CASE WHEN storefront = 'fr' AND rating = 1 THEN body_word_count + 1 ELSE body_word_count END AS body_word_count,
+    CASE WHEN app_name = 'App 3' THEN NULL ELSE published_hour END AS published_hour) FROM features WHERE app_name <> 'App 4'"""
+_CHANGED = ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in sorted(("body_word_count", "published_hour")))
+register("feature_export_diff", f"""SELECT * FROM (SELECT COALESCE(a.review_id, b.review_id) AS review_id,
+    CASE WHEN b.review_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+    CASE WHEN b.review_id IS NULL THEN '' ELSE concat_ws('|', {_CHANGED}) END AS changed_columns
+    FROM features a LEFT JOIN edited b ON a.review_id = b.review_id) WHERE change = 'removed' OR changed_columns <> ''""",
+         {"edited": _EDITED})(lambda f: exports.export_diff(f.spark, _exported(f, False), _exported(f, True), "review_id"))
+
+
+def _exported(f, edited: bool) -> str:
+    """The feature table as a bucketed export; the edited one has other word counts and hours and lacks an app."""
+    rows = f.features
+    if edited:
+        french = (F.col("storefront") == "fr") & (F.col("rating") == 1)
+        rows = rows.filter(F.col("app_name") != "App 4").withColumns({
+            "body_word_count": F.when(french, F.col("body_word_count") + 1).otherwise(F.col("body_word_count")),
+            "published_hour": F.when(F.col("app_name") != "App 3", F.col("published_hour"))})
+    return f.once(f"export-{edited}", lambda path: exports.write_export(rows, path, "review_id", 64))
+
+
 # --- profiling ------------------------------------------------------------------------------------
 _SPARK_TYPES = {**{c: "string" for c in fe.FEATURE_COLUMNS}, "rating": "bigint", "published_at": "timestamp",
                 **{c: "int" for c in [*FLAGS, *ISSUES, *_TEXT, "quality_flag_count", "has_any_quality_flag",

@@ -56,6 +56,22 @@ register("error_rows", _ERROR_ROWS)(lambda f: accounting.page_errors(f.pages, f.
 _VIEW = ", ".join(c if c not in ("published_at", "first_seen_at", "last_seen_at", "source_app_id") else
                   ("source_app_id" if c == "source_app_id" else f"{iso(c)} AS {c}") for c in exports.TRAINING_COLUMNS)
 register("training_view", f"SELECT {_VIEW} FROM view")(lambda f: f.training_view)
+_PLACED = f"""SELECT review_id, row_number() OVER (ORDER BY published_at DESC, review_id) AS place, {iso('published_at')} AS published_at, body
+    FROM view WHERE detected_language = 'en' AND has_error_flag = 0"""
+
+
+def _ordered_csv(f):
+    """The training CSV read back: every row with its place over all part files."""
+    path = f.once("training-csv", lambda path: exports.write_ordered_csv(exports.training_export(f.training_view, english_only=True), path))
+    rows = exports.read_ordered_csv(f.spark, path, list(exports.TRAINING_COLUMNS))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(
+        F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # a row per part file
+    return rows.join(F.broadcast(before), "part").select(
+        "review_id", (F.col("before") + F.col("line") + 1).alias("place"), "published_at", "body")
+
+
+register("training_csv", _PLACED)(_ordered_csv)
 register("training_export", f"SELECT {_VIEW} FROM view WHERE detected_language = 'en' AND has_error_flag = 0")(
     lambda f: exports.training_export(f.training_view, english_only=True))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,36 @@ def write_training_csv(export: DataFrame, path: str) -> None:
      .write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"'))
 
 
+def write_ordered_csv(export: DataFrame, path: str, newest: str = "published_at", tie: str = "review_id") -> None:
+    """Newest first over the part files: range-partitioned parts, and a manifest that tells their order and span.
+
+    The parts' names follow their ranges; a reader that wants the newest rows opens the first parts only.
+    """
+    ordered = export.repartitionByRange(F.col(newest).desc_nulls_last(), F.col(tie)).sortWithinPartitions(F.col(newest).desc_nulls_last(), F.col(tie))
+    ordered.write.mode("overwrite").csv(f"{path}/rows", header=True, quoteAll=True, escape='"', emptyValue="",
+                                        timestampFormat="yyyy-MM-dd'T'HH:mm:ss'Z'", ignoreLeadingWhiteSpace=False,
+                                        ignoreTrailingWhiteSpace=False)
+    parts = export.sparkSession.read.csv(f"{path}/rows", header=True, schema=_text_schema(export.columns), multiLine=True, escape='"')
+    manifest = parts.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).groupBy("file").agg(
+        F.count("*").alias("row_count"), F.max(newest).alias("newest"), F.min(newest).alias("oldest"))
+    manifest.orderBy("file").coalesce(1).write.mode("overwrite").csv(f"{path}/manifest", header=True)
+
+
+def _text_schema(columns: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
+
+
+def read_ordered_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of an ordered export as text, with ``part`` (the file's place in the manifest) and ``line`` (the row's place in it)."""
+    manifest = spark.read.csv(f"{path}/manifest", header=True, schema="file string, row_count long, newest string, oldest string")
+    names = [r.file for r in manifest.orderBy("file").collect()]  # one row per part file
+    rows = spark.read.csv(f"{path}/rows", header=True, schema=_text_schema(columns), multiLine=True, escape='"')
+    rows = rows.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("row_no"))
+    first = rows.groupBy("file").agg(F.min("row_no").alias("first_no"))
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("file")) if names else F.lit(0)
+    return rows.join(F.broadcast(first), "file").select(*columns, place.alias("part"), (F.col("row_no") - F.col("first_no")).alias("line"))
+
+
 def content_digest(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
     """Order-independent digest of a table: row digests are folded per bucket, then over buckets.
 
@@ -61,6 +91,85 @@ def content_digest(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
         .alias("content_digest"))
 
 
+def row_digest(columns: list[str]) -> Column:
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def export_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def write_export(df: DataFrame, path: str, key: str, buckets: int = 256) -> None:
+    """Write an export in buckets of its key (a power of two of them), with a Merkle tree of digests over the buckets.
+
+    A leaf adds its rows' digests up as exact numbers, so it does not depend on their order and combines before the
+    shuffle; a node is the digest of its two children. The tree has twice as many rows as there are buckets.
+    """
+    if buckets & (buckets - 1):
+        raise ValueError("the number of buckets must be a power of two")
+    named = df.withColumn("bucket", export_bucket(key, buckets))
+    named.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/rows")
+    words = [F.conv(F.substring("digest", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    full = named.select("bucket", row_digest(df.columns).alias("digest")).groupBy("bucket").agg(
+        F.count("*").alias("row_count"), *[F.sum(w).alias(f"w{i}") for i, w in enumerate(words)])
+    every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    leaves = every.join(full, "bucket", "left").select(
+        F.lit(0).alias("level"), F.col("bucket").alias("node"), F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f"w{i}"), F.lit(0)).cast("string") for i in range(4)]), 256).alias("digest"))
+    level = 0
+    leaves.coalesce(1).write.parquet(f"{path}/tree/depth=0")
+    while buckets >> level > 1:
+        below = df.sparkSession.read.parquet(f"{path}/tree/depth={level}")
+        level += 1
+        below.groupBy((F.col("node").bitwiseAND(-2) / 2).cast("int").alias("node")).agg(
+            F.sum("row_count").alias("row_count"),
+            F.sha2(F.concat(F.min_by("digest", "node"), F.max_by("digest", "node")), 256).alias("digest")).select(
+            F.lit(level).alias("level"), "node", "row_count", "digest").coalesce(1).write.parquet(f"{path}/tree/depth={level}")
+
+
+def export_root(spark: SparkSession, path: str) -> DataFrame:
+    """The root of an export's tree: equal for equal rows."""
+    tree = spark.read.parquet(f"{path}/tree")
+    return tree.orderBy(F.desc("level")).limit(1).select("row_count", F.col("digest").alias("content_digest"))
+
+
+def differing_buckets(spark: SparkSession, old: str, new: str) -> list[int]:
+    """Buckets whose digests differ, found from the roots down: equal subtrees are not entered."""
+    trees = [spark.read.parquet(f"{path}/tree") for path in (old, new)]
+    top = [t.agg(F.max("level")).first()[0] for t in trees]
+    if top[0] != top[1]:
+        raise ValueError("the exports have different numbers of buckets")
+    nodes = [0]
+    for level in range(top[0], -1, -1):
+        one, two = (t.filter((F.col("level") == level) & F.col("node").isin(nodes)).select("node", "digest") for t in trees)
+        changed = [r.node for r in one.join(two.withColumnRenamed("digest", "other"), "node").filter("digest <> other").collect()]
+        if level == 0 or not changed:
+            return sorted(changed)
+        nodes = [child for n in changed for child in (2 * n, 2 * n + 1)]
+    return []
+
+
+def export_diff(spark: SparkSession, old: str, new: str, key: str) -> DataFrame:
+    """Rows (key, change, changed_columns) that were added, removed or changed; only buckets that differ are read."""
+    buckets = differing_buckets(spark, old, new)
+
+    def opened(path: str) -> DataFrame:
+        schema = spark.read.parquet(f"{path}/rows").drop("bucket").schema
+        present = {r.node for r in spark.read.parquet(f"{path}/tree").filter("level = 0 AND row_count > 0").select("node").collect()}
+        paths = [f"{path}/rows/bucket={b}" for b in buckets if b in present]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    one, two = opened(old), opened(new)
+    columns = [c for c in two.columns if c != key]
+    one = one.select(F.col(key), F.struct(*[F.col(c) for c in columns]).alias("old"))
+    two = two.select(F.col(key), F.struct(*[F.col(c) for c in columns]).alias("new"))
+    both = one.join(two, key, "full")
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")), F.lit(c)) for c in sorted(columns)]))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.size("differing") > 0, "changed")
+    return both.withColumn("differing", differs).withColumn("change", change).filter("change IS NOT NULL").select(
+        key, "change", F.when(F.col("change") == "changed", F.array_join("differing", "|")).otherwise("").alias("changed_columns"))
+
+
 def json_report(df: DataFrame, key: str) -> DataFrame:
     """One JSON document per report row."""
     return df.select(key, F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("report"))

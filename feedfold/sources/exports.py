@@ -40,17 +40,19 @@ def write_training_csv(export: DataFrame, path: str) -> None:
      .write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"'))
 
 
-def write_ordered_csv(export: DataFrame, path: str, newest: str = "published_at", tie: str = "review_id") -> None:
+def write_ordered_csv(export: DataFrame, path: str, newest: str = "published_at", tie: str = "review_id", parts: int | None = None) -> None:
     """Newest first over the part files: range-partitioned parts, and a manifest that tells their order and span.
 
-    The parts' names follow their ranges; a reader that wants the newest rows opens the first parts only.
+    The parts' names follow their ranges; a reader that wants the newest rows opens the first parts only. Without ``parts`` Spark chooses their number.
     """
-    ordered = export.repartitionByRange(F.col(newest).desc_nulls_last(), F.col(tie)).sortWithinPartitions(F.col(newest).desc_nulls_last(), F.col(tie))
+    order = [F.col(newest).desc_nulls_last(), F.col(tie)]
+    ranged = export.repartitionByRange(parts, *order) if parts else export.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
     ordered.write.mode("overwrite").csv(f"{path}/rows", header=True, quoteAll=True, escape='"', emptyValue="",
                                         timestampFormat="yyyy-MM-dd'T'HH:mm:ss'Z'", ignoreLeadingWhiteSpace=False,
                                         ignoreTrailingWhiteSpace=False)
-    parts = export.sparkSession.read.csv(f"{path}/rows", header=True, schema=_text_schema(export.columns), multiLine=True, escape='"')
-    manifest = parts.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).groupBy("file").agg(
+    landed = export.sparkSession.read.csv(f"{path}/rows", header=True, schema=_text_schema(export.columns), multiLine=True, escape='"')
+    manifest = landed.withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).groupBy("file").agg(
         F.count("*").alias("row_count"), F.max(newest).alias("newest"), F.min(newest).alias("oldest"))
     manifest.orderBy("file").coalesce(1).write.mode("overwrite").csv(f"{path}/manifest", header=True)
 

@@ -58,7 +58,7 @@ def test_ordered_csv_is_newest_first_across_files(spark, tmp_path):
     day = datetime.datetime(2026, 1, 1)
     rows = [(f"r{i:04}", day + datetime.timedelta(hours=rng.randrange(900)), rng.choice(["plain", "two\nlines", 'say "x", y', " padded ", ""])) for i in range(600)]
     frame = spark.createDataFrame(rows, "review_id string, published_at timestamp, body string").repartition(5)
-    exports.write_ordered_csv(frame, str(tmp_path / "csv"))
+    exports.write_ordered_csv(frame, str(tmp_path / "csv"), parts=4)
     back = exports.read_ordered_csv(spark, str(tmp_path / "csv"), frame.columns).orderBy("part", "line").collect()
     want = sorted(rows, key=lambda r: (-r[1].timestamp(), r[0]))
     assert [r.review_id for r in back] == [r[0] for r in want] and [r.body or "" for r in back] == [r[2] for r in want]

@@ -44,7 +44,7 @@ LONGEST_RUN = 4
 # Bytes of text per range of hashes, n-grams that a task holds before it sends them, and commonest n-grams by order that set
 # the scale of the target model.
 RANGE_BYTES = 4 << 20
-HELD_GRAMS = 1 << 19
+HELD_GRAMS = 3 << 18
 COMMONEST = 2000
 # Less than one n-gram in 2**SAFE_BITS shares its hash with another, at any size of the input.
 SAFE_BITS = 20

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -215,36 +216,60 @@ def rank_table(tokenizer_json: str, pattern: str) -> dict[bytes, int] | None:
     return ranks
 
 
+def spelled_tokens(tokenizer_json: str) -> dict[str, int] | None:
+    """Ids of the added tokens that the library reads wherever a text spells them out; None if some depend on what is around them."""
+    added = json.loads(tokenizer_json)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    return {t["content"]: t["id"] for t in added}
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = END_ID, id_col: str = "doc_id",
              text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A stored table of documents as ids and of their places in the queues.
 
     Columns: doc_id, source, queue (a non-null name), part and local_start (tokens of the queue before the document in its part),
     n_tokens and ids (little-endian unsigned, 2 bytes each if the vocabulary allows, else 4); ``end_id`` ends every
-    document. Ids are those of the tokenizers library with no special tokens. Where the file is a rank table in
+    document. Ids are those of the tokenizers library, which adds no special tokens but reads those that a text spells out. Where the file is a rank table in
     disguise, tiktoken makes them; other files and texts over WHOLE_CHARS are encoded by the library, each match of ``pattern`` once per task.
     """
     spark = docs.sparkSession
     whole = Tokenizer.from_file(tokenizer_path)
-    shared = spark.sparkContext.broadcast((whole.to_str(), rank_table(whole.to_str(), pattern)))
+    spec = whole.to_str()
+    shared = spark.sparkContext.broadcast((spec, rank_table(spec, pattern), spelled_tokens(spec)))
     width = 2 if whole.get_vocab_size() <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, ranks = Tokenizer.from_str(shared.value[0]), shared.value[1]
-        tokenizer.encode_special_tokens = True
+        tokenizer, ranks, added = Tokenizer.from_str(shared.value[0]), *shared.value[1:]
+        tokenizer.encode_special_tokens = added is not None
+        # the longest first, as the library reads them
+        spelled = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         quick = ranks and tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         words, store, part, served = regex.compile(pattern), PieceStore(), TaskContext.get().partitionId(), {}
+
+        def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """All ids in a row, and the end of each text in them."""
+            if added is None:
+                found = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.int64) for t in texts]
+                return np.concatenate(found), np.cumsum([len(f) for f in found])
+            if spelled and any(map(spelled.search, texts)):
+                cut = [spelled.split(t) for t in texts]  # every second part is an added token
+                ids, ends = encoded([p for one in cut for p in one[::2]])
+                runs = iter(np.split(ids, ends[:-1]))
+                found = [np.concatenate([[added[p]] if i % 2 else next(runs) for i, p in enumerate(one)]) for one in cut]
+                return np.concatenate(found), np.cumsum([len(f) for f in found])
+            if quick and max(map(len, texts)) <= WHOLE_CHARS:
+                found = [quick.encode_to_numpy(t) for t in texts]
+                return np.concatenate(found), np.cumsum([len(f) for f in found])
+            return encode_texts(texts, words.findall, lambda new: [
+                e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)], store)
+
         for batch in slices(batches, "text", 2 << 20):
             if len(store.index) > REMEMBERED:
                 store = PieceStore()
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            if quick and max(map(len, texts)) <= WHOLE_CHARS:
-                found = [quick.encode_to_numpy(t) for t in texts]
-                ids, ends = np.concatenate(found), np.cumsum([len(f) for f in found])
-            else:
-                ids, ends = encode_texts(texts, words.findall, lambda new: [
-                    e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)], store)
+            ids, ends = encoded(texts)
             counts = np.diff(ends, prepend=0) + 1
             stops = np.cumsum(counts)
             all_ids = np.full(int(stops[-1]), end_id, f"<u{width}")

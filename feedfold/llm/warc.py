@@ -22,6 +22,7 @@ CHUNK_BYTES = 4 << 10
 REVISIT_BYTES = 1000
 # Bounds a file to RECORDS_PER_FILE * SEGMENT_BYTES and the headers.
 RECORDS_PER_FILE = 1024
+SLICE_ROWS = 1 << 14
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORD = ("page_id long, record_type string, record_id string, refers_to_record string, url string, declared_digest string, "
@@ -49,6 +50,24 @@ def _field(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``, from 1 among the rows that repeat id and payload, however many do.
+
+    Rows get a place (partition and position) and are stored. Each slice of SLICE_ROWS places of a partition is numbered by itself
+    and starts after the slices before it, so a name with a third of all rows has a window row per slice and not one per row.
+    """
+    place = F.monotonically_increasing_id()
+    placed = written(rows.withColumn("place", place), "payload-places").withColumn("slice", F.floor(F.col("place") / SLICE_ROWS))
+    counts = placed.groupBy("page_id", "sha", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("page_id", "sha").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy("page_id", "sha", "slice").orderBy("place")
+    names = placed.select("page_id", "sha", "slice", "place").withColumn("nth", F.row_number().over(within))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("page_id", "sha", "slice")]
+    names = names.alias("a").join(starts.alias("b"), same).select("place", (F.col("nth") + F.col("start")).alias("copy"))
+    return placed.drop("slice").join(names, "place").drop("place")
+
+
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
                    segment_bytes: int = SEGMENT_BYTES) -> str:
     """Write a record per row into uncompressed WARC files and return their folder.
@@ -63,10 +82,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     once = rows.groupBy("page_id", "sha", F.octet_length("payload").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     once = written(once, "payload-names")
     repeated = not once.filter("n > 1").isEmpty()
-    same_row = Window.partitionBy("page_id", "sha").orderBy("url")
-    rows = rows.withColumn("copy", F.row_number().over(same_row) if repeated else F.lit(1))
+    rows = written(_numbered(rows), "payloads") if repeated else rows.withColumn("copy", F.lit(1).cast("long"))
     groups = (once.filter(F.col("size") >= REVISIT_BYTES).groupBy("sha")
-              .agg(F.max(F.struct("page_id", F.lit(1).alias("copy"))).alias("keep"), F.sum("n").alias("n")).filter("n > 1"))
+              .agg(F.max(F.struct("page_id", F.lit(1).cast("long").alias("copy"))).alias("keep"), F.sum("n").alias("n")).filter("n > 1"))
     rows = spread_join(rows, written(groups, "payload-groups"), ["sha"], "n", "left")
     own = F.struct("page_id", "copy")
     is_revisit = F.col("keep").isNotNull() & ~own.eqNullSafe(F.col("keep"))
@@ -113,27 +131,37 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at, rows, held = memoryview(content.as_buffer()), 0, [], 0
             raw = content.as_buffer().to_pybytes()
             while at < len(raw):
-                end = raw.index(b"\r\n\r\n", at)
-                lines = raw[at:end].decode().split("\r\n")
+                end = raw.find(b"\r\n\r\n", at)
+                whole = end >= 0
+                lines = raw[at:end if whole else len(raw)].decode(errors="replace").split("\r\n")
                 if not lines[0].startswith("WARC/"):
+                    if not whole and b"WARC/".startswith(raw[at:at + 5]):
+                        break  # a tail of less than a version tells nothing
                     raise ValueError(f"no WARC record at byte {at}")
+                if not whole:
+                    lines.pop()  # may be cut as well
                 field = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-                size = int(field["content-length"])
+                size, start = int(field.get("content-length", 0)), end + 4 if whole else len(raw)
+                torn = not whole or start + size > len(raw)
                 number = int(field.get("warc-segment-number", 0))
                 digest = field.get("warc-payload-digest", "").removeprefix("sha1:").lower()
-                rows.append((int(field["x-page-id"]) if "x-page-id" in field else None, field["warc-type"],
-                             field["warc-record-id"], field.get("warc-refers-to"), field.get("warc-target-uri"), digest or None,
-                             field.get("warc-segment-origin-id", field["warc-record-id"]), number,
-                             int(field["warc-segment-total-length"]) if "warc-segment-total-length" in field else None,
-                             bytes(data[end + 4:end + 4 + size])))
-                at, held = end + 4 + size + 4, held + size
-                if held > 4 << 20 or at >= len(raw):
+                name = field.get("warc-record-id")
+                if name is not None:
+                    rows.append((int(field["x-page-id"]) if "x-page-id" in field else None, field.get("warc-type"),
+                                 name, field.get("warc-refers-to"), field.get("warc-target-uri"), digest or None,
+                                 field.get("warc-segment-origin-id", name), number,
+                                 int(field["warc-segment-total-length"]) if "warc-segment-total-length" in field else None,
+                                 None if torn else bytes(data[start:start + size])))
+                at, held = start + size + 4, held + size
+                if rows and (held > 4 << 20 or at >= len(raw)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def unchunk(message: bytes) -> bytes | None:
-    """The payload of an HTTP message, with chunked framing undone; None if it is cut short."""
+    """The payload of an HTTP message, with chunked framing undone; None if it is cut short or a chunk has no size."""
     head, gap, body = message.partition(b"\r\n\r\n")
     if not gap:
         return None
@@ -144,7 +172,10 @@ def unchunk(message: bytes) -> bytes | None:
         line = body.find(b"\r\n", at)
         if line < 0:
             return None
-        size = int(body[at:line].split(b";")[0], 16)
+        digits = body[at:line].split(b";")[0].strip()
+        if not digits or digits.strip(b"0123456789abcdefABCDEF"):
+            return None
+        size = int(digits, 16)
         if not size:
             return b"".join(out)
         if len(body) < line + 2 + size + 2:
@@ -165,7 +196,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Columns: page_id, record_type, record_id, refers_to_record, url, declared_digest, n_segments, complete (all segments are
     there once and add up to the total length) and payload (null for revisits and records that are not complete). A record's segments may lie in
-    any files. Continuations without an origin make a row of type continuation.
+    any files. Where a file is cut, its last record is not complete; it is left out if its identifier is cut off too. Continuations without an origin make a row of type continuation.
     """
     records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORD)
     first = [F.max_by(c, F.col("segment") == 1).alias(c) for c in
@@ -175,10 +206,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                    F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts")))
     in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
     block = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
-    complete = in_order & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))
+    there = ~F.exists("parts", lambda p: p["block"].isNull())  # a torn segment has no block
+    complete = in_order & there & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False))
     joined = joined.withColumn("block", block).withColumn("complete", complete)
     columns = ["page_id", "record_type", "record_id", "refers_to_record", "url", "declared_digest", "n_segments", "complete"]
-    whole = (records.filter("segment = 0").withColumn("n_segments", F.lit(1).cast("long")).withColumn("complete", F.lit(True))
+    whole = (records.filter("segment = 0").withColumn("n_segments", F.lit(1).cast("long")).withColumn("complete", F.col("block").isNotNull())
              .select(*columns, "block"))
     both = whole.unionByName(joined.select(*columns, F.when(F.col("complete"), F.col("block")).alias("block")))
     return both.mapInArrow(_payloads, "page_id long, record_type string, record_id string, refers_to_record string, url string, "

@@ -303,3 +303,42 @@ def test_pipeline(spark):
     for i in plain[:25]:
         ids = np.array(ids_of(docs[i].text), "<u4")
         assert all(zlib.crc32(ids[r.start:r.start + r.length].tobytes()) == r.ids_crc32 for r in by_doc[i])
+
+
+def test_a_cut_archive_ends_in_an_incomplete_record(spark, tmp_path):
+    rows = [(i, f"http://a.com/{i}", "x" * 300) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages)
+    files = [bytes(r.content).decode() for r in spark.read.format("binaryFile").load(path).collect()]
+    data = next(x for x in files if x)
+    last = data.rindex("WARC/1.1")
+    name = data.index("WARC-Record-ID", last)
+    for cut in (last + 3, name + 4, name + 70, data.index("\r\n\r\n", last) + 40, len(data) - 60):
+        (tmp_path / str(cut)).mkdir()
+        (tmp_path / str(cut) / "cut.warc").write_bytes(data[:cut].encode())
+        got = [(r.complete, r.payload and bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path / str(cut))).collect()]
+        assert sorted(got, key=str)[-2:] == [(True, b"x" * 300)] * 2
+        assert [x for x in got if not x[0]] == [(False, None)] * (cut > name + 60) and len(got) == 2 + (cut > name + 60)
+    assert warc.unchunk(warc.HTTP_HEAD.encode() + b"zz\r\nab\r\n0\r\n\r\n") is None
+
+
+def test_rows_of_one_id_and_payload_are_numbered_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SLICE_ROWS", 16)
+    rows = spark.range(0, 600, 1, 4).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("page_id"), F.lit("u").alias("url"), (F.col("id") % 2).cast("string").alias("sha"))
+    got = collections.defaultdict(list)
+    for r in warc._numbered(rows).collect():
+        got[r.page_id, r.sha].append(r.copy)
+    assert sum(map(len, got.values())) == 600 and len(got) == 16
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in got.values())
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 0])
+def test_special_tokens_in_a_text_are_read_as_the_library_does(make_docs, monkeypatch, whole):
+    monkeypatch.setattr(packing, "WHOLE_CHARS", whole)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "plain <|endoftext", None, "", "two\n<|endoftext|>\n"]
+    library = Tokenizer.from_file(JSON)
+    rows = packing.tokenize(make_docs(list(enumerate(texts))), JSON, public_tokenizers.PATTERN).collect()
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in rows}
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert 50256 in got[0]

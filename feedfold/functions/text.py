@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import string
+import sys
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,9 +45,18 @@ def clean_text(value: Column | str, empty_as_none: bool = False) -> Column:
     return F.nullif(text, F.lit("")) if empty_as_none else F.coalesce(text, F.lit(""))
 
 
+@cache
+def _other_digits() -> tuple[str, str]:
+    """The decimal digits beyond ASCII, and the ASCII digits they stand for."""
+    found = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal())
+    return found, "".join(str(int(c)) for c in found)
+
+
 def safe_int(value: Column | str) -> Column:
-    """Integer text (sign, digits, single underscores, outer whitespace) to BIGINT, else NULL."""
-    digits = F.regexp_extract(strip(_col(value).cast("string")), r"\A[+-]?[0-9]+(?:_[0-9]+)*\z", 0)
+    """Integer text (sign, decimal digits of any script, single underscores, outer whitespace) to BIGINT, else NULL."""
+    text = strip(_col(value).cast("string"))
+    text = F.when(is_ascii(text), text).otherwise(F.translate(text, *_other_digits()))
+    digits = F.regexp_extract(text, r"\A[+-]?[0-9]+(?:_[0-9]+)*\z", 0)
     return F.replace(digits, F.lit("_"), F.lit("")).try_cast("bigint")
 
 
@@ -62,13 +73,30 @@ _ISO = {
 _CANONICAL = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)\z"
 
 
+# ISO week date, extended or compact; the weekday may be left out.
+_ISO_WEEK = r"\A(\d{4})(?:-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)(?![\d-])"
+
+
+def _week_date_as_date(text: Column) -> Column:
+    """A week date at the start of ``text`` as year, month and day; unchanged where there is none or no such week."""
+    def number(*groups: int) -> Column:
+        return F.nullif(F.concat(*[F.regexp_extract(text, _ISO_WEEK, g) for g in groups]), F.lit("")).cast("int")
+
+    year, week, day = number(1), number(2, 4), F.coalesce(number(3, 5), F.lit(1))
+    january = F.when(year.between(1, 9999), F.make_date(year, F.lit(1), F.lit(4)))  # is always in week 1
+    date = F.date_add(F.date_sub(january, F.weekday(january)), (week - 1) * 7 + day - 1)
+    exists = day.between(1, 7) & (F.weekofyear(date) == week) & (F.extract(F.lit("YEAROFWEEK"), date) == year)
+    plain = F.concat(F.date_format(date, "yyyy-MM-dd"), F.regexp_replace(text, _ISO_WEEK, ""))
+    return F.when(F.substring(text, 5, 2).contains("W"), F.when(exists, plain)).otherwise(text)
+
+
 def parse_timestamp(value: Column | str) -> Column:
-    """ISO text to TIMESTAMP; without an offset it is UTC, fractions are cut, bad input is NULL.
+    """ISO text (calendar or week date) to TIMESTAMP; without an offset it is UTC, fractions are cut, bad input is NULL.
 
     Each accepted form is rewritten to one canonical text in a chain of replacements; whatever is not
     canonical in the end was not ISO and casts to NULL.
     """
-    text = strip(_col(value).cast("string"))
+    text = _week_date_as_date(strip(_col(value).cast("string")))
     for pattern, canonical in _ISO.items():
         text = F.regexp_replace(text, pattern, canonical)
     text = F.regexp_replace(text, r"(T[\d:]{8})\z", "$1Z")

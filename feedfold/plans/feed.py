@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedfold.operators import accounting, features, flags, fold, health, normalise
+from feedfold.operators import accounting, features, flags, fold, health, normalise, sketches
 from feedfold.session import fresh_path, join_dimension, written
 from feedfold.sources import landing
 from feedfold.sources.cohort import cohort_manifest, dimension_upsert
@@ -190,6 +190,20 @@ class Feed:
     def features(self) -> DataFrame:
         return self.stored("features", features.review_features(self.training_view, self.review_flags, self.lexicon))
 
+    @cached_property
+    def column_sketches(self) -> DataFrame:
+        """Stored per run that saw a review first; later runs only add their own."""
+        return self.stored("column-sketches", lambda: sketches.column_sketches(self._by_run, "first_seen_run_id"))
+
+    @cached_property
+    def length_sketches(self) -> DataFrame:
+        return self.stored("length-sketches", lambda: sketches.quantile_sketches(
+            self._by_run, ["first_seen_run_id", "weak_label"], ["body_char_count", "body_word_count"]))
+
+    @property
+    def _by_run(self) -> DataFrame:
+        return self.features.join(self.reviews.select("review_id", "first_seen_run_id"), "review_id")
+
     def with_names(self, df: DataFrame) -> DataFrame:
         names = self.dims["apps"].select("source_app_id", "app_name", "vertical_name")
         return join_dimension(df, names, ["source_app_id"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedfold.functions.text import has_term
 from feedfold.operators import features as fe
-from feedfold.operators import profile
+from feedfold.operators import profile, sketches
 from feedfold.operators.flags import FLAG_TYPES
 from feedfold.plans.catalog import register
 from feedfold.plans.oracle import iso, terms
@@ -110,6 +110,17 @@ register("column_profile", " UNION ALL ".join(
     f"count(DISTINCT {c}) + max(({c} IS NULL)::INTEGER) AS unique_values FROM features" for c in fe.FEATURE_COLUMNS))(
     lambda f: profile.column_profile(f.features))
 
+_MERGED = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{_SPARK_TYPES[c]}' AS dtype, count(*) AS row_count, count(*) FILTER ({c} IS NULL) AS missing_count, "
+    f"count(DISTINCT {c}) + max(({c} IS NULL)::INTEGER) AS n FROM features" for c in fe.FEATURE_COLUMNS)
+register("column_profile_merged", f"""SELECT column_name, dtype, row_count, missing_count,
+    CASE WHEN n <= {sketches.FEW_VALUES} THEN n END AS few_values FROM ({_MERGED})""")(
+    lambda f: sketches.merged_columns(f.column_sketches).drop("unique_estimate"))
+
+register("length_range_merged", " UNION ALL ".join(f"""SELECT weak_label, '{c}' AS variable, count({c}) AS n, min({c})::BIGINT AS min,
+    max({c})::BIGINT AS max FROM features GROUP BY weak_label""" for c in ("body_char_count", "body_word_count")))(
+    lambda f: sketches.merged_quantiles(f.length_sketches, ["weak_label"], {}))
+
 register("value_shares", " UNION ALL ".join([
     """SELECT 'rating' AS variable, rating::VARCHAR AS value, count(*) AS row_count,
         round(count(*)::DOUBLE / (SELECT count(*) FROM features), 9) AS share FROM features GROUP BY rating""",

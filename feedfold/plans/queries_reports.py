@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedfold.operators import accounting, comparison, health
+from feedfold.operators import accounting, comparison, health, reports
 from feedfold.plans.catalog import register
 from feedfold.plans.oracle import iso
 from feedfold.sources import exports
@@ -232,3 +232,46 @@ _REPORT = """'{"apps_attempted":'||apps_attempted||',"failed_requests":'||failed
     ',"run_status":"'||run_status||'"}'"""
 register("run_report_json", f"SELECT run_id, {_REPORT} AS report FROM runs")(
     lambda f: exports.json_report(f.runs.drop("started_at", "completed_at"), "run_id"))
+
+_STATS = ", ".join(f"{c} := {{0}}{c}" for c in sorted(accounting.COUNTERS))
+_PAGED = f"""SELECT run_id, source_app_id, storefront, list(struct_pack(entry_count := entry_count, page_number := page_number,
+    parse_error := parse_error, parse_status := parse_status, response_hash := response_hash) ORDER BY page_number, response_hash) AS items
+    FROM (SELECT p.run_id, p.source_app_id, p.storefront, p.page_number, sha256(response_body) AS response_hash,
+        CASE WHEN page_is_json THEN id_count ELSE 0 END AS entry_count, parse_status,
+        CASE WHEN NOT page_is_json THEN 'invalid JSON' ELSE parse_error END AS parse_error
+        FROM page_body p JOIN (SELECT run_id, source_app_id, storefront, page_number, parse_status, parse_error FROM pages_done) d
+        USING (run_id, source_app_id, storefront, page_number)) GROUP BY ALL"""
+_FEEDS = f"""SELECT run_id, list(struct_pack(pages := COALESCE(items, [])[1:{reports.MOST_PAGES}],
+    pages_left_out := greatest(len(COALESCE(items, [])) - {reports.MOST_PAGES}, 0), run_status := c.run_status, source_app_id := source_app_id,
+    stats := struct_pack({_STATS.format('c.')}), storefront := storefront) ORDER BY source_app_id, storefront) AS items
+    FROM counters c LEFT JOIN paged USING (run_id, source_app_id, storefront) GROUP BY run_id"""
+register("run_documents", f"""SELECT run_id, to_json(struct_pack(feeds := items[1:{reports.MOST_FEEDS}],
+    feeds_left_out := greatest(len(items) - {reports.MOST_FEEDS}, 0), run_id := run_id,
+    stats := struct_pack(apps_attempted := apps_attempted, {_STATS.format('r.')}), status := r.run_status))::VARCHAR AS report
+    FROM runs r LEFT JOIN listed USING (run_id)""", {"paged": _PAGED, "listed": _FEEDS})(
+    lambda f: reports.run_documents(f.runs, f.stored_counters, comparison.run_pages(comparison.raw_observations(f.raw_pages), f.pages)))
+
+_CHANGED = """SELECT count(*) AS n, count(*) FILTER (h > 1) AS hashes, count(*) FILTER (w > 1) AS windows FROM (
+    SELECT count(DISTINCT sha256(response_body)) AS h, count(DISTINCT CASE WHEN page_is_json THEN COALESCE(ids, '') ELSE '' END) AS w
+    FROM page_body GROUP BY source_app_id, storefront, page_number) WHERE h > 1 OR w > 1"""
+_INVALID = "source_review_id IS NULL OR rating IS NULL OR body IS NULL OR length(trim(body)) = 0 OR published_at IS NULL"
+_FACTS = f"""SELECT (SELECT '{{'||string_agg('"'||gate||'":'||passed::VARCHAR, ',' ORDER BY gate)||'}}' FROM gates) AS gates,
+    (SELECT to_json(struct_pack(canonical_reviews := count(*), repeated_observation_updates := (SELECT count(*) FROM placed WHERE place > 1),
+        unique_source_keys := count(DISTINCT review_id)))::VARCHAR FROM reviews) AS duplicates,
+    (SELECT to_json(struct_pack(apps_represented := count(DISTINCT source_app_id),
+        english_without_error_rows := (SELECT count(*) FROM view WHERE detected_language = 'en' AND has_error_flag = 0),
+        invalid_required := count(*) FILTER ({_INVALID}), total_reviews := count(*), unique_source_keys := count(DISTINCT review_id),
+        verticals_represented := (SELECT count(DISTINCT vertical_name) FROM view)))::VARCHAR FROM reviews) AS export,
+    (SELECT '{{'||COALESCE(string_agg('"'||flag_type||'":'||n, ',' ORDER BY flag_type), '')||'}}' FROM (
+        SELECT flag_type, count(*) AS n FROM seen_flags GROUP BY ALL)) AS flags, (SELECT bool_and(passed) FROM gates)::VARCHAR AS ready,
+    (SELECT to_json(list(struct_pack(failed_requests := failed_requests, reviews_inserted := reviews_inserted, run_id := run_id,
+        run_status := run_status) ORDER BY run_id DESC)[1:{reports.MOST_RUNS}])::VARCHAR FROM runs) AS latest,
+    (SELECT greatest(count(*) - {reports.MOST_RUNS}, 0) FROM runs) AS more,
+    (SELECT to_json(struct_pack(changed_pages := n, hash_changed := hashes, window_changed := windows))::VARCHAR FROM changed) AS changes"""
+register("validation_document", """SELECT '{"acceptance_gates":'||gates||',"duplicate_behavior":'||duplicates||',"export":'||export||
+    ',"quality_flags_by_type":'||flags||',"ready_for_ds":'||ready||',"runs":'||latest||',"runs_left_out":'||more||
+    ',"window_changes":'||changes||'}' AS report FROM facts""",
+         {"q": _GATES[len("q AS ("):-1], "gates": _GATE_ROWS, "changed": _CHANGED, "facts": _FACTS})(
+    lambda f: reports.validation_document(
+        f.reviews, f.training_view, f.runs, accounting.flag_count_map(accounting.flag_counts(f.observed_flags, f.review_flags)),
+        comparison.window_changes(comparison.raw_observations(f.raw_pages))))

@@ -34,6 +34,21 @@ def test_timestamp(spark, given, expected):
     assert (got and got.strftime("%Y-%m-%d %H:%M:%S")) == expected
 
 
+def test_week_dates_and_digits_of_other_scripts(spark):
+    given = ["2026-W26-3T08:30:00Z", "2026W263", "2026-W26", "2026W26T10", "2020-W53-7", "2021-W53-1", "2026-W00-1", "2026-W26-8",
+             "2026-W263", "2026W26-3", "2026-W26-30", "2009-W01-1", "2026-W27 08:30+02:00", "W26"]
+    def python(text):
+        try:
+            parsed = datetime.datetime.fromisoformat(text.replace("Z", "+00:00"))
+        except ValueError:
+            return None
+        return parsed.replace(tzinfo=parsed.tzinfo or datetime.UTC).astimezone(datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
+    got = [v and v.strftime("%Y-%m-%d %H:%M:%S") for v in values(spark, given, tx.parse_timestamp)]
+    assert got == [python(x) for x in given] and sum(x is not None for x in got) == 7
+    digits = ["٤٢", "-१२", "４_２", "𝟗", "5٤", "²", "Ⅳ", "٤.٢"]
+    assert values(spark, digits, tx.safe_int) == [42, -12, 42, 9, 54, None, None, None]
+
+
 def test_language(spark):
     assert values(spark, ["I love this app", "good", "it is ok", "12345 !!", "", "прекрасное приложение", "äöüßäöüß abc defg",
                           "naïve resume of a long text", "Abcdefghijkl"], tx.detect_language) == [

@@ -50,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_classifier", quality_classifier), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
           ("pii_surrogates", pii_surrogates), ("packing", packing)]
 
-# Resampling, chosen paths, keyed surrogates and tokenising are beyond SQL; tests compare the run with brute force.
+# Resampling, chosen paths, keyed surrogates and tokenising are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedfold.functions.json_text import allow_repeated_keys, parse_document, unmarked, written_json
 from feedfold.sources.pages import has_next_page, page_hash
 
 # An entry is a review when any of these keys exists.
@@ -27,7 +28,7 @@ LABELLED_FIELDS = {
 
 def scalar_text(value: Column) -> Column:
     """Text of a variant: a number written with a fraction keeps one, so it is not read as an integer."""
-    return spelled(F.schema_of_variant(value), F.try_variant_get(value, "$", "string"))
+    return spelled(F.schema_of_variant(value), unmarked(F.try_variant_get(value, "$", "string")))
 
 
 def spelled(kind: Column, text: Column) -> Column:
@@ -45,11 +46,13 @@ def label_value(entry: Column, path: str) -> Column:
 
 
 def attribute_text(entry: Column, field: str, attribute: str) -> Column:
-    return F.try_variant_get(entry, f"$.{field}.attributes.{attribute}", "string")
+    return unmarked(F.try_variant_get(entry, f"$.{field}.attributes.{attribute}", "string"))
 
 
 def with_document(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("document", F.try_parse_json("response_body"))
+    """Add ``document``, whose numbers keep their spelling; of a repeated key the last one counts."""
+    allow_repeated_keys(pages.sparkSession)
+    return pages.withColumn("document", parse_document("response_body"))
 
 
 def entry_list(document: Column) -> Column:
@@ -88,10 +91,10 @@ def extract_entries(pages: DataFrame) -> DataFrame:
     entry, kept = F.col("entry"), [c for c in pages.columns if c != "response_body"]
     values = explode_entries(pages).filter(is_review(entry)).select(
         *kept, "entry_pos", *[label_value(entry, path).alias(name) for name, path in LABELLED_FIELDS.items()],
-        attribute_text(entry, "link", "href").alias("review_url_raw"), F.to_json(entry).alias("raw_record"), "parser_fallback_used")
+        attribute_text(entry, "link", "href").alias("review_url_raw"), written_json(entry).alias("raw_record"), "parser_fallback_used")
     read = values.withColumns({
         **{f"{name}_kind": F.schema_of_variant(name) for name in LABELLED_FIELDS},
-        **{name: F.try_variant_get(name, "$", "string") for name in LABELLED_FIELDS}})
+        **{name: unmarked(F.try_variant_get(name, "$", "string")) for name in LABELLED_FIELDS}})
     return read.select(
         *kept, "entry_pos", *[spelled(F.col(f"{name}_kind"), F.col(name)).alias(name) for name in LABELLED_FIELDS],
         "review_url_raw", "raw_record", "parser_fallback_used")

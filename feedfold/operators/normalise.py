@@ -14,11 +14,6 @@ REASONS = ("missing_review_id", "missing_or_invalid_rating", "rating_out_of_rang
            "invalid_timestamp", "broken_record_structure")
 
 
-def canonical_json(value: Column | str) -> Column:
-    """Sorted keys, compact separators, non-ASCII kept."""
-    return F.to_json(F.try_parse_json(value))
-
-
 def payload_hash(canonical: Column | str = "raw_record") -> Column:
     return F.sha2(canonical, 256)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedfold.functions import json_text
 from feedfold.functions import text as tx
 from feedfold.operators import accounting, audit_sample, comparison, entries, normalise
 from feedfold.plans.catalog import register
@@ -107,7 +108,13 @@ register("detect_language", f"SELECT {_ID}, detected_language FROM obs")(
 
 register("canonical_json", f"SELECT {_PAGE}, id_raw, raw_record FROM entry WHERE page_is_json")(
     lambda f: entries.extract_entries(f.raw_pages).select(
-        *PAGE, "id_raw", normalise.canonical_json("raw_record").alias("raw_record")))
+        *PAGE, "id_raw", json_text.canonical_json("raw_record").alias("raw_record")))
+
+# Every line as a payload with floats from 1e-13 to 1e18, whole numbers beyond 64 bits, a repeated key and keys out of order.
+register("canonical_numbers", """SELECT l_orderkey, l_linenumber, '{"Big":'||l_orderkey||'00000000000000000000,"huge":'
+    ||(l_extendedprice * 1e13)::VARCHAR||',"nested":{"discount":'||l_discount::VARCHAR||',"price":'||l_extendedprice::VARCHAR
+    ||'},"tiny":['||(l_extendedprice * 1e-9)::VARCHAR||','||(-l_discount * 1e-9)::VARCHAR||']}' AS payload FROM lineitem""")(
+    lambda f: landing.canonical_payloads(f.spark, f.source))
 
 register("payload_hash", f"SELECT {_PAGE}, id_raw, sha256(raw_record) AS raw_payload_hash FROM entry WHERE page_is_json")(
     lambda f: entries.extract_entries(f.raw_pages).select(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedfold.functions import json_text
 from feedfold.sources.lexicon import BROAD_TERMS, ISSUE_SIGNALS
 from feedfold.sources.pages import page_rows
 
@@ -282,3 +283,15 @@ def annotations(spark: SparkSession, sf_dir: str, manifest: DataFrame, recheck:
         *[relevance(i).alias(f"issue_{s}_relevance") for i, s in enumerate(ISSUE_SIGNALS)],
         *[relevance(7 + i).alias(f"{t}_term_relevance") for i, t in enumerate(BROAD_TERMS)],
         F.lit("").alias("annotation_notes"))
+
+
+def canonical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical JSON of a payload per order line, as a sender that does not sort or spell alike would write it."""
+    json_text.allow_repeated_keys(spark)
+    price, discount = F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double")
+    payload = F.concat(
+        F.lit('{"tiny": [1.0], "nested": {"price": '), price.cast("string"), F.lit(', "discount": '), F.format_string("%.3E", discount),
+        F.lit('},\n "huge": '), (price * 1e13).cast("string"), F.lit(', "tiny": ['), (price * 1e-9).cast("string"), F.lit(" , "),
+        (-discount * 1e-9).cast("string"), F.lit('], "Big": '), F.col("l_orderkey").cast("string"), F.lit("00000000000000000000}"))
+    return read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", json_text.canonical_json(payload).alias("payload"))

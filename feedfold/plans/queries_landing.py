@@ -111,7 +111,7 @@ register("canonical_json", f"SELECT {_PAGE}, id_raw, raw_record FROM entry WHERE
         *PAGE, "id_raw", json_text.canonical_json("raw_record").alias("raw_record")))
 
 # Every line as a payload with floats from 1e-13 to 1e18, whole numbers beyond 64 bits, a repeated key and keys out of order.
-register("canonical_numbers", """SELECT l_orderkey, l_linenumber, '{"Big":'||l_orderkey||'00000000000000000000,"huge":'
+register("canonical_numbers", """SELECT l_orderkey, l_linenumber, '{"Big":1'||l_orderkey||'00000000000000000000,"huge":'
     ||(l_extendedprice * 1e13)::VARCHAR||',"nested":{"discount":'||l_discount::VARCHAR||',"price":'||l_extendedprice::VARCHAR
     ||'},"tiny":['||(l_extendedprice * 1e-9)::VARCHAR||','||(-l_discount * 1e-9)::VARCHAR||']}' AS payload FROM lineitem""")(
     lambda f: landing.canonical_payloads(f.spark, f.source))

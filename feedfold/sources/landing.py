@@ -292,6 +292,6 @@ def canonical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.concat(
         F.lit('{"tiny": [1.0], "nested": {"price": '), price.cast("string"), F.lit(', "discount": '), F.format_string("%.3E", discount),
         F.lit('},\n "huge": '), (price * 1e13).cast("string"), F.lit(', "tiny": ['), (price * 1e-9).cast("string"), F.lit(" , "),
-        (-discount * 1e-9).cast("string"), F.lit('], "Big": '), F.col("l_orderkey").cast("string"), F.lit("00000000000000000000}"))
+        (-discount * 1e-9).cast("string"), F.lit('], "Big": 1'), F.col("l_orderkey").cast("string"), F.lit("00000000000000000000}"))
     return read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", json_text.canonical_json(payload).alias("payload"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedfold.operators import flags, fold, normalise
+from feedfold.plans import queries_streaming
 from feedfold.sources import landing, pages
 from feedfold.streaming import ingest
 from feedfold.streaming.keyed import VERSIONS, KeyedState, upsert_changed
@@ -168,3 +169,26 @@ def test_documents_without_a_length_take_part(spark, tmp_path):
     columns = ["run_id", "source_app_id", "page_number", "entry_pos", "rating_raw"]
     whole, part = (landing.entries(spark, d).select(*columns) for d in (source, str(tmp_path)))
     assert rows_of(whole) == rows_of(part)
+
+
+def test_batches_stay_few_and_buckets_grow_with_what_landed(spark, make_pages, tmp_path):
+    """However many files have landed, a drain rewrites the state a bounded number of times, over buckets of bounded size."""
+    for files in (1, 8, 33, 600, 20_000):
+        assert -(-files // queries_streaming.files_per_batch(files)) <= queries_streaming.MOST_BATCHES
+    assert queries_streaming.state_buckets(1) == 8 and queries_streaming.state_buckets(10 << 30) == 160
+    landed = str(tmp_path / "landed")
+    frame = make_pages([(1, 0, "a", page, page_body([review(page)])) for page in range(1, 41)])
+    frame.repartition(40, "page_number").write.option("maxRecordsPerFile", 1).parquet(landed)
+    files, size = ingest.landed_size(spark, landed)
+    assert files == len(list((tmp_path / "landed").glob("*.parquet"))) == 40 and size > 0
+    ids, target, checkpoint = [], str(tmp_path / "state"), str(tmp_path / "checkpoint")
+    handle = ingest.upsert_batch(target)
+    stream = ingest.stream_page_table(spark, landed, frame.schema, queries_streaming.files_per_batch(files))
+    ingest.run_batches(stream, lambda pages, batch: (ids.append(batch), handle(pages, batch)), checkpoint)
+    assert len(ids) == queries_streaming.MOST_BATCHES and ingest.read_state(spark, target).count() == 40
+
+
+def test_stored_observations_keep_payloads_of_rejects_only(spark, make_pages):
+    observed = ingest.observe(make_pages([(1, 0, "a", 1, page_body([review(1), review(2, "7")]))]))
+    kept = {r.source_review_id: r.raw_record for r in normalise.reject_payloads(observed).collect()}
+    assert kept["review-1"] is None and '"7"' in kept["review-2"]

@@ -1,9 +1,11 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedfold.functions import text as tx
+from feedfold.operators import flags
 
 
 def values(spark, inputs, build):
@@ -81,3 +83,28 @@ def test_fold_and_fingerprint(spark):
     df = spark.createDataFrame([("u", "l"), (None, "l"), (None, None)], "uri string, label string")
     prints = [r[0] for r in df.select(tx.author_fingerprint(F.lit("p"), "uri", "label")).collect()]
     assert prints[2] is None and len({prints[0], prints[1]}) == 2 and len(prints[0]) == 64
+
+
+ROUGH = ["a\tb", "a \tb", "\t\ta  b\t", "a\u2003b \u3000c d", "é\n\n\nb\tc", "x\n\n\n\ny", "\u00a0a\u00a0", "a\x1cb", " ", "", None, "plain text", "ü  ü"]
+
+
+def test_cleaning_and_flattening_equal_plain_python(spark):
+    def clean(text):
+        text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
+        return re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", text)).strip()
+    assert values(spark, ROUGH, tx.clean_text) == [clean(x) for x in ROUGH]
+    assert values(spark, ROUGH, tx.flat_text) == [x if x is None else " ".join(x.split()) for x in ROUGH]
+
+
+def test_only_texts_that_change_are_cleaned(spark):
+    """The pattern runs behind a plain look for what it replaces."""
+    plan = spark.createDataFrame([("a",)], "x string").select(tx.clean_text("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan or "contains(" in plan.lower()
+
+
+def test_words_of_the_mismatch_rule_equal_plain_python(spark):
+    given = ["great", "so (great), really", "great-ish", "a.great", "greatly", "'\"great\"'!", "x\u2003GREAT\u00a0y", "greats great.", "7great", "ingreat great7",
+             "...", "great\ufdd0", "\U0001f600great", "\U0001f600 [great]\U0001f600", "GREAT", "", None, "gréat great]"]
+    def python(text):
+        return None if text is None else any(w.strip(".,!?;:'\"()[]{}") == "great" for w in text.lower().split())
+    assert values(spark, given, lambda c: flags.has_word(c, ("great", "perfect"))) == [python(x) for x in given]

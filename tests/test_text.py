@@ -108,3 +108,31 @@ def test_words_of_the_mismatch_rule_equal_plain_python(spark):
     def python(text):
         return None if text is None else any(w.strip(".,!?;:'\"()[]{}") == "great" for w in text.lower().split())
     assert values(spark, given, lambda c: flags.has_word(c, ("great", "perfect"))) == [python(x) for x in given]
+
+
+def test_terms_are_looked_for_before_the_pattern_runs(spark):
+    """Whatever the pattern takes for a letter of a term, in any script and case, the plain look takes for it too."""
+    letters = "".join(map(chr, range(ord("a"), ord("z") + 1)))
+    twins = [c for c in map(chr, range(128, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (set(c.lower() + c.upper()) & set(letters + letters.upper()))]
+    assert {"İ", "ı", "ſ", "K"} <= set(twins)
+    given = [f"x {a}{c}{b} y" for c in twins for a in ("", "i") for b in ("", "i")] + [None, "", "SIKS", "ſiks", "sİKs", "sıKs", "siKS's", "asiks", "si ks"]
+    terms = [*letters, *(f"i{x}" for x in letters), *(f"{x}i" for x in letters), "siks", "si  KS"]
+    for term in (letters[0], "i", "k", "s", "ii", "ik", "is", "ki", "si", "siks", "si  KS"):
+        assert term in terms
+        assert values(spark, given, lambda c: tx.has_term(c, (term,), tx.folded(c))) == values(spark, given, lambda c: c.rlike(tx.term_pattern((term,)))), term
+    plan = lambda c: spark.createDataFrame([("a",)], "x string").select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan(tx.has_term("x", ("crash", "new version"), F.col("x"))) and "Contains(" in plan(flags.has_word("x", ("great",)))
+    assert "Contains(" not in plan(tx.has_term("x", ("größe", "crash"), F.col("x")))
+    assert "Contains(" not in plan(tx.has_term("x", tuple(f"word{a}{b}" for a in letters for b in letters), F.col("x")))
+
+
+def test_mismatch_rule_searches_a_text_once(spark):
+    texts = ["great", "terrible", "great but terrible", "fine", "", None]
+    rows = [(i * 10 + (r or 0), t, r) for i, t in enumerate(texts) for r in (None, 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "i int, body string, rating bigint").select("i", flags.mismatch_detail().alias("y"))
+    def python(text, rating):
+        if rating in (4, 5) and text == "terrible":
+            return flags.HIGH_DETAIL
+        return flags.LOW_DETAIL if rating in (1, 2) and text == "great" else None
+    assert [r.y for r in df.orderBy("i").collect()] == [python(t, r) for _, t, r in sorted(rows, key=lambda x: x[0])]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2

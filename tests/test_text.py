@@ -1,5 +1,6 @@
 import datetime
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,21 @@ def test_mismatch_rule_searches_a_text_once(spark):
         return flags.LOW_DETAIL if rating in (1, 2) and text == "great" else None
     assert [r.y for r in df.orderBy("i").collect()] == [python(t, r) for _, t, r in sorted(rows, key=lambda x: x[0])]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
+
+
+def test_language_counts_letters_once_and_flattening_spares_the_wide_pattern(spark):
+    """The marker words are not looked for in every text, each kind of letter is counted once; results equal plain Python."""
+    given = ["ünder the änd", "é", "日本 語 the app", "naïve", "aaaaaaaaaé", "aaaaaaaaéé", "ééé bad", "x — y", "— …", "\U0001d400abcdefghijk", "abcdefghijké good",
+             "a b — c", "é\u0085  x", "ü —  　y", "é  \x1c x", "", None]
+
+    def language(text):
+        if text is None:
+            return "unknown"
+        letters = [c for c in text if unicodedata.category(c).startswith("L")]
+        plain = sum(c.isascii() for c in letters)
+        marked = any(f" {w} " in f" {text.lower()} " for w in tx.ENGLISH_MARKERS)
+        return "en" if letters and plain / len(letters) >= 0.9 and (len(letters) >= 12 or marked) else "unknown"
+    assert values(spark, given, tx.detect_language) == [language(x) for x in given]
+    assert values(spark, given, tx.flat_text) == [x if x is None else " ".join(x.split()) for x in given]
+    plan = lambda c: spark.createDataFrame([("a",)], "x string").select(c.alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tx.detect_language("x")).count(r"\P{L}") == 1 and r"\p{ASCII}" in plan(tx.flat_text("x"))

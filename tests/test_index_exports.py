@@ -25,6 +25,15 @@ def test_index_finds_what_patterns_find(spark):
     assert len(matched) == len(TEXTS) and matched[11] == {"s0": [], "s1": ["crash", "crash"], "s2": []} and matched[7] == {"s0": [], "s1": [], "s2": []}
 
 
+def test_only_lengths_of_terms_are_cut(spark):
+    """Three-word phrases are looked for among runs of three words; single words and pairs are not sent to the join."""
+    table = spark.createDataFrame([("s", "one two three", 0), ("s", "c d e", 1)], "signal string, term string, position int")
+    rows = spark.createDataFrame([(1, "zero one  Two three"), (2, "one two, three c d e f"), (3, "one two"), (4, None)], "id int, text string")
+    found = indexed_terms(rows, "id", F.col("text"), table)
+    assert sorted((r.id, r.term) for r in found.collect()) == [(1, "one two three"), (2, "c d e")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("transform(slice(") == 1
+
+
 def test_large_lexicon_is_one_join(spark):
     table = spark.range(100_000).select(F.lit("s").alias("signal"), F.concat(F.lit("word"), "id").alias("term"), F.lit(0).alias("position"))
     rows = spark.createDataFrame([(1, "word7 and word99999 but word100000")], "id int, text string")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from feedfold.operators import flags, fold, normalise
 from feedfold.plans.feed import Feed
-from feedfold.session import join_popular
+from feedfold.session import join_popular, size_shuffles
 from feedfold.sources import landing
 from feedfold.sources.lexicon import ISSUE_TERMS, lexicon_from_table, lexicon_table
 
@@ -63,3 +63,18 @@ def test_a_body_in_a_third_of_the_rows_fills_no_task(spark):
     assert hot.count() >= log.count() / 4 and hot.filter("duplicate_text").count() > 0
     plan = marked._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") >= 3 and plain.count() > 0
+
+
+def test_shuffles_grow_with_the_input(spark):
+    """More input gives more partitions, not larger ones; a setting of the application itself stays."""
+    keys = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        counts = []
+        for size in (0, 1 << 30, 6 << 30):
+            size_shuffles(spark, size)
+            counts.append(int(spark.conf.get(keys[1])))
+        assert counts == [int(spark.conf.get("spark.sql.shuffle.partitions")), 512, 3072] and spark.conf.get(keys[0]) == "8388608b"
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -192,3 +192,29 @@ def test_stored_observations_keep_payloads_of_rejects_only(spark, make_pages):
     observed = ingest.observe(make_pages([(1, 0, "a", 1, page_body([review(1), review(2, "7")]))]))
     kept = {r.source_review_id: r.raw_record for r in normalise.reject_payloads(observed).collect()}
     assert kept["review-1"] is None and '"7"' in kept["review-2"]
+
+
+def test_small_pages_share_files_and_all_are_read_as_landed(spark, tmp_path):
+    """The files that land follow the bytes, not the pages; bodies that are no JSON, large pages and files put there by others are read alike."""
+    odd = {1: "", 2: "\n", 3: 'no "JSON"\n\n', 4: "a\x1eb\x1a0c\x1a1\x1a\x1e", 5: "é" * pages.BUNDLED_BYTES, 6: "x\r\ny"}
+    rows = [(run, f"raw/app_a_us_page_{page}_2026010{run}T000000000000Z.json", odd.get(page, f'{{"page": {page}}}'))
+            for run in (1, 2) for page in range(1, 601)]
+    frame = spark.createDataFrame(rows, "run_id long, raw_file_path string, response_body string").coalesce(2)
+    folder = tmp_path / "files"
+    pages.land_page_files(frame, str(folder))
+    alone = folder / "run_id=3" / "app_a_us_page_7_20260103T000000000000Z.json"
+    alone.parent.mkdir()
+    alone.write_text("by itself\x1e", encoding="utf-8")
+    files = [f for f in folder.rglob("*") if f.is_file() and not f.name.startswith((".", "_"))]
+    assert len(files) <= 1 + 2 * 2 * 4
+    want = sorted([(run, int(path.split("_")[4]), f"2026010{run}T000000000000Z", body) for run, path, body in rows]
+                  + [(3, 7, "20260103T000000000000Z", "by itself\x1e")])
+
+    def seen(df):
+        run = F.regexp_extract("raw_file_path", r"/run_id=(\d+)/", 1).cast("long").alias("run")
+        return sorted(map(tuple, df.select(run, "page_number", "fetch_stamp", "response_body").collect()))
+
+    assert seen(pages.read_page_files(spark, str(folder), newline=True)) == want
+    streamed = []
+    ingest.run_batches(ingest.stream_page_files(spark, str(folder), newline=True), lambda df, _: streamed.extend(seen(df)), str(tmp_path / "checkpoint"))
+    assert sorted(streamed) == want

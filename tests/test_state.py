@@ -1,10 +1,12 @@
 """The stream's keyed state: any order of batches, replays, crashes between write and switch, buckets, late data."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from feedfold import session
 from feedfold.operators import flags, fold, normalise
 from feedfold.plans import queries_streaming
 from feedfold.sources import landing, pages
@@ -218,3 +220,17 @@ def test_small_pages_share_files_and_all_are_read_as_landed(spark, tmp_path):
     streamed = []
     ingest.run_batches(ingest.stream_page_files(spark, str(folder), newline=True), lambda df, _: streamed.extend(seen(df)), str(tmp_path / "checkpoint"))
     assert sorted(streamed) == want
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before, setting = kept(), spark.conf.get(session.SHUFFLE_CLEANUP)
+    assert session.written(rows, "counted").filter("count > 0").toLocalIterator().__next__()["count"] > 100
+    deadline = time.time() + 20
+    while (left := {f for f in kept() - before if f.endswith(".data")}) and time.time() < deadline:
+        time.sleep(0.5)
+    assert not left and spark.conf.get(session.SHUFFLE_CLEANUP) == setting

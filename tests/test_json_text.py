@@ -64,3 +64,11 @@ def test_entries_with_numbers_and_repeated_keys(spark, make_pages):
     assert row.raw_record == canonical(json.dumps(json.loads(body)["feed"]["entry"][0]))
     facts = entries.page_facts(make_pages([(1, 0, "a", 1, body)])).first()
     assert facts.is_json and facts.entry_count == 1 and facts.review_ids == ["r1"]
+
+
+def test_numbers_behind_blanks_and_numbers_in_texts(spark):
+    texts = ['{"a":  \n 1.50, "b" :\t1e5,"c": [ 2.50 ,\r\n-3.50], "t": "costs 12.5, 1e5 NaN -1.50"}', " 1.50", "\n\n1.50", "\t -1.50 ", "-1.50",
+             '{"t": "costs 12.50"}', '{"a": {"b":1.50}}', '"x" 1.50', '{"a" 1.50}', "[[1.50],[ 2.50]]"]
+    assert written(spark, texts) == [canonical(t) for t in texts]
+    held = spark.createDataFrame([(t,) for t in texts], "t string").filter(F.col("t").rlike(json_text._MAY_HOLD)).collect()
+    assert len(held) == len(texts) - 3 and '{"t": "costs 12.50"}' not in {r.t for r in held}

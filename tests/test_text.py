@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 import unicodedata
 
@@ -155,3 +156,20 @@ def test_language_counts_letters_once_and_flattening_spares_the_wide_pattern(spa
     assert values(spark, given, tx.flat_text) == [x if x is None else " ".join(x.split()) for x in given]
     plan = lambda c: spark.createDataFrame([("a",)], "x string").select(c.alias("y"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan(tx.detect_language("x")).count(r"\P{L}") == 1 and r"\p{ASCII}" in plan(tx.flat_text("x"))
+
+
+def test_a_word_is_a_token_without_its_edge_punctuation(spark):
+    rng, edge = random.Random(9), ".,!?;:'\"()[]{}"
+    parts = ["great", "love", "Great", "a", "9", " ", " ", "\n", "\x85", "\u2003", *edge]
+    texts = ["", "great", *["".join(rng.choice(parts) for _ in range(rng.randrange(10))) for _ in range(3000)]]
+    frame = spark.createDataFrame([(t,) for t in texts], "body string")
+    words = ("great", "love")
+    want = {t: any(token.strip(edge) in words for token in t.lower().split()) for t in texts}
+    assert {r.body: r.found for r in frame.withColumn("found", flags.has_word("body", words)).collect()} == want
+
+
+def test_flat_text_of_every_kind_of_space(spark):
+    rng = random.Random(10)
+    texts = ["", " ", "a", *["".join(rng.choice(["a", "é", " ", "  ", *tx.SPACES]) for _ in range(rng.randrange(8))) for _ in range(3000)]]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.flat_text("t").alias("flat")).collect()
+    assert {r.t: r.flat for r in got} == {t: " ".join(t.split()) for t in texts}

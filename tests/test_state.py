@@ -2,12 +2,13 @@
 
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedfold import session
-from feedfold.operators import flags, fold, normalise
+from feedfold.operators import entries, flags, fold, normalise
 from feedfold.plans import queries_streaming
 from feedfold.sources import landing, pages
 from feedfold.streaming import ingest
@@ -234,3 +235,80 @@ def test_a_stored_table_leaves_no_shuffle_files(spark):
     while (left := {f for f in kept() - before if f.endswith(".data")}) and time.time() < deadline:
         time.sleep(0.5)
     assert not left and spark.conf.get(session.SHUFFLE_CLEANUP) == setting
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_leaves_the_state_alone(spark, make_pages, tmp_path):
+    """What a batch stores for itself goes when it ends, also when it dies; of shuffle files nothing stays either."""
+    def stored():
+        folder = Path(session.work_dir(spark).removeprefix("file://")) / "feedfold"
+        return {x.name for x in folder.iterdir()} if folder.exists() else set()
+
+    before, handle = stored(), ingest.tables_batch(str(tmp_path / "s"), buckets=2)
+    handle(make_pages(random_pages(3)), 0)
+    with pytest.raises(Exception, match="nowhere"):
+        handle(make_pages(random_pages(4)).withColumn("response_body", F.raise_error(F.lit("nowhere"))), 1)
+    assert stored() == before and ingest.read_state(spark, str(tmp_path / "s")).count() > 3
+    kept = session.written(make_pages(random_pages(3)), "kept")
+    assert kept.count() > 3 and len(stored()) == len(before) + 1
+
+
+def test_one_parse_gives_entries_and_facts(spark, make_pages):
+    other, odd = {"id": label("meta")}, "a string"
+    bodies = [page_body([review(1), review(2, "7")]), page_body([other, odd, review(3)]), page_body([]), page_body([other]), page_body(review(4)),
+              "broken", "", page_body([odd]), page_body(None), page_body([review(5)], links=[])]
+    frame = make_pages([(1, 0, "a", number, body) for number, body in enumerate(bodies)])
+    parsed = entries.extract_with_facts(frame)
+    assert rows_of(parsed.filter("is_entry").drop("page", "is_entry")) == rows_of(entries.extract_entries(frame))
+    facts = parsed.filter("page IS NOT NULL").select(*[c for c in frame.columns if c != "response_body"], "page.*")
+    assert rows_of(facts) == rows_of(entries.page_facts(frame).drop("review_ids")) and facts.count() == len(bodies)
+
+
+def test_first_texts_go_without_a_shuffle_of_all(spark, make_pages):
+    valid = loaded(make_pages(random_pages(5, runs=6)))[1]
+    kept = session.written(fold.with_keys(flags.with_mismatch(valid)), "valid")
+    partial = ingest.narrow_partials(fold.without_texts(kept))
+    texts = ingest.first_texts(kept, partial, 0)
+    assert "Exchange hashpartitioning" not in plan_of(texts)
+    want = kept.join(partial.select(*fold.REVIEW_KEY, F.col("first.seq").alias("place")), fold.REVIEW_KEY).filter(fold.place() == F.col("place"))
+    columns = [*fold.REVIEW_KEY, "place", "title", "body"]
+    assert rows_of(texts.select(*columns)) == rows_of(want.select(*columns)) and texts.count() < kept.count()
+
+
+def test_keys_looked_up_are_broadcast_by_their_size_only(spark, tmp_path):
+    state = keyed(spark, tmp_path / "s")
+    with state.batch(0) as batch:
+        batch.fold("t", spark.range(40).selectExpr("id AS k", "1L AS v"), total)
+    wanted = session.written(spark.range(5, 9).toDF("k"), "wanted")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = state.lookup("t", wanted)
+        assert "BroadcastHashJoin" not in plan_of(found) and sorted(r.k for r in found.collect()) == [5, 6, 7, 8]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bodies_of_pages_that_come_once_are_not_compared(spark, make_pages):
+    """Which pages come again is told by their names, so neither the bodies nor the pages are shuffled for it."""
+    rows = [(1, 0, "a", page, page_body([review(page)])) for page in range(1, 9)]
+    frame = session.written(make_pages(rows), "pages")
+    taken = session.written(make_pages([(2, 0, "a", 1, "x")]), "taken")
+    assert "Exchange" not in plan_of(ingest.new_pages(frame, None)) and "Exchange" not in plan_of(ingest.new_pages(frame, taken))
+    late = make_pages([(1, 0, "a", 3, page_body([review(30)])), rows[4]]).withColumn("fetched_at", F.timestamp_add("DAY", F.lit(1), F.col("fetched_at")))
+    several = frame.unionByName(late).unionByName(make_pages(rows[6:7]))
+    assert rows_of(ingest.new_pages(several, None)) == rows_of(frame)
+    assert rows_of(ingest.new_pages(several, frame.filter("page_number > 2"))) == rows_of(frame.filter("page_number <= 2"))
+
+
+def test_a_document_travels_once_for_all_its_runs(spark):
+    """Documents are shuffled to their range of pages before they become the entries of each run; pages are as the parser's entries say."""
+    source = "/root/testdata/sf0.001"
+    raw = landing.raw_pages(spark, source)
+    assert not [line for line in plan_of(raw).splitlines() if "Exchange hashpartitioning" in line and "run_id" in line]
+    columns = ["run_id", "source_app_id", "storefront", "page_number", "entry_pos"]
+    read = entries.extract_entries(raw).groupBy(*columns[:4]).count()
+    assert rows_of(read) == rows_of(landing.entries(spark, source).groupBy(*columns[:4]).count())

@@ -312,3 +312,13 @@ def test_a_document_travels_once_for_all_its_runs(spark):
     columns = ["run_id", "source_app_id", "storefront", "page_number", "entry_pos"]
     read = entries.extract_entries(raw).groupBy(*columns[:4]).count()
     assert rows_of(read) == rows_of(landing.entries(spark, source).groupBy(*columns[:4]).count())
+
+
+def test_page_files_are_compressed(spark, tmp_path):
+    frame = spark.createDataFrame([(1, f"raw/app_a_us_page_{n}_20260101T000000000000Z.json", "{" + " " * size + "}") for n, size in ((1, 9), (2, pages.BUNDLED_BYTES))],
+                                  "run_id long, raw_file_path string, response_body string")
+    pages.land_page_files(frame, str(tmp_path / "files"))
+    files = [f for f in (tmp_path / "files").rglob("*") if f.is_file() and not f.name.startswith((".", "_"))]
+    assert len(files) == 2 and all(f.name.endswith(".gz") and f.stat().st_size < 4000 for f in files)
+    read = pages.read_page_files(spark, str(tmp_path / "files"), newline=True)
+    assert sorted((r.page_number, len(r.response_body)) for r in read.collect()) == [(1, 11), (2, pages.BUNDLED_BYTES + 2)]
